@@ -22,16 +22,12 @@ CELL = 4096
 
 def lower_bound(counts: np.ndarray, cap: int) -> int:
     """Waste bound: for each a, pieces over cap - a need bins of their own, middling ones share what is left."""
-    size = np.arange(cap + 1)
-    n, total = np.cumsum(counts), np.cumsum(counts * size)
-    best = -(-int(total[cap]) // cap)
-    for a in range(0, cap // 2 + 1):
-        large = int(n[cap] - n[cap - a])
-        middle = int(n[cap - a] - n[cap // 2])
-        middle_size = int(total[cap - a] - total[cap // 2])
-        small = int(total[cap // 2] - (total[a - 1] if a else 0))
-        best = max(best, large + middle + max(0, -(-(small - (middle * cap - middle_size)) // cap)))
-    return best
+    n, total = np.cumsum(counts), np.cumsum(counts * np.arange(cap + 1))
+    half, a = cap // 2, np.arange(cap // 2 + 1)
+    large, middle = n[cap] - n[cap - a], n[cap - a] - n[half]
+    small = total[half] - np.concatenate([[0], total[:half]])
+    room = middle * cap - (total[cap - a] - total[half])
+    return max(-(-int(total[cap]) // cap), int((large + middle + np.maximum(0, -(-(small - room) // cap))).max()))
 
 
 def best_fit(counts: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
@@ -73,8 +69,11 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(sizes: list[int], counts: np.ndarray, room: int, most: int, look: int = 48) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first: an exact piece beats all; else up to look first pieces, completed."""
+def fillings(sizes: list[int], counts: np.ndarray, room: int, most: int, look: int = 24) -> list[tuple[int, ...]]:
+    """Undominated fillings of room, least waste first: an exact piece beats all; else up to look first pieces, completed.
+
+    Fillings of over four pieces skip the test, which is exponential in them: a dominated one costs a branch, nothing else.
+    """
     import bisect
 
     def largest(limit: int, taken: tuple[int, ...]) -> int:
@@ -90,7 +89,7 @@ def fillings(sizes: list[int], counts: np.ndarray, room: int, most: int, look: i
     found = set()
 
     def complete(done: tuple[int, ...], left: int) -> None:
-        limit, tries = min(left, done[-1] if done else left), look if not done else 3 if len(done) < 3 else 1
+        limit, tries = min(left, done[-1] if done else left), (look, 3, 2)[len(done)] if len(done) < 3 else 1
         placed = False
         while limit > 0 and tries:
             x = largest(limit, done)
@@ -107,14 +106,14 @@ def fillings(sizes: list[int], counts: np.ndarray, room: int, most: int, look: i
     complete((), room)
     out: list[tuple[int, ...]] = []
     for f in sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f])):
-        if not any(len(f) >= len(o) and dominated(f, o) for o in out):
+        if len(f) > 4 or not any(len(f) >= len(o) and dominated(f, o) for o in out):
             out.append(f)
         if len(out) == most:
             break
     return out or [()]
 
 
-def complete_bins(counts: np.ndarray, cap: int = CAPACITY, nodes: int = 3000, branches: int = 3) -> list[tuple[tuple[int, ...], int]]:
+def complete_bins(counts: np.ndarray, cap: int = CAPACITY, nodes: int = 2000, branches: int = 3) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in a bin, bins)] with as few bins as the search finds.
 
     Each node fills the bin of the largest piece left in one undominated way, as often as the counts allow;
@@ -135,7 +134,7 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, nodes: int = 3000, br
             continue
         if used + lower_bound(left, cap) >= score:
             continue
-        if seen % 8 == 1 or len(sizes) < 32:
+        if seen % 64 == 1 or len(sizes) < 16:
             rest = best_fit(left, cap)
             if used + sum(m for _, m in rest) < score:
                 score, best = used + sum(m for _, m in rest), _unroll(path) + rest

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, packing, quality, secrets
+from . import language, lines, mixing, packing, quality, scoring, secrets, substrings, vectors
 from .common import table
 
 
@@ -18,6 +18,9 @@ def queries():
         "op4_packing": _on("documents", packing.op4),
         "op5_language_id": _on("documents", language.op5),
         "op6_quality_rules": _on("documents", quality.op6),
+        "op7_substring_dedup": _on("documents", substrings.op7),
+        "op8_embedding_dedup": _on("embeddings", vectors.op8),
+        "op10_lm_scoring": _on("documents", scoring.op10),
     }
 
 
