@@ -114,15 +114,15 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), d]), dtype=np.uint64)
 
 
-def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's run starts and ends in sorted keys: shards share the key space evenly."""
-    cuts = [(i << 64) // shards for i in range(1, shards)]
+def shard_edges(keys: np.ndarray, shards: int, space: int = 64) -> np.ndarray:
+    """Where each shard's run starts and ends in sorted keys of space bits: shards share the key space evenly."""
+    cuts = [(i << space) // shards for i in range(1, shards)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(cuts, np.uint64)), [len(keys)]])
 
 
-def ask(bucket: int, kind: int, shards: int, keys: np.ndarray, vals, packed: bool = True) -> pa.Table:
+def ask(bucket: int, kind: int, shards: int, keys: np.ndarray, vals, space: int = 64) -> pa.Table:
     """Rows of ASK for a bucket's sorted keys; vals(lo, hi) gives the bytes that go with a run."""
-    e = shard_edges(keys, shards)
+    e = shard_edges(keys, shards, space)
     runs = [(s, int(e[s]), int(e[s + 1])) for s in range(shards) if e[s + 1] > e[s]]
     return pa.Table.from_arrays(
         [
@@ -130,7 +130,7 @@ def ask(bucket: int, kind: int, shards: int, keys: np.ndarray, vals, packed: boo
             pa.array([bucket] * len(runs), pa.int32()),
             pa.array([kind] * len(runs), pa.int32()),
             pa.array([hi - lo for _, lo, hi in runs], pa.int64()),
-            pa.array([pack_sorted(keys[lo:hi]) if packed else keys[lo:hi].tobytes() for _, lo, hi in runs], pa.binary()),
+            pa.array([pack_sorted(keys[lo:hi]) for _, lo, hi in runs], pa.binary()),
             pa.array([vals(lo, hi) for _, lo, hi in runs], pa.binary()),
         ],
         schema=ASK_ARROW,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, packing, quality, scoring, secrets, substrings, vectors
+from . import language, lines, mixing, packing, quality, scoring, secrets, shingles, substrings, vectors
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries():
         "op6_quality_rules": _on("documents", quality.op6),
         "op7_substring_dedup": _on("documents", substrings.op7),
         "op8_embedding_dedup": _on("embeddings", vectors.op8),
+        "op9_jaccard_join": _on("documents", shingles.op9),
         "op10_lm_scoring": _on("documents", scoring.op10),
     }
 
