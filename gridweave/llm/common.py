@@ -39,6 +39,7 @@ def materialize(df: DataFrame) -> DataFrame:
     A lost executor costs nothing, as the files outlive it; the files go when the JVM ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/gridweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Hashed byte trigrams; the table of a language has 2**BITS counts whatever the corpus holds.
 BITS = 14
 DIM = 1 << BITS
@@ -84,6 +86,7 @@ def language_id(docs: DataFrame, training: DataFrame, text: str = "text", label:
     others get it. The driver holds a table of labels x 2**14 counts, whatever the rows. Repeated rows are predicted alike;
     an empty table gives no rows. Prediction reads the text alone, whole, in slices. ambiguous: the runner-up is within gap.
     """
+    ship(docs.sparkSession)
     got = train_counts(training.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, label).toPandas()
     counts = {}
     for lang, part in got.groupby("lang"):

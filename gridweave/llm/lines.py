@@ -37,10 +37,11 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     return often.groupBy("__host").agg(F.sort_array(F.collect_set("__key")).alias("__keys"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, min_pages: int = 5, spare_whole: bool = False) -> DataFrame:
     """pages with text stripped of boilerplate lines, plus n_lines (with a word) and n_dropped.
 
-    Null texts stay null with no lines; a null host is a host of its own. Blank lines stay. Hosts with fewer than min_pages
+    spare_whole leaves texts as they are that would lose every line: a page copied often isn't boilerplate of others, and
+    removing copies is not this operator's work. Null texts stay null with no lines; a null host is a host of its own. Blank lines stay. Hosts with fewer than min_pages
     pages lose nothing. Repeated rows count as pages of their own and are stripped alike. An empty table gives no
     rows. Columns named __* are the operator's own; any other keeps its name and value.
     """
@@ -56,6 +57,8 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: flo
     dropped = F.size(F.filter(m, lambda x: x["bad"])).cast("long")
     kept = F.array_join(F.transform(F.filter(m, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
     out = df.withColumns({"__real": real, "__dropped": dropped})
+    if spare_whole:
+        out = out.withColumn("__dropped", F.when(F.col("__dropped") == F.col("__real"), F.lit(0)).otherwise(F.col("__dropped")).cast("long"))
     new = F.when(F.col("__dropped") > 0, kept).otherwise(F.col(text))
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in pages.columns], F.col("__real").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 

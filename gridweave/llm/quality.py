@@ -126,6 +126,31 @@ def em_posteriors(patterns: DataFrame, rules: int, rounds: int = 30, prior: floa
     return fit.select(F.inline(F.transform("ps", lambda p: F.struct(p["key"].alias("key"), posterior(p["v"], F.col("s")).alias("posterior")))))
 
 
+def vote_key() -> Column:
+    v = votes()
+    return sum(((v[r] + 1) * 3**j for j, r in enumerate(RULES)), F.lit(0)).cast("int")
+
+
+def posteriors(keys: DataFrame) -> DataFrame:
+    """(key, posterior) from rows with vote_key, at most 3**8 rows."""
+    digits = F.array(*[F.pmod(F.floor(F.col("key") / 3**j), F.lit(3)).cast("int") - 1 for j in range(len(RULES))])
+    patterns = keys.groupBy(F.col("vote_key").alias("key")).agg(F.count("*").alias("n")).withColumn("v", digits)
+    return em_posteriors(patterns, len(RULES))
+
+
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality() keeps, all columns as they are; columns named __* are the operator's own.
+
+    Measured twice, once for the EM and once for the verdict, so that texts are never shuffled.
+    """
+    names = docs.columns
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("text"))
+    scored = materialize(posteriors(measures(docs.select(F.col(text).alias("text"))).select(vote_key().alias("vote_key"))))
+    rows = measures(boxed).withColumn("vote_key", vote_key())
+    rows = rows.join(F.broadcast(scored), F.col("vote_key") == F.col("key"))  # at most 3**8 rows
+    return rows.where(~base_failed() & (F.col("posterior") >= threshold)).select("__row.*")
+
+
 def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(id, measures, vote vector, posterior, base_failed, kept) for each row of docs.
 
@@ -133,13 +158,9 @@ def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     empty table gives no rows. Only the id and the text are read, so other columns cannot clash.
     Texts are read once; the EM sees counts of at most 3**8 vote patterns.
     """
-    v = votes()
-    key = sum(((v[r] + 1) * 3**j for j, r in enumerate(RULES)), F.lit(0)).cast("int")
     small = measures(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))).drop("text")
-    small = materialize(small.withColumn("vote_key", key))
-    digits = F.array(*[F.pmod(F.floor(F.col("key") / 3**j), F.lit(3)).cast("int") - 1 for j in range(len(RULES))])
-    patterns = small.groupBy(F.col("vote_key").alias("key")).agg(F.count("*").alias("n")).withColumn("v", digits)
-    scored = em_posteriors(patterns, len(RULES))
+    small = materialize(small.withColumn("vote_key", vote_key()))
+    scored = posteriors(small)
     out = small.join(F.broadcast(scored), small.vote_key == scored.key)  # at most 3**8 rows
     out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
     return out.drop("key").withColumnRenamed("__id", id_col)

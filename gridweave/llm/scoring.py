@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
+from ..plans.ship import ship
 from .common import buckets_for
 from .language import held_out
 
@@ -78,6 +79,7 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
     row is learned once for each time it is there. An empty table gives no rows. Only the id, the text and what train reads
     are read. Counts cover every training text; what the shards gather grows with the corpus and none of it is broadcast.
     """
+    ship(docs.sparkSession)
     n = buckets_for(docs)
     shards = n
     d = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

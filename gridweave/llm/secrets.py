@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 KINDS = ("assign", "access", "hex", "novel")
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
@@ -98,6 +100,7 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ra
     Null and empty texts have no spans. Repeated rows give repeated results; an empty table gives no rows. Only the id
     and the text are read. Nothing is shuffled: each text is scanned whole where it lies, so no key can be hot.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
+from ..plans.ship import ship
 from .common import buckets_for, materialize
 from .graph import Sets, components
 
@@ -160,6 +161,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     shingle. Equal sets link. Rows with equal ids are one node. Rows with a null id are in no component. An empty table gives
     no rows. Only the id (an integer) and the text are read.
     """
+    ship(docs.sparkSession)
     n = buckets_for(docs)
     d = keyed.bucketed(docs, id_col, text, n)
     top = np.uint64(16)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import keyed
+from ..plans.ship import ship
 from .common import buckets_for
 
 OUT = "n_words long, n_removed long, kept_sha256 string, factors string"
@@ -78,6 +79,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, text: st
     Null ids come last of all. An empty table gives no rows. Only the id (an integer) and the text are read; a bucket holds
     about 8 MB of stored input, a long text more.
     """
+    ship(docs.sparkSession)
     n = buckets_for(docs)
     d = keyed.bucketed(docs, id_col, text, n)
     shards = n
