@@ -181,63 +181,92 @@ def slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 
 class Ids:
-    """Token ids of texts as little-endian uint32 bytes, by the tokenizers library, with a bounded cache of chunks.
+    """Token ids of texts as little-endian uint32 bytes, with a bounded cache of chunks.
 
     A space before a non-space always starts a pre-token of the byte-level pattern, so texts are cut
-    there and equal chunks are encoded once. Texts with the special token's string are encoded whole.
+    there and equal chunks are encoded once. New chunks of a batch are encoded in one call, with the end-of-text token
+    between them. Chunks in Latin letters go to tiktoken, which has the same vocabulary as ranks and is faster; any other
+    one goes to tokenizers, whose ids are the standard here, as do texts that hold a special token's string.
     """
 
     _cut = re.compile(r" (?=\S)")
     _odd = re.compile(r" (?:\s|\Z)")
+    _plain = re.compile(r"[\x00-\u024f\u2010-\u2027]*")
+
+    def __init__(self, path: str, ranks: str | None, most: int = 300_000):
+        import base64
 
-    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t, self.most = Tokenizer.from_file(path), most
-        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.spaced: dict[str, bytes] = {}
+        self.special = {x.content: i for i, x in self.t.get_added_tokens_decoder().items()}
+        self.known: dict[str, bytes] = {}
+        self.fast = None
+        if ranks and len(self.special) == 1:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.encode([text])[0]
-        parts = self._cut.split(text) if self._odd.search(text) else text.split(" ")
-        first, rest = parts[0], parts[1:]
-        known = self.spaced
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            new = [p for p in dict.fromkeys(rest) if p not in known]
-            known.update(zip(new, self.encode([" " + p for p in new])))
-            tail = b"".join(map(known.__getitem__, rest))
-        return (self.encode([first])[0] if first else b"") + tail
-
-
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, cap: int, text: str, id_col: str) -> DataFrame:
+    def chunks(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks none of which holds the special token's string."""
+        if not self.fast:
+            return self.encode(new)
+        ((name, end),) = self.special.items()
+        plain = [self._plain.fullmatch(x) is not None for x in new]
+        ids = np.array(self.fast.encode(name.join(x for x, p in zip(new, plain) if p), allowed_special={name}), "<u4")
+        cut = np.nonzero(ids == end)[0]
+        raw, at = ids.tobytes(), zip([0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)])
+        own = iter(self.encode([x for x, p in zip(new, plain) if not p]))
+        return [raw[slice(*next(at))] if p else next(own) for p in plain]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        firsts, rests, plain = [], [], []
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                out[i] = self.encode([t])[0]
+            elif t:
+                parts = self._cut.split(t) if self._odd.search(t) else t.split(" ")
+                plain.append(i), firsts.append(parts[0]), rests.append(parts[1:])
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        new = list(set().union(*rests).difference(known))
+        known.update(zip(new, self.chunks([" " + p for p in new])))
+        heads = self.chunks([x for x in firsts if x]) if any(firsts) else []
+        head = iter(heads)
+        get = known.__getitem__
+        for i, f, r in zip(plain, firsts, rests):
+            out[i] = (next(head) if f else b"") + b"".join(map(get, r))
+        return out
+
+
+def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, end_id: int, cap: int, text: str, id_col: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids, then end_id, cut to cap; the first piece is the short one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ids_of = _ids(tokenizer)
+        ids_of = _ids(tokenizer, ranks)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            take, cols = [], [[], [], [], []]
-            for i, t in enumerate(b.column(1).to_pylist()):
-                raw = memoryview(ids_of(t or "") + end)
-                n = len(raw) // 4
-                start, piece = 0, 0
-                while start < n:
-                    length = (n % cap or cap) if start == 0 else cap
-                    take.append(i)
-                    for c, v in zip(cols, (piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
-                        c.append(v)
-                    start, piece = start + length, piece + 1
+            take, cols, texts = [], [[], [], [], []], b.column(1).to_pylist()
+            for lo in range(0, len(texts), 1000):
+                for i, own in enumerate(ids_of.batch([t or "" for t in texts[lo : lo + 1000]]), lo):
+                    raw = memoryview(own + end)
+                    n = len(raw) // 4
+                    start, piece = 0, 0
+                    while start < n:
+                        length = (n % cap or cap) if start == 0 else cap
+                        take.append(i)
+                        for c, v in zip(cols, (piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
+                            c.append(v)
+                        start, piece = start + length, piece + 1
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(take, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], [id_col, "piece", "start", "length", "ids_crc32"]
             )
@@ -245,16 +274,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, cap: int, text: str, id
     return docs.select(id_col, F.col(text).alias("__text")).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-_KNOWN: dict[str, Ids] = {}
+_KNOWN: dict[tuple, Ids] = {}
 
 
-def _ids(path: str) -> Ids:
-    if path not in _KNOWN:
-        _KNOWN[path] = Ids(path)
-    return _KNOWN[path]
+def _ids(path: str, ranks: str | None) -> Ids:
+    if (path, ranks) not in _KNOWN:
+        _KNOWN[path, ranks] = Ids(path, ranks)
+    return _KNOWN[path, ranks]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, cap: int = CAPACITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int = 2, cap: int = CAPACITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     Texts are tokenized once, in place; only piece rows move. The driver sees the histogram of lengths (at most cap
@@ -263,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, cap: int = CAPACITY,
     are one piece, the end id. Repeated rows are packed each on its own. An empty table gives no rows. Only the id and the
     text are read.
     """
-    rows = materialize(pieces(docs, tokenizer, end_id, cap, text, id_col))
+    rows = materialize(pieces(docs, tokenizer, ranks, end_id, cap, text, id_col))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most cap rows
     counts = np.zeros(cap + 1, np.int64)
     for s, n in histogram.items():
@@ -298,4 +327,4 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
