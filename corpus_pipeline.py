@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, packing.tokenizer_path())
+    return packing.pack(docs, packing.tokenizer_path(), packing.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
