@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
+from ..plans.storage import materialize, plan_bytes, shared_dir
+
+__all__ = ["SPACE", "WORD", "broadcast_if_small", "buckets_for", "let", "materialize", "plan_bytes", "shared_dir", "table", "whole_text"]
 
 #: Separators are space and \\t \\n \\v \\f \\r only; a word is a maximal run of anything else.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -21,39 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet under the shared folder and read it back: lineage ends there.
-
-    A lost executor costs nothing, as the files outlive it; the files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/gridweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input size (file sizes; no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def buckets_for(df: DataFrame, mb_each: float = 8.0, least: int = 64) -> int:
+def buckets_for(df: DataFrame, mb_each: float = 4.0, least: int = 64) -> int:
     """A bucket count that follows the input: about mb_each MB of stored input a bucket."""
     return max(least, math.ceil(plan_bytes(df) / (mb_each * 1e6)))
 

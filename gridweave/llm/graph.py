@@ -2,36 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of edges (src, dst); component is the least node reachable.
-
-    Each round maps every node to the least of itself and its neighbours and contracts the edges by that
-    map, until no edge is left: trees of any depth shrink by half at least, stars at once. Rounds end in written tables, so
-    lineage stays short and a lost executor costs one round. Nodes with very many edges are pre-aggregated
-    before the shuffle; joins on them are split by AQE. Edges of a node with itself keep it as its own component.
-    """
-    edges = materialize(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")))
-    while True:
-        edges = edges.where("a <> b")
-        if edges.isEmpty():
-            return labels
-        both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("to")))
-        step = both.groupBy("node").agg(F.min("to").alias("to"))
-        step = materialize(step)
-        # Two steps of the map at once: a -> to -> to of to.
-        again = step.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        step = materialize(step.join(again, "to", "left").select("node", F.least("to", F.coalesce("to2", "to")).alias("to")))
-        moved = lambda df, c: df.join(step.select(F.col("node").alias(c), F.col("to").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
-        labels = materialize(moved(labels, "component"))
-        moved_edges = moved(moved(edges, "a"), "b")
-        edges = materialize(moved_edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+from ..operators.graph import components
+
+__all__ = ["Sets", "components"]
 
 
 class Sets:

@@ -39,7 +39,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_500_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -114,6 +114,42 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), d]), dtype=np.uint64)
 
 
+def bundle(*blobs: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
+
+
+def unbundle(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        out.append(raw[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+_SIZES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after one byte that says how many."""
+    top = int(x.max()) if len(x) else 0
+    size = next(s for s in _SIZES if top < 1 << (8 * s))
+    return bytes([size]) + x.astype(_SIZES[size]).tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, _SIZES[raw[0]], -1, 1).astype(np.int64)
+
+
+def pack_48(x: np.ndarray) -> bytes:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def unpack_48(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def shard_edges(keys: np.ndarray, shards: int, space: int = 64) -> np.ndarray:
     """Where each shard's run starts and ends in sorted keys of space bits: shards share the key space evenly."""
     cuts = [(i << space) // shards for i in range(1, shards)]

@@ -53,7 +53,8 @@ class Tokens:
 
 
 def arcs(ctx: np.ndarray, word: np.ndarray, trained: np.ndarray):
-    """Distinct (context, word), sorted by both, with training counts; for each token the arc it takes."""
+    """Distinct (context, 48 bits of word), sorted by both, with training counts; for each token the arc it takes."""
+    word = word >> np.uint64(16)
     order = np.lexsort((word, ctx))
     c, w = ctx[order], word[order]
     first = np.ones(len(c), bool)
@@ -92,13 +93,18 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
         k, trained = load(t)
         b = t["bucket"][0].as_py()
         keys, counts = _unigrams(k.t, trained)[:2]
-        out = [keyed.ask(b, 1, shards, keys, lambda lo, hi: counts[lo:hi].astype(np.uint32).tobytes())]
+        out = [keyed.ask(b, 1, shards, keys, lambda lo, hi: keyed.pack_counts(counts[lo:hi]))]
         for m in range(1, order):
             c, w, counts, _ = arcs(k.context(m), k.t, trained)
+            start, ctx = _groups(c)
             e = keyed.shard_edges(c, shards)
             runs = [(s, int(e[s]), int(e[s + 1])) for s in range(shards) if e[s + 1] > e[s]]
-            rows = [[s for s, _, _ in runs], [b] * len(runs), [m + 1] * len(runs), [hi - lo for _, lo, hi in runs], [keyed.pack_sorted(c[lo:hi]) for _, lo, hi in runs]]
-            rows.append([w[lo:hi].tobytes() + counts[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in runs])
+            rows = [[s for s, _, _ in runs], [b] * len(runs), [m + 1] * len(runs), [hi - lo for _, lo, hi in runs], [], []]
+            size = np.diff(np.append(start, len(c)))
+            for _, lo, hi in runs:
+                own = slice(int(ctx[lo]), int(ctx[hi - 1]) + 1)
+                rows[4].append(keyed.pack_sorted(c[start[own]]))
+                rows[5].append(keyed.bundle(keyed.pack_counts(size[own]), keyed.pack_48(w[lo:hi]), keyed.pack_counts(counts[lo:hi])))
             out.append(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(rows, keyed.ASK_ARROW)], schema=keyed.ASK_ARROW))
         return pa.concat_tables(out)
 
@@ -110,23 +116,27 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
             mine = [r for r, k in zip(rows, kinds) if k == kind]
             sizes = [r[2] for r in mine]
             cut = np.cumsum(sizes)[:-1]
-            c = np.concatenate([keyed.unpack_sorted(r[3]) for r in mine])
+            keys = [keyed.unpack_sorted(r[3]) for r in mine]
             if kind == 1:
-                counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in mine]).astype(np.int64)
+                c = np.concatenate(keys)
+                counts = np.concatenate([keyed.unpack_counts(r[4]) for r in mine])
                 _, back = np.unique(c, return_inverse=True)
                 sums = np.bincount(back, counts, minlength=0).astype(np.int64)
                 head = np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes()
-                out += [(r[0], 1, r[1], head + v.astype(np.int64).tobytes()) for r, v in zip(mine, np.split(sums[back], cut))]
+                out += [(r[0], 1, r[1], head + keyed.pack_counts(v)) for r, v in zip(mine, np.split(sums[back], cut))]
                 continue
-            w = np.concatenate([np.frombuffer(r[4], np.uint64, r[2]) for r in mine])
-            counts = np.concatenate([np.frombuffer(r[4], np.uint32, r[2], 8 * r[2]) for r in mine])
+            parts = [keyed.unbundle(r[4]) for r in mine]
+            c = np.concatenate([k.repeat(keyed.unpack_counts(p[0])) for k, p in zip(keys, parts)])
+            w = np.concatenate([keyed.unpack_48(p[1]) for p in parts])
+            counts = np.concatenate([keyed.unpack_counts(p[2]) for p in parts])
+            del parts
             order_ = np.lexsort((w, c))
             cs, ws = c[order_], w[order_]
             start, _ = _groups(cs)
             arc_first = np.ones(len(cs), bool)
             arc_first[1:] = (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])
             arc_at = np.nonzero(arc_first)[0]
-            arc_sum = np.add.reduceat(counts[order_].astype(np.int64), arc_at)
+            arc_sum = np.add.reduceat(counts[order_], arc_at)
             arc_ctx = np.searchsorted(start, arc_at, side="right") - 1
             total = np.bincount(arc_ctx, arc_sum, minlength=len(start)).astype(np.int64)
             types = np.bincount(arc_ctx, arc_sum > 0, minlength=len(start)).astype(np.int64)
@@ -135,7 +145,7 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
             of_ctx[order_] = np.searchsorted(start, np.arange(len(c)), side="right") - 1
             for r, a, x in zip(mine, np.split(of_arc, cut), np.split(of_ctx, cut)):
                 own = x[_groups(x)[0]]
-                out.append((r[0], kind, r[1], a.astype(np.uint32).tobytes() + total[own].astype(np.int64).tobytes() + types[own].astype(np.uint32).tobytes()))
+                out.append((r[0], kind, r[1], keyed.bundle(keyed.pack_counts(a), keyed.pack_counts(total[own]), keyed.pack_counts(types[own]))))
         return keyed.answers(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -149,19 +159,15 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
         total, distinct = (sum(int(np.frombuffer(v, np.int64, 1, 8 * i)[0]) for v in uni) for i in (0, 1))
         # Shards without a key of this bucket do not answer it: every bucket asks each shard for one key at least.
         keys, _, back, asked = _unigrams(k.t, trained)
-        count = np.concatenate([np.frombuffer(v, np.int64, -1, 16) for v in uni])[asked][back]
+        count = np.concatenate([keyed.unpack_counts(v[16:]) for v in uni])[asked][back]
         p = (count + ADD) / (total + ADD * (distinct + 1))
         base = np.log10(p)
         for m in range(1, order):
             c, w, _, back = arcs(k.context(m), k.t, trained)
-            parts = keyed.answered(got, m + 1)
-            start, ctx = _groups(c)
-            e = keyed.shard_edges(c, shards)
-            runs = [(int(e[s]), int(e[s + 1])) for s in range(shards) if e[s + 1] > e[s]]
-            arc = np.concatenate([np.frombuffer(v, np.uint32, hi - lo) for v, (lo, hi) in zip(parts, runs)]).astype(float)
-            own = [len(_groups(c[lo:hi])[0]) for lo, hi in runs]
-            seen = np.concatenate([np.frombuffer(v, np.int64, g, 4 * (hi - lo)) for v, (lo, hi), g in zip(parts, runs, own)]).astype(float)[ctx]
-            after = np.concatenate([np.frombuffer(v, np.uint32, g, 4 * (hi - lo) + 8 * g) for v, (lo, hi), g in zip(parts, runs, own)]).astype(float)[ctx]
+            parts = [keyed.unbundle(v) for v in keyed.answered(got, m + 1)]
+            ctx = _groups(c)[1]
+            arc = np.concatenate([keyed.unpack_counts(p[0]) for p in parts]).astype(float)
+            seen, after = (np.concatenate([keyed.unpack_counts(p[i]) for p in parts]).astype(float)[ctx] for i in (1, 2))
             arc, seen, after = arc[back], seen[back], after[back]
             known = seen > 0
             safe = np.where(known, seen, 1)
