@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from ..plans.storage import materialize, plan_bytes, shared_dir
+from ..plans.storage import UNKNOWN, materialize, plan_bytes, shared_dir
 
 __all__ = ["SPACE", "WORD", "broadcast_if_small", "buckets_for", "let", "materialize", "plan_bytes", "shared_dir", "table", "whole_text"]
 
@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def buckets_for(df: DataFrame, mb_each: float = 4.0, least: int = 64) -> int:
-    """A bucket count that follows the input: about mb_each MB of stored input a bucket."""
-    return max(least, math.ceil(plan_bytes(df) / (mb_each * 1e6)))
+def buckets_for(df: DataFrame, text: str = "text", mb_each: float = 4.0, least: int = 64) -> int:
+    """A bucket count that follows the input: about mb_each MB of stored input a bucket.
+
+    Sources without file statistics are measured by the bytes of their texts, at half for compression.
+    """
+    size = plan_bytes(df)
+    if size >= UNKNOWN:
+        size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+    return max(least, math.ceil(size / (mb_each * 1e6)))
 
 
 def let(value: Column, body) -> Column:

@@ -43,7 +43,7 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: flo
     spare_whole leaves texts as they are that would lose every line: a page copied often isn't boilerplate of others, and
     removing copies is not this operator's work. Null texts stay null with no lines; a null host is a host of its own. Blank lines stay. Hosts with fewer than min_pages
     pages lose nothing. Repeated rows count as pages of their own and are stripped alike. An empty table gives no
-    rows. Columns named __* are the operator's own; any other keeps its name and value.
+    rows. Columns named __* are the operator's own; n_lines and n_dropped replace columns of these names; any other keeps its value.
     """
     bad = materialize(boilerplate(pages, host, text, ratio, min_pages))
     n = bad.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__keys")), F.lit(0)).alias("keys")).first()
@@ -60,7 +60,7 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: flo
     if spare_whole:
         out = out.withColumn("__dropped", F.when(F.col("__dropped") == F.col("__real"), F.lit(0)).otherwise(F.col("__dropped")).cast("long"))
     new = F.when(F.col("__dropped") > 0, kept).otherwise(F.col(text))
-    return out.select(*[new.alias(c) if c == text else F.col(c) for c in pages.columns], F.col("__real").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    return out.select(*[new.alias(c) if c == text else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")], F.col("__real").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 
 
 def page_text(html: Column) -> Column:

@@ -38,18 +38,20 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17, passes: int = 6) -> DataFrame:
-    """docs plus size, source_size, target and times (how often the mix takes the row).
+    """docs plus times: how often the mix takes the row (a column of that name in docs is replaced).
 
     Sources ranked by code point (null last) weigh weights[0], weights[1], ..., repeating. A row is
     taken floor(target / source_size) times; the fraction left is sampled by seeded hash order: each
     source is split into cells of about 512 rows by hash, and a cell takes rows in hash order
     while they fit its share; further passes fill what is left with later rows that fit. So a hot source is many
     cells, no order spans a source, and each cell comes within its smallest rows of its share. max_epochs must be whole.
-    Null or empty texts have size 0 and fit at once; ties fall to the id; repeated rows are rows of their own.
-    An empty table gives no rows. Columns named __* are the operator's own.
+    Null or empty texts have size 0; ties fall to the id; repeated rows are rows of their own.
+    An empty table gives no rows. Columns named __* are the operator's own; all others are carried as they are.
     """
-    sized = docs.withColumn("size", F.size(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0))).cast("long"))
-    return _mixed(sized, sized, weights, max_epochs, seed, passes)
+    size = F.size(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0))).cast("long").alias("size")
+    names = [c for c in docs.columns if c != "times"]
+    boxed = docs.select("doc_id", "source", size, F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    return _mixed(boxed, boxed, weights, max_epochs, seed, passes).select("__row.*", "times")
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -83,13 +85,13 @@ def _mixed(sized: DataFrame, counted: DataFrame, weights, max_epochs: float, see
     upto = cell.orderBy("__at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__gap", (F.col("__rate") - F.col("__whole")) * F.sum("size").over(cell)).withColumn("__took", F.lit(False))
     for _ in range(passes):
-        fits = ~F.col("__took") & (F.col("size") <= F.col("__gap"))
+        fits = ~F.col("__took") & (F.col("__rate") > F.col("__whole")) & (F.col("size") <= F.col("__gap"))
         df = df.withColumn("__run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(upto))
         df = df.withColumn("__new", fits & (F.col("__run") <= F.col("__gap")))
         df = df.withColumn("__gap", F.col("__gap") - F.sum(F.when(F.col("__new"), F.col("size")).otherwise(0)).over(cell)).withColumn("__took", F.col("__took") | F.col("__new"))
     # Nothing more fits: the smallest row left goes in if that brings the cell nearer to its share.
     left = cell.orderBy(F.col("__took").cast("int") + (F.col("size") == 0).cast("int"), "size", "__at", "doc_id")
-    df = df.withColumn("__took", F.col("__took") | ((F.row_number().over(left) == 1) & (F.col("size") < 2 * F.col("__gap"))))
+    df = df.withColumn("__took", F.col("__took") | ((F.row_number().over(left) == 1) & (F.col("__rate") > F.col("__whole")) & (F.col("size") < 2 * F.col("__gap"))))
     times = (F.col("__whole") + F.col("__took").cast("long")).alias("times")
     keep = [c for c in sized.columns if c != "size"]
     return df.select(*keep, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), times)

@@ -162,7 +162,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     no rows. Only the id (an integer) and the text are read.
     """
     ship(docs.sparkSession)
-    n = buckets_for(docs)
+    n = buckets_for(docs, text)
     d = keyed.bucketed(docs, id_col, text, n)
     top = np.uint64(16)
 

@@ -80,7 +80,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, text: st
     about 8 MB of stored input, a long text more.
     """
     ship(docs.sparkSession)
-    n = buckets_for(docs)
+    n = buckets_for(docs, text)
     d = keyed.bucketed(docs, id_col, text, n)
     shards = n
 
