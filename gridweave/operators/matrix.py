@@ -166,11 +166,11 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     """
     if plan_bytes(df) <= ONE_TASK:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    dealt = materialize(dealt.withColumn("__at", (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).cast("long")))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
-    return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")  # a row a partition
+    dealt = df.repartitionByRange(*order).withColumn("__dealt", F.spark_partition_id())
+    dealt = materialize(dealt.withColumn("__spot", (F.row_number().over(Window.partitionBy("__dealt").orderBy(*order)) - 1).cast("long")))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = dealt.groupBy("__dealt").agg(F.count("*").alias("__n")).select("__dealt", before.alias("__ahead"))
+    return dealt.join(F.broadcast(shift), "__dealt").withColumn(name, F.col("__spot") + F.col("__ahead")).drop("__dealt", "__spot", "__ahead")  # a row a partition
 
 
 def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
@@ -178,11 +178,11 @@ def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     rows_before = lambda *by: (Window.partitionBy(*by) if by else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if plan_bytes(df) <= ONE_TASK:
         return df.withColumn(name, F.coalesce(F.sum(value).over(rows_before()), F.lit(0)))
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    dealt = materialize(dealt.withColumn("__at", F.coalesce(F.sum(value).over(rows_before("__part")), F.lit(0))))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = dealt.groupBy("__part").agg(F.sum(value).alias("__n")).select("__part", before.alias("__before"))
-    return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
+    dealt = df.repartitionByRange(*order).withColumn("__dealt", F.spark_partition_id())
+    dealt = materialize(dealt.withColumn("__spot", F.coalesce(F.sum(value).over(rows_before("__dealt")), F.lit(0))))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = dealt.groupBy("__dealt").agg(F.sum(value).alias("__n")).select("__dealt", before.alias("__ahead"))
+    return dealt.join(F.broadcast(shift), "__dealt").withColumn(name, F.col("__spot") + F.col("__ahead")).drop("__dealt", "__spot", "__ahead")
 
 
 def order_by(df: DataFrame, order: list, row: str = "row") -> DataFrame:

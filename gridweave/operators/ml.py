@@ -54,13 +54,13 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     t = df.groupBy(a, b).agg(F.count("*").alias("n"))
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
     ra, rb = t.groupBy(a).agg(F.sum("n").alias("na")), t.groupBy(b).agg(F.sum("n").alias("nb"))
-    tot = t.agg(F.sum("n").cast("double").alias("N"), two("n").alias("s"))
-    n_of = tot.select("N")
-    h = lambda df, c: df.join(F.broadcast(n_of)).agg(F.coalesce(-F.sum(F.col(c) / F.col("N") * F.ln(F.col(c) / F.col("N"))), F.lit(0.0)).alias(f"h_{c}"), two(c).alias(f"s_{c}"))
+    tot = t.agg(F.sum("n").cast("double").alias("every"), two("n").alias("s"))
+    n_of = tot.select("every")
+    h = lambda df, c: df.join(F.broadcast(n_of)).agg(F.coalesce(-F.sum(F.col(c) / F.col("every") * F.ln(F.col(c) / F.col("every"))), F.lit(0.0)).alias(f"h_{c}"), two(c).alias(f"s_{c}"))
     j = t.join(ra, a).join(rb, b).join(F.broadcast(n_of))
-    mi = j.agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("N") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"))
+    mi = j.agg(F.sum(F.col("n") / F.col("every") * F.ln(F.col("every") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"))
     r = tot.join(F.broadcast(h(ra, "na"))).join(F.broadcast(h(rb, "nb"))).join(F.broadcast(mi))  # one row each
-    exp = F.col("s_na") * F.col("s_nb") / (F.col("N") * (F.col("N") - 1) / 2.0)
+    exp = F.col("s_na") * F.col("s_nb") / (F.col("every") * (F.col("every") - 1) / 2.0)
     top = (F.col("s_na") + F.col("s_nb")) / 2.0
     mean = (F.col("h_na") + F.col("h_nb")) / 2.0
     return r.select(F.when(top == exp, 1.0).otherwise((F.col("s") - exp) / (top - exp)).alias("ari"), F.when(mean > 0, F.col("mi") / mean).otherwise(1.0).alias("nmi"))

@@ -38,5 +38,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input size (file sizes; no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Stored size of all that the plan reads, by Catalyst's file statistics (no job runs); at least UNKNOWN where a source has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+#: What a source without statistics counts as, or more.
+UNKNOWN = 1 << 60

@@ -17,7 +17,7 @@ from ..plans.ship import ship
 
 def read_perm(spark: SparkSession, path: str) -> list[DataFrame]:
     """One permutation, or a row and a column one: 1-based numbers on one line, on two, or one a line when there are more lines."""
-    t = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.trim("value"), "\\r", ""), "\\s*\\n\\s*").alias("l"))
+    t = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\\s+|\\s+$", ""), "\\s*\\n\\s*").alias("l"))
     n = t.select(F.size("l")).first()[0]
     whole = F.array(F.array_join("l", " ")) if n > 2 else F.col("l")
     e = t.select(F.posexplode(whole).alias("which", "line")).select("which", F.posexplode(F.split(F.trim("line"), "\\s+")).alias("new_pos", "v"))
