@@ -688,3 +688,13 @@ def kmeans_sweep(spark, d):
     p = b.t(spark, d, "part").groupBy(F.col("p_brand").alias("matrix")).agg(F.avg("p_size").alias("p_size"), F.avg("p_retailprice").alias("p_retailprice"))
     rows, best, _ = ml.sweep(ml.preprocess(p, _F, log=()), _F, kmin=2, kmax=5)
     return spark.createDataFrame([(k, i, s, k == best) for k, i, s in rows], "k int, inertia double, silhouette double, best boolean")
+
+
+# ---- event windows (an extension)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, user_id AS r, event_type AS c, count(*) AS n FROM events GROUP BY ALL")
+def event_incidence(spark, d):
+    from ..streaming.incidence import windowed_incidence
+
+    return _rc(windowed_incidence(b.t(spark, d, "events"), "ts", "user_id", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
