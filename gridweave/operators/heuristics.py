@@ -71,6 +71,9 @@ def minimum_degree(m: SparseMatrix, dense: float = 10.0) -> DataFrame:
             d, v = heapq.heappop(heap)
             if v not in g or d != len(g[v]):
                 continue
+            if d == len(g) - 1:  # a clique is left: any order eliminates it alike
+                order += sorted(g)
+                break
             around = g.pop(v)
             order.append(v)
             for u in around:

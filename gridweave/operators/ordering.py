@@ -240,16 +240,27 @@ def cluster_chain(sketch: DataFrame, rows: int, bs: int = 32, tau: float = 0.5,
 
     def chain(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["mass", "row"], ascending=[False, True])
-        rows_, left = t["row"].tolist(), dict(zip(t["row"], ({x["win"]: x["idf"] for x in w} for w in t["w"])))
-        order = []
+        heavy, wins = t["row"].tolist(), dict(zip(t["row"], ({x["win"]: x["idf"] for x in w} for w in t["w"])))
+        rows_of: dict[int, list[int]] = {}
+        for r, w in wins.items():
+            for x in w:
+                rows_of.setdefault(x, []).append(r)
+        order, left, at = [], set(wins), 0
         while left:
-            nxt = next(r for r in rows_ if r in left)
-            stripe: set = set()
+            while heavy[at] not in left:
+                at += 1
+            nxt, stripe, share = heavy[at], set(), {}
             for _ in range(min(bs, len(left))):
                 order.append(nxt)
-                stripe |= left.pop(nxt).keys()
-                if left:
-                    nxt = max(left, key=lambda r: (sum(v for w, v in left[r].items() if w in stripe), -r))
+                left.discard(nxt)
+                share.pop(nxt, None)
+                for x, idf in wins[nxt].items():
+                    if x not in stripe:
+                        stripe.add(x)
+                        for r in rows_of[x]:
+                            if r in left:
+                                share[r] = share.get(r, 0.0) + idf
+                nxt = max(share, key=lambda r: (share[r], -r)) if share else next((r for r in heavy[at:] if r in left), None)
         return pd.DataFrame({"comp": [int(t["comp"].iloc[0])] * len(order), "row": order, "pos": range(len(order))})
 
     chained = materialize(cl.join(sig, "row").groupBy("comp").applyInPandas(chain, "comp long, row long, pos long"))
