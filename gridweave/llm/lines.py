@@ -81,7 +81,7 @@ def host_of(url: Column) -> Column:
 
 
 def op2(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    df = pages.select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
+    df = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text")))  # HTML is taken apart once
     return drop_boilerplate(df, "host", "text", ratio, min_pages)
 
 
