@@ -81,7 +81,7 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
     are read. Counts cover every training text; what the shards gather grows with the corpus and none of it is broadcast.
     """
     ship(docs.sparkSession)
-    n = buckets_for(docs, text)
+    n = buckets_for(docs, text, 7.0)
     shards = n
     d = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
