@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.bits import GAMMA, MUL1, MUL2, SEED_1, SEED_2
-from ..operators import features, graph, heuristics, linalg, metrics, ml, ordering, report
+from ..operators import features, graph, heuristics, linalg, matrix, metrics, ml, ordering, report
 from ..operators import sketch as sk
 from ..operators.matrix import Axis, compose, inverse
 from . import bindings as b
@@ -233,7 +233,7 @@ def order_cluster_chain(spark, d):
     return ordering.cluster_chain(sk.mask(m, 4), m.rows)
 
 
-@query()
+@query(f"WITH {OP_SK}, deg AS (SELECT win, count(*) AS deg FROM sk GROUP BY win), s AS (SELECT r, list(win ORDER BY deg, win)[1:8] AS sig FROM sk JOIN deg USING (win) GROUP BY r) SELECT row_number() OVER (ORDER BY sig NULLS LAST, o_orderkey) - 1 AS new_pos, o_orderkey AS old_idx FROM orders LEFT JOIN s ON r = o_orderkey")
 def order_anchor(spark, d):
     m = b.order_part(spark, d)
     return ordering.anchor_order(sk.mask(m, 4), m.rows)
@@ -254,7 +254,6 @@ def _heuristic(name, f):
 
 _heuristic("rcm", heuristics.rcm)
 _heuristic("minimum_degree", heuristics.minimum_degree)
-_heuristic("gray", heuristics.gray_order)
 _heuristic("partition", heuristics.partition_order)
 _heuristic("communities", heuristics.community_order)
 _heuristic("slashburn", lambda m: heuristics.slashburn(m, max(1, m.rows // 4)))
@@ -264,6 +263,11 @@ _heuristic("overlap_groups", heuristics.overlap_groups)
 _heuristic("window_greedy", heuristics.window_greedy)
 
 
+@query(f"WITH m AS ({PG}), g AS (SELECT r, count(*) AS cnt, bit_or(1::BIGINT << CAST(c * 32 // {ROWS['pp']} AS INT)) AS bitmap FROM m GROUP BY r), x1 AS (SELECT *, xor(bitmap, bitmap >> 1) AS k FROM g), x2 AS (SELECT * REPLACE (xor(k, k >> 2) AS k) FROM x1), x3 AS (SELECT * REPLACE (xor(k, k >> 4) AS k) FROM x2), x4 AS (SELECT * REPLACE (xor(k, k >> 8) AS k) FROM x3), x5 AS (SELECT r, CAST(cnt > 32 AS INT) AS dense, xor(k, k >> 16) AS gray FROM x4) SELECT row_number() OVER (ORDER BY dense NULLS FIRST, gray NULLS FIRST, p_partkey) - 1 AS new_pos, p_partkey AS old_idx FROM part LEFT JOIN x5 ON r = p_partkey")
+def order_gray(spark, d):
+    return heuristics.gray_order(b.part_graph(spark, d))
+
+
 # ---- permutations applied
 
 
@@ -344,6 +348,25 @@ def lex_block_gain(spark, d):
     return metrics.block_count(m, 32, 32).withColumnRenamed("n_blocks", "before_blocks").join(F.broadcast(metrics.block_count(after, 32, 32).withColumnRenamed("n_blocks", "after_blocks")))
 
 
+@query(f"WITH m AS ({PS}) SELECT DISTINCT r, c // 8 AS win FROM m")
+def sketch_bsr(spark, d):
+    m = b.part_supplier(spark, d)
+    return _rc(sk.mask_bsr(m.to_bsr(4), 4, 8, m.rows))
+
+
+@query(f"WITH m AS ({PS}), n AS (SELECT unnest(range((SELECT count(*) + 3 FROM part) // 4)) AS k), p AS (SELECT row_number() OVER (ORDER BY md5('42:' || k), k) - 1 AS new_pos, k FROM n) SELECT new_pos AS brow, c // 4 AS bcol, CAST(sum(v) AS DOUBLE) AS total FROM m JOIN p ON k = r // 4 GROUP BY 1, 2")
+def permute_bsr(spark, d):
+    m = b.part_supplier(spark, d)
+    moved = matrix.permute_bsr(m.to_bsr(4), ordering.random_rows(spark, -(-m.rows // 4)))
+    return moved.select("brow", "bcol", F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH m AS ({CP}) SELECT r, c, v FROM m WHERE v <> 1")
+def drop_zeros(spark, d):
+    m = b.customer_part(spark, d)
+    return _rc(m.with_coo(m.coo.withColumn("val", F.col("val") - 1)).drop_zeros().coo.withColumn("val", F.col("val") + 1))
+
+
 # ---- structure
 
 
