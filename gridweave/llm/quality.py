@@ -141,14 +141,16 @@ def posteriors(keys: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that quality() keeps, all columns as they are; columns named __* are the operator's own.
 
-    Measured twice, once for the EM and once for the verdict, so that texts are never shuffled.
+    Rows are written once with what the verdict needs; a plan without that table would work measures out again
+    for each predicate that Catalyst moves below the join, and texts are never shuffled.
     """
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("text"))
-    scored = materialize(posteriors(measures(docs.select(F.col(text).alias("text"))).select(vote_key().alias("vote_key"))))
-    rows = measures(boxed).withColumn("vote_key", vote_key())
-    rows = rows.join(F.broadcast(scored), F.col("vote_key") == F.col("key"))  # at most 3**8 rows
-    return rows.where(~base_failed() & (F.col("posterior") >= threshold)).select("__row.*")
+    judged = measures(boxed).select("__row", vote_key().alias("vote_key"), base_failed().alias("failed"))
+    judged = materialize(judged)
+    scored = materialize(posteriors(judged.select("vote_key")))
+    rows = judged.where(~F.col("failed")).join(F.broadcast(scored), F.col("vote_key") == F.col("key"))  # at most 3**8 rows
+    return rows.where(F.col("posterior") >= threshold).select("__row.*")
 
 
 def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
