@@ -8,7 +8,7 @@ import pytest
 from gridweave.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events".split()
 SLOW = {"pagerank"}
 
 
