@@ -28,3 +28,14 @@ def test_stages(spark):
     assert {r["doc_id"] for r in seen["mix_sources"]} <= {r["doc_id"] for r in seen["near_duplicates"]}
     assert max(r["length"] for r in seen["pack_sequences"]) <= 1024
     assert shingles.op9(spark.createDataFrame([tuple(r) for r in seen["near_duplicates"]], DOCS)).where("doc_id <> component_id").count() == 0
+
+
+def test_line_dedup_drops_shared_lines(spark):
+    """A line on 3 % of a large source's documents or on 6 of a small one's 40 goes; unique lines and those on 4 documents stay."""
+    text = lambda i, n: "\n".join([f"own {i}"] + ["shared line"] * (i % 1000 < n) + ["on four"] * (i % 1000 < 4) + [f"last {i}"])
+    rows = [(i, text(i, 12), "en", "large", 0) for i in range(400)] + [(i, text(i, 6), "en", "small", 0) for i in range(1000, 1040)]
+    got = {r["doc_id"]: r for r in pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert len(got) == len(rows)
+    for i, t, _, _, n in rows:
+        want = t.replace("shared line\n", "")
+        assert got[i]["text"] == want and got[i]["n_chars"] == (len(want) if want != t else n)
