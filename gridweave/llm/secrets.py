@@ -26,6 +26,8 @@ CONTEXT_BYTES = tuple(x.encode() for x in CONTEXT_WORDS)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: How far after a sensitive word a candidate may start, and how much code around a candidate primes the compressor.
 REACH, AROUND = 48, 256
+#: zstandard codes literals by entropy from 64 bytes on, so longer candidates are measured in pieces, each primed with what lies behind it.
+PIECE, BEHIND = 63, 2048
 
 #: The identifier dictionary: what code around secrets repeats. Not sensitive by itself, so it must compress away.
 IDENTIFIERS = (
@@ -46,6 +48,10 @@ class Novelty:
         self.z, self.level = zstandard, level
 
     def __call__(self, candidate: bytes, around: bytes) -> int:
+        step = -(-len(candidate) // max(1, -(-len(candidate) // PIECE)))
+        return sum(self.piece(candidate[i : i + step], around + candidate[max(0, i - BEHIND) : i]) for i in range(0, len(candidate), step or 1))
+
+    def piece(self, candidate: bytes, around: bytes) -> int:
         primed = self.z.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=self.z.DICT_TYPE_RAWCONTENT)
         c = self.z.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(c.compress(candidate)) - len(c.compress(b""))

@@ -94,6 +94,17 @@ def test_secrets_base_and_novelty(spark):
     assert seen(b"your_api_key_here", b"") < 0.9 * 17 <= seen(b"q8Zk3LmW9vX2pT7rB", b"")
 
 
+def test_secrets_of_any_length():
+    r, novelty = random.Random(3), secrets.Novelty()
+    for letters in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for n in (32, 63, 64, 72, 128, 344, 1000):
+            for _ in range(10):
+                s = "".join(r.choice(letters) for _ in range(n - 2)) + "A7"
+                assert secrets.scan(f"bearer: {s}.", novelty)[1] == [(8, 3, 8 + n)], (letters, n)
+    for s in ("xyz123" * 30, "your_api_key_here_0123456789_" * 8, "x" * 5000 + "1", "q8Zk3LmW9vX2pT7rB5nD1yF6" * 20):
+        assert secrets.scan(f"bearer: {s}.", novelty)[1] == []
+
+
 def test_lines_by_ratio(spark):
     pages = [(i, "a" if i < 20 else "b" if i < 26 else None, f"menu\nown {i}\n\n menu \n{'often' if i % 2 else 'x' + str(i)}") for i in range(28)] + [(99, "a", None)]
     df = spark.createDataFrame(pages, "page_id long, host string, text string")
