@@ -69,22 +69,21 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, low: bytes, novelty: Novelty, ratio: float) -> list[tuple[int, int, int]]:
-    """Strings of 16+ characters with letters and digits, soon after a sensitive word, that keep ratio of their bytes."""
+    """All strings of 16+ characters with letters and digits that start soon after a sensitive word, on its line or a later one, and keep ratio of their bytes."""
     if not any(w in low for w in CONTEXT_BYTES):
         return []
     out, done = [], 0
     for word in CONTEXT.finditer(text):
-        m = CANDIDATE.search(text, max(done, word.end()), word.end() + REACH + 16)
-        if not m or m.start() > word.end() + REACH or "\n" in text[word.end() : m.start()]:
-            continue
-        m = CANDIDATE.match(text, m.start())
-        s = m.group()
-        done = m.end()
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue
-        around = text[max(0, m.start() - AROUND) : m.start()] + "\n" + text[m.end() : m.end() + AROUND]
-        if novelty(s.encode(), around.encode()) >= ratio * len(s):
-            out.append((m.start(), 3, m.end()))
+        at, last = max(done, word.end()), word.end() + REACH
+        while (m := CANDIDATE.search(text, at, last + 16)) and m.start() <= last:
+            m = CANDIDATE.match(text, m.start())
+            s = m.group()
+            done = at = m.end()
+            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+                continue
+            around = text[max(0, m.start() - AROUND) : m.start()] + "\n" + text[m.end() : m.end() + AROUND]
+            if novelty(s.encode(), around.encode()) >= ratio * len(s):
+                out.append((m.start(), 3, m.end()))
     return out
 
 

@@ -105,6 +105,15 @@ def test_secrets_of_any_length():
         assert secrets.scan(f"bearer: {s}.", novelty)[1] == []
 
 
+def test_secrets_beyond_the_first_run():
+    novelty, a, b = secrets.Novelty(), "k3Jd9XqLm2Pz8RvT5nWb", "wJalrXUtnFEMI7K1MDENG"
+    for t, found in (
+        (f'passwordForProductionDatabase: "{a}"', [a]), (f"authorization header: application/production-service {b}", [b]), (f"client_secret_for_production_env = {a}", [a]),
+        (f"bearer:\n  {a}", [a]), (f"signature {a} {b}", [a, b]), (f"signature of/production-service/{'x' * 60} {a}", []),
+    ):
+        assert [t[s:e].strip("=") for s, k, e in secrets.scan(t, novelty)[1] if k == 3] == found, t
+
+
 def test_lines_by_ratio(spark):
     pages = [(i, "a" if i < 20 else "b" if i < 26 else None, f"menu\nown {i}\n\n menu \n{'often' if i % 2 else 'x' + str(i)}") for i in range(28)] + [(99, "a", None)]
     df = spark.createDataFrame(pages, "page_id long, host string, text string")
