@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,14 +192,19 @@ def edge_cut(m: SparseMatrix, part: DataFrame) -> DataFrame:
     return graph.edges_of(m).where("src < dst").join(p("src"), "src").join(p("dst"), "dst").where("psrc <> pdst").agg(F.count("*").alias("edge_cut"))
 
 
-def slashburn(m: SparseMatrix, k: int | None = None, max_rounds: int = 64) -> DataFrame:
-    """Rounds: the k hubs go to the front, vertices outside the giant component to the back, the giant goes on."""
+def slashburn(m: SparseMatrix, k: int | None = None, local_edges: int = 8_000_000) -> DataFrame:
+    """Rounds: the k hubs go to the front, vertices outside the giant component to the back, the giant goes on while it is larger than k.
+
+    Rounds are joins while the giant has more than local_edges directed edges; one task ends the rounds of a smaller one.
+    """
+    ship(m.coo.sparkSession)
     n = graph.vertices(m)
     k = k or max(1, n // 1000)
+    last = n // k + 2  # a round places k vertices at least
     e = materialize(graph.edges_of(m))
     live = materialize(m.coo.sparkSession.range(n).select(F.col("id").alias("node")))
-    placed = []
-    for turn in range(max_rounds):
+    placed, turn = [], 0
+    while e.count() > local_edges:
         deg = live.join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")), "node", "left").na.fill(0, ["d"])
         hub = materialize(deg.orderBy(F.desc("d"), "node").limit(k).select("node", F.lit(turn).cast("long").alias("a"), (-F.col("d")).alias("b")))
         placed.append(hub)
@@ -208,19 +214,77 @@ def slashburn(m: SparseMatrix, k: int | None = None, max_rounds: int = 64) -> Da
         sizes = materialize(comp.groupBy("c").agg(F.count("*").alias("s")))
         giant = sizes.orderBy(F.desc("s"), "c").first()
         if giant is None:
+            live = comp.select("node")
             break
         # Later rounds' spokes come before earlier ones'.
-        spokes = comp.where(F.col("c") != giant["c"]).join(sizes, "c").select("node", F.lit(2 * max_rounds - turn).cast("long").alias("a"), (-F.col("s")).alias("b"))
+        spokes = comp.where(F.col("c") != giant["c"]).join(sizes, "c").select("node", F.lit(2 * last - turn).cast("long").alias("a"), (-F.col("s")).alias("b"))
         placed.append(materialize(spokes))
         live = materialize(comp.where(F.col("c") == giant["c"]).select("node"))
-        if giant["s"] <= k or turn == max_rounds - 1:
-            placed.append(live.select("node", F.lit(max_rounds).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-            break
         e = materialize(e.join(live.select(F.col("node").alias("src")), "src", "left_semi"))
-    every = placed[0]
-    for p in placed[1:]:
+        turn += 1
+        if giant["s"] <= k:
+            placed.append(live.select("node", F.lit(last).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+            live = live.limit(0)
+            break
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        node, a, b = burn(t["src"].to_numpy(), t["dst"].to_numpy(), k, turn, last)
+        return pd.DataFrame({"node": node, "a": a, "b": b})
+
+    marks = live.select(F.col("node").alias("src"), F.col("node").alias("dst"))  # vertices without edges, too
+    every = e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").union(marks).withColumn("every", F.lit("")).groupBy("every").applyInPandas(run, "node long, a long, b long")
+    for p in placed:
         every = every.unionByName(p)
-    return order_by(every.where(F.col("node") < m.rows), [F.asc("a"), F.asc("b"), F.asc("node")], "node")
+    return order_by(materialize(every).where(F.col("node") < m.rows), [F.asc("a"), F.asc("b"), F.asc("node")], "node")
+
+
+def burn(src: np.ndarray, dst: np.ndarray, k: int, turn: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, a, b): slashburn's rounds from turn on, over directed edges and a loop for each vertex."""
+    nodes = np.unique(src)
+    n = len(nodes)
+    loop = src == dst
+    s, d = np.searchsorted(nodes, src[~loop]), np.searchsorted(nodes, dst[~loop])
+    by = np.argsort(s, kind="stable")
+    s, d = s[by], d[by]
+    a, b, live = np.full(n, last), np.zeros(n, np.int64), np.ones(n, bool)
+    while True:
+        deg = np.bincount(s, minlength=n)
+        ids = np.flatnonzero(live)
+        hubs = ids[np.argsort(-deg[ids], kind="stable")[:k]]
+        a[hubs], b[hubs], live[hubs] = turn, -deg[hubs], False
+        stay = live[s] & live[d]
+        s, d = s[stay], d[stay]
+        deg = np.bincount(s, minlength=n)
+        at = np.concatenate([[0], np.cumsum(deg)])
+        todo, sets = live & (deg > 0), [[x] for x in np.flatnonzero(live & (deg == 0)).tolist()]
+        for v in np.flatnonzero(todo).tolist():
+            if not todo[v]:
+                continue
+            todo[v] = False
+            front, seen = np.array([v]), [np.array([v])]
+            while len(front):
+                size = deg[front]
+                to = d[np.repeat(at[front] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+                new = np.zeros(n, bool) if len(to) > n // 8 else None
+                if new is None:
+                    front = np.unique(to[todo[to]])
+                else:
+                    new[to] = True
+                    front = np.flatnonzero(new & todo)
+                todo[front] = False
+                seen.append(front)
+            sets.append(np.concatenate(seen))
+        if not sets:
+            break
+        giant = max(range(len(sets)), key=lambda i: (len(sets[i]), -sets[i][0]))  # the first of a set is its least
+        for i, c in enumerate(sets):
+            if i != giant:
+                a[c], b[c], live[c] = 2 * last - turn, -len(c), False
+        if len(sets[giant]) <= k:
+            break
+        stay = live[s]
+        s, d, turn = s[stay], d[stay], turn + 1
+    return nodes, a, b
 
 
 def knn(sketch: DataFrame, rows: int, k: int = 16, most_degree: int = 512) -> DataFrame:

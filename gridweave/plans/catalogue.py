@@ -256,7 +256,7 @@ _heuristic("rcm", heuristics.rcm)
 _heuristic("minimum_degree", heuristics.minimum_degree)
 _heuristic("partition", heuristics.partition_order)
 _heuristic("communities", heuristics.community_order)
-_heuristic("slashburn", lambda m: heuristics.slashburn(m, max(1, m.rows // 4)))
+_heuristic("slashburn", heuristics.slashburn)
 _heuristic("mst", lambda m: heuristics.mst_order(m, 32))
 _heuristic("lsh", heuristics.lsh_order)
 _heuristic("overlap_groups", heuristics.overlap_groups)
