@@ -466,7 +466,8 @@ def fingerprint(spark, d):
 
 @query()
 def betweenness(spark, d):
-    return features.betweenness(b.part_graph(spark, d), 4)
+    m = b.part_graph(spark, d)
+    return features.betweenness(m, min(m.rows, 256))
 
 
 # ---- graphs

@@ -40,3 +40,30 @@ def test_entry_builds(spark):
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 80
+
+
+def test_betweenness_is_exact_on_200_parts(spark, duck):
+    n = duck.sql("select count(*) from part").fetchall()[0][0]
+    assert n <= 256
+    near = {}
+    for u, v in duck.sql("select distinct x.l_partkey, y.l_partkey from lineitem x join lineitem y using (l_orderkey) where x.l_partkey <> y.l_partkey").fetchall():
+        near.setdefault(u, []).append(v)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        level, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in level:
+                    level[w], sigma[w] = level[v] + 1, 0.0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if level[v] == level[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                want[w] += delta[w]
+    got = {r["node"]: r["score"] for r in catalogue.queries()["betweenness"](spark, DATA).collect()}
+    assert all(got.get(v, 0.0) == pytest.approx(x, abs=1e-6) for v, x in want.items()) and set(got) <= set(want)
