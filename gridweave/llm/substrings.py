@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all reference windows.
+"""Substring dedup by looking up window hashes in an index of all reference windows, in place of a relative Lempel-Ziv parse.
 
 The references are all documents; the index holds every window-word sequence that could repeat, in hash-range
-blocks (shards). A parse goes greedily from left to right: at a place whose window the index has from a
-document with a smaller id a factor starts, it grows word by word while the next window is found too, and ends
-at the first window that isn't. A factor so has at least window words, and each boundary is checked by the
-windows on both of its sides. Words outside factors are literals.
+blocks (shards). A place is found if the index has its window from a document with a smaller id; found places at most
+window words apart are merged to one interval, whichever documents they come from. An interval refers to no reference
+and isn't extended against one. Words outside intervals are kept.
 
 Most windows occur once, and indexing them all would cost more than the corpus. Anchors rule them out exactly: of the
 k-word grams in a window, the one with the least hash is its anchor (k + span - 1 = window). Equal windows have equal
@@ -158,7 +157,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 25, text: st
 
 
 def greedy(found: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The parse's factors, from the places of a text whose windows the references have: maximal, disjoint [start, end)."""
+    """Intervals merged from the places of a text whose windows the references have: maximal, disjoint [start, end)."""
     out: list[tuple[int, int]] = []
     if not len(found):
         return out
