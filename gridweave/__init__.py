@@ -1 +1 @@
-"""Gridweave: sparse-structure analytics, row/column reordering and reporting on Spark DataFrames."""
+"""Gridweave: sparse-structure analytics, row and column orders and reporting on Spark DataFrames."""

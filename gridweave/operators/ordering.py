@@ -148,7 +148,7 @@ def hybrid(m: SparseMatrix, w: int = 32, w_block: int = 32, lookahead: int = 64,
 # ---- compositions
 
 
-def reorder(m: SparseMatrix, w: int) -> tuple[SparseMatrix, DataFrame]:
+def apply_first_window(m: SparseMatrix, w: int) -> tuple[SparseMatrix, DataFrame]:
     """Rows by first window, applied."""
     perm = first_window(sk.mask(m, w), m.rows)
     return m.permute_rows(perm), perm
@@ -284,7 +284,7 @@ def stripe_cost(sketch: DataFrame, perm: DataFrame, bs: int) -> int:
     return p.select(F.expr(f"new_pos div {bs}").alias("s"), "win").distinct().count()
 
 
-def jaccard_reorder(m: SparseMatrix, w: int = 4, bs: int | None = None, tau: float = 0.5, k: int = 64, iters: int = 2, both_sides: bool = True) -> tuple[DataFrame, DataFrame]:
+def similarity_rounds(m: SparseMatrix, w: int = 4, bs: int | None = None, tau: float = 0.5, k: int = 64, iters: int = 2, both_sides: bool = True) -> tuple[DataFrame, DataFrame]:
     """Per round the cheaper of cluster chain and anchor order for rows, then columns, by stripe cost; never worse than identity."""
     spark = m.coo.sparkSession
     bs = bs or w

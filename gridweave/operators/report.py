@@ -81,9 +81,9 @@ def correlations(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def breakeven(operations: DataFrame) -> DataFrame:
-    """(matrix, kernel, perm, speedup, breakeven): runs until the reorder time is earned back, NULL where the order doesn't gain."""
+    """(matrix, kernel, perm, speedup, breakeven): runs until the ordering time is earned back, NULL where the order doesn't gain."""
     base = operations.where(F.col("perm").isNull()).groupBy("matrix", "kernel").agg(F.avg("time_operation_ms").alias("t0"))
-    r = operations.where(F.col("perm").isNotNull()).groupBy("matrix", "kernel", "perm").agg(F.avg("time_operation_ms").alias("t"), F.avg("time_reorder_ms").alias("cost"))
+    r = operations.where(F.col("perm").isNotNull()).groupBy("matrix", "kernel", "perm").agg(F.avg("time_operation_ms").alias("t"), F.avg("time_order_ms").alias("cost"))
     j = r.join(base, ["matrix", "kernel"])
     return j.select("matrix", "kernel", "perm", (F.col("t0") / F.col("t")).alias("speedup"), F.when(F.col("t0") > F.col("t"), F.col("cost") / (F.col("t0") - F.col("t"))).alias("breakeven"))
 

@@ -240,8 +240,8 @@ def order_anchor(spark, d):
 
 
 @query()
-def order_jaccard_reorder(spark, d):
-    return ordering.jaccard_reorder(b.customer_part(spark, d), 32, 32, iters=1)[0]
+def order_similarity_rounds(spark, d):
+    return ordering.similarity_rounds(b.customer_part(spark, d), 32, 32, iters=1)[0]
 
 
 def _heuristic(name, f):
@@ -629,12 +629,12 @@ def cluster_profile(spark, d):
     return report.cluster_profile(b.t(spark, d, "part"), "p_brand", ["p_size", "p_retailprice"])
 
 
-@query(f"WITH a AS ({AN}), o AS ({OPS}) SELECT o.matrix, kernel, o.perm, o.perm_type, time_operation_ms, time_reorder_ms, block_density_16, bandwidth_avg FROM o JOIN a ON o.matrix = a.matrix AND o.perm IS NOT DISTINCT FROM a.perm AND o.perm_type IS NOT DISTINCT FROM a.perm_type")
+@query(f"WITH a AS ({AN}), o AS ({OPS}) SELECT o.matrix, kernel, o.perm, o.perm_type, time_operation_ms, time_order_ms, block_density_16, bandwidth_avg FROM o JOIN a ON o.matrix = a.matrix AND o.perm IS NOT DISTINCT FROM a.perm AND o.perm_type IS NOT DISTINCT FROM a.perm_type")
 def join_ops_analysis(spark, d):
     return report.join_results(b.operations(spark, d), b.analysis(spark, d))
 
 
-@query(f"WITH o AS ({OPS}), z AS (SELECT matrix, kernel, avg(time_operation_ms) AS t0 FROM o WHERE perm IS NULL GROUP BY 1, 2), r AS (SELECT matrix, kernel, perm, avg(time_operation_ms) AS t, avg(time_reorder_ms) AS k FROM o WHERE perm IS NOT NULL GROUP BY 1, 2, 3) SELECT matrix, kernel, perm, round(t0 / t, 6) AS speedup, round(CASE WHEN t0 > t THEN k / (t0 - t) END, 4) AS breakeven FROM r JOIN z USING (matrix, kernel)")
+@query(f"WITH o AS ({OPS}), z AS (SELECT matrix, kernel, avg(time_operation_ms) AS t0 FROM o WHERE perm IS NULL GROUP BY 1, 2), r AS (SELECT matrix, kernel, perm, avg(time_operation_ms) AS t, avg(time_order_ms) AS k FROM o WHERE perm IS NOT NULL GROUP BY 1, 2, 3) SELECT matrix, kernel, perm, round(t0 / t, 6) AS speedup, round(CASE WHEN t0 > t THEN k / (t0 - t) END, 4) AS breakeven FROM r JOIN z USING (matrix, kernel)")
 def speedup_breakeven(spark, d):
     return report.breakeven(b.operations(spark, d)).withColumns({"speedup": F.round("speedup", 6), "breakeven": F.round("breakeven", 4)})
 
