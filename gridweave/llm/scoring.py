@@ -1,12 +1,17 @@
 """Language-model scores from a weighted backoff automaton of smoothed n-grams.
 
-States are the contexts seen in training, the empty one at the root. An arc from state h over word w carries the log of
-p(w|h) = (c(h,w) - D) / c(h) + D * N(h) / c(h) * p(w|h'), where c counts, N(h) is the number of words seen after h and h' is
-h without its first word; a word without an arc takes the failure arc to h' at log(D * N(h) / c(h)) and is
-tried again. At the root p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)).
+States are the contexts seen in training, up to order - 1 words, the empty one (the root) included. With c the training
+counts and mu a weight for each order,
 
-The automaton of a corpus outgrows any machine, so it lies in shards by context; a bucket of
-documents asks for the part its texts can reach (all states and arcs over their own n-grams) and traverses that.
+    p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu),    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+
+h' being h without its first word (Dirichlet smoothing). A seen h w is an arc of state h with log p(w | h), leading to the longest
+suffix of h w that is a state; any other word takes the failure arc to h' at log(mu / (c(h) + mu)) and is tried
+there; the root has an arc for every word. One pass over a text from left to right carries the state and adds the weights of the
+arcs it takes. c(h) is the count of the n-gram h itself, so counts are all that is gathered.
+
+The automaton of a corpus outgrows any machine, so counts lie in shards by n-gram (keyed.py); a bucket of documents asks for those
+of its own n-grams, builds the part of the automaton that its texts can reach and traverses that.
 """
 
 from __future__ import annotations
@@ -24,129 +29,164 @@ from .language import held_out
 #: Stand-ins for a text's end (a token) and for the words before its start (contexts only).
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 ADD = 0.1
+#: MB of stored input a bucket holds.
+BUCKET_MB = 7.0
 
 
 class Tokens:
-    """A bucket's token sequences (words, then one end) and their n-grams up to an order."""
+    """A bucket's token sequences (words, then one end), and their n-grams as hashes of 64 bits cut to a number of bits."""
 
-    def __init__(self, texts, order: int):
+    def __init__(self, texts, order: int, bits: int):
         w = keyed.Words(texts, lower=True)
         self.n = w.n + 1
         self.at = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
         self.t = np.full(int(self.at[-1]), END, np.uint64)
-        ends = self.at[1:] - 1
         inside = np.ones(len(self.t), bool)
-        inside[ends] = False
+        inside[self.at[1:] - 1] = False
         self.t[inside] = w.hashes
-        self.order = order
+        self.order, self.cut = order, np.uint64(64 - bits)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.place = np.arange(len(self.t)) - self.at[self.doc]
 
-    def context(self, words: int) -> np.ndarray:
-        """Hash of the words before each token; places before the start count as START."""
-        out = np.full(len(self.t), np.uint64(words), np.uint64)
-        for back in range(words, 0, -1):
-            before = np.concatenate([np.full(min(back, len(self.t)), START, np.uint64), self.t[:-back]])[: len(self.t)]
-            before = np.where(self.place >= back, before, START)
+    def grams(self, m: int) -> np.ndarray:
+        """Hash of the m tokens that end at each token; places before a text's start count as START."""
+        out = np.full(len(self.t), np.uint64(m), np.uint64)
+        for back in range(m - 1, -1, -1):
+            if back:
+                before = np.full(len(self.t), START, np.uint64)
+                before[back:] = np.where(self.place[back:] >= back, self.t[:-back], START)
+            else:
+                before = self.t
             out = keyed.mix(out * np.uint64(keyed.BASE) + before)
-        return out
+        return out >> self.cut
 
+    def keys(self, m: int) -> np.ndarray:
+        """Words in full, as their counts are exact; longer n-grams cut."""
+        return self.t if m == 1 else self.grams(m)
 
-def arcs(ctx: np.ndarray, word: np.ndarray, trained: np.ndarray):
-    """Distinct (context, 48 bits of word), sorted by both, with training counts; for each token the arc it takes."""
-    word = word >> np.uint64(16)
-    order = np.lexsort((word, ctx))
-    c, w = ctx[order], word[order]
-    first = np.ones(len(c), bool)
-    first[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    group = np.cumsum(first) - 1
-    back = np.empty(len(c), np.int64)
-    back[order] = group
-    counts = np.add.reduceat(trained[order].astype(np.int64), np.nonzero(first)[0]) if len(c) else np.zeros(0, np.int64)
-    return c[first], w[first], counts, back
 
+class Automaton:
+    """States, arcs and failure arcs over a bucket's own n-grams.
 
-def _groups(c: np.ndarray):
-    """Starts of runs of equal values, and the run each place is in."""
-    first = np.ones(len(c), bool)
-    first[1:] = c[1:] != c[:-1]
-    return np.nonzero(first)[0], np.cumsum(first) - 1
+    gram[m]: the place of each token's m-gram among the bucket's; count[m]: training counts of these; total and kinds: training
+    tokens and distinct ones; starts: training texts. State 0 is the root; first[m] is the state of the m-gram 0.
+    """
+
+    def __init__(self, k: Tokens, gram: dict, count: dict, total: int, kinds: int, starts: int, mu):
+        self.k, order, ends = k, k.order, k.at[1:] - 1
+        self.word, words = gram[1], len(count[1])
+        p = (count[1] + ADD) / (total + ADD * (kinds + 1))
+        self.root = np.log10(p)
+        # m-grams that don't end a text, then the contexts of START alone.
+        live = {m: count[m] > 0 for m in range(1, order)}
+        for m in range(1, order):
+            live[m][gram[m][ends]] = False
+        self.first, at = {}, 1
+        for m in range(1, order):
+            self.first[m], at = at, at + len(count[m])
+        self.opening = at + np.arange(order - 1)
+        size = at + order - 1
+        seen = np.zeros(size)
+        self.fail, self.weight = np.zeros(size, np.int64), np.zeros(size)
+        alive = np.zeros(size, bool)
+        alive[0] = True
+        for m in range(1, order):
+            own = slice(self.first[m], self.first[m] + len(count[m]))
+            seen[own], alive[own] = count[m], live[m]
+            seen[self.opening[m - 1]], alive[self.opening[m - 1]] = starts, starts > 0
+            self.weight[own] = np.log10(mu[m - 1] / (count[m] + mu[m - 1]))
+            self.weight[self.opening[m - 1]] = np.log10(mu[m - 1] / (starts + mu[m - 1]))
+            if m > 1:
+                self.fail[self.first[m] + gram[m]] = self.first[m - 1] + gram[m - 1]
+                self.fail[self.opening[m - 1]] = self.opening[m - 2]
+        # Where a word leads from the root; arcs (state, word) of longer n-grams, sorted.
+        self.next_root = np.zeros(words, np.int64)
+        if order > 1:
+            self.next_root = np.where(live[1], self.first[1] + np.arange(words), 0)
+        codes, logs, to = [], [], []
+        for m in range(2, order + 1):
+            one = np.empty(len(count[m]), np.int64)  # a token that ends each m-gram
+            one[gram[m]] = np.arange(len(k.t))
+            state = self._context(m - 1, one, gram)
+            c, lower = seen[state], p[gram[m - 1][one]]
+            p = np.where(alive[state], (count[m] + mu[m - 2] * lower) / (c + mu[m - 2]), lower)
+            arc = np.flatnonzero(count[m] > 0)
+            codes.append(state[arc] * words + self.word[one[arc]])
+            logs.append(np.log10(p[arc]))
+            goal = (self.first[m] + arc) if m < order else self.first[m - 1] + gram[m - 1][one[arc]]
+            to.append(np.where(alive[goal], goal, 0))
+        self.codes, self.logs, self.to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, logs, to))
+        by = np.argsort(self.codes)
+        self.codes, self.logs, self.to, self.words = self.codes[by], self.logs[by], self.to[by], words
+        self.start = self.opening[-1] if order > 1 and starts else 0
+
+    def _context(self, m: int, tokens: np.ndarray, gram) -> np.ndarray:
+        """The state of the m tokens before each of some tokens, alive or not."""
+        return np.where(self.k.place[tokens] > 0, self.first[m] + gram[m][tokens - 1], self.opening[m - 1])
+
+    def traverse(self) -> np.ndarray:
+        """Log-probability of each text. Texts go from left to right side by side, each with its state; no text looks back."""
+        order = np.argsort(-self.k.n, kind="stable")
+        start, n = self.k.at[:-1][order], self.k.n[order]
+        state, score = np.full(len(n), self.start, np.int64), np.zeros(len(n))
+        last = len(self.codes) - 1
+        for step in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -step, side="left"))
+            w, s = self.word[start[:live] + step], state[:live]
+            add, to, open_ = np.zeros(live), np.empty(live, np.int64), np.arange(live)
+            while len(open_):
+                at_root = s[open_] == 0
+                done = open_[at_root]
+                add[done] += self.root[w[done]]
+                to[done] = self.next_root[w[done]]
+                open_ = open_[~at_root]
+                if not len(open_):
+                    break
+                code = s[open_] * self.words + w[open_]
+                i = np.minimum(np.searchsorted(self.codes, code), last)
+                hit = self.codes[i] == code if last >= 0 else np.zeros(len(open_), bool)
+                done = open_[hit]
+                add[done] += self.logs[i[hit]]
+                to[done] = self.to[i[hit]]
+                open_ = open_[~hit]
+                s = s.copy()
+                add[open_] += self.weight[s[open_]]
+                s[open_] = self.fail[s[open_]]
+            score[:live] += add
+            state[:live] = to
+        out = np.empty(len(n))
+        out[order] = score
+        return out
 
 
-def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, train, order: int = 3, mu=(8.0, 4.0), text: str = "text", id_col: str = "doc_id", direct: int = 8192) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; train: which rows are learned from.
 
-    Null and empty texts are one end token. Without training rows, counts are 0 and each token has p = 1: N = V = 0. A
+    mu has a weight for each order from 2 on. Null and empty texts are one end token. Without training rows, counts are 0 and each token has p = 1: N = V = 0. A
     row is learned once for each time it is there. An empty table gives no rows. Only the id, the text and what train reads
     are read. Counts cover every training text; what the shards gather grows with the corpus and none of it is broadcast.
+    Words have hashes of 64 bits. Longer n-grams have log2(tokens) + 20 bits, 48 at least and 64 at most: one in a million shares
+    its count with another.
     """
     ship(docs.sparkSession)
-    n = buckets_for(docs, text, 7.0)
-    shards = n
+    n = buckets_for(docs, text, BUCKET_MB)
+    bits = min(64, max(48, int(np.ceil(np.log2(n * BUCKET_MB * 250_000))) + 20))
+    ex = keyed.Exchange(n, {m: keyed.Total for m in range(1, order + 1)}, direct, summed=(1,))
     d = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def load(t: pa.Table):
-        k = Tokens(t["text"].to_pylist(), order)
+        k = Tokens(t["text"].to_pylist(), order, bits)
         return k, t["train"].to_numpy(zero_copy_only=False).astype(bool)[k.doc]
 
+    def counted(k: Tokens, trained: np.ndarray, m: int):
+        """Sorted n-grams (cut hashes as the top bits of keys), training counts, the place of each token's among them."""
+        keys, _, back = keyed.distinct(k.keys(m) if m == 1 else k.keys(m) << k.cut)
+        return keys, np.bincount(back, trained, len(keys)).astype(np.int64), back
+
     def ask(t: pa.Table) -> pa.Table:
         k, trained = load(t)
         b = t["bucket"][0].as_py()
-        keys, counts = _unigrams(k.t, trained)[:2]
-        out = [keyed.ask(b, 1, shards, keys, lambda lo, hi: keyed.pack_counts(counts[lo:hi]))]
-        for m in range(1, order):
-            c, w, counts, _ = arcs(k.context(m), k.t, trained)
-            start, ctx = _groups(c)
-            e = keyed.shard_edges(c, shards)
-            runs = [(s, int(e[s]), int(e[s + 1])) for s in range(shards) if e[s + 1] > e[s]]
-            rows = [[s for s, _, _ in runs], [b] * len(runs), [m + 1] * len(runs), [hi - lo for _, lo, hi in runs], [], []]
-            size = np.diff(np.append(start, len(c)))
-            for _, lo, hi in runs:
-                own = slice(int(ctx[lo]), int(ctx[hi - 1]) + 1)
-                rows[4].append(keyed.pack_sorted(c[start[own]]))
-                rows[5].append(keyed.bundle(keyed.pack_counts(size[own]), keyed.pack_48(w[lo:hi]), keyed.pack_counts(counts[lo:hi])))
-            out.append(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(rows, keyed.ASK_ARROW)], schema=keyed.ASK_ARROW))
-        return pa.concat_tables(out)
-
-    def match(t: pa.Table) -> pa.Table:
-        kinds = np.array(t["kind"].to_pylist())
-        rows = list(zip(t["bucket"].to_pylist(), t["shard"].to_pylist(), t["n"].to_pylist(), t["keys"].to_pylist(), t["vals"].to_pylist()))
-        out = []
-        for kind in sorted(set(kinds.tolist())):
-            mine = [r for r, k in zip(rows, kinds) if k == kind]
-            sizes = [r[2] for r in mine]
-            cut = np.cumsum(sizes)[:-1]
-            keys = [keyed.unpack_sorted(r[3]) for r in mine]
-            if kind == 1:
-                c = np.concatenate(keys)
-                counts = np.concatenate([keyed.unpack_counts(r[4]) for r in mine])
-                _, back = np.unique(c, return_inverse=True)
-                sums = np.bincount(back, counts, minlength=0).astype(np.int64)
-                head = np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes()
-                out += [(r[0], 1, r[1], head + keyed.pack_counts(v)) for r, v in zip(mine, np.split(sums[back], cut))]
-                continue
-            parts = [keyed.unbundle(r[4]) for r in mine]
-            c = np.concatenate([k.repeat(keyed.unpack_counts(p[0])) for k, p in zip(keys, parts)])
-            w = np.concatenate([keyed.unpack_48(p[1]) for p in parts])
-            counts = np.concatenate([keyed.unpack_counts(p[2]) for p in parts])
-            del parts
-            order_ = np.lexsort((w, c))
-            cs, ws = c[order_], w[order_]
-            start, _ = _groups(cs)
-            arc_first = np.ones(len(cs), bool)
-            arc_first[1:] = (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])
-            arc_at = np.nonzero(arc_first)[0]
-            arc_sum = np.add.reduceat(counts[order_], arc_at)
-            arc_ctx = np.searchsorted(start, arc_at, side="right") - 1
-            total = np.bincount(arc_ctx, arc_sum, minlength=len(start)).astype(np.int64)
-            types = np.bincount(arc_ctx, arc_sum > 0, minlength=len(start)).astype(np.int64)
-            of_arc, of_ctx = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
-            of_arc[order_] = arc_sum[np.cumsum(arc_first) - 1]
-            of_ctx[order_] = np.searchsorted(start, np.arange(len(c)), side="right") - 1
-            for r, a, x in zip(mine, np.split(of_arc, cut), np.split(of_ctx, cut)):
-                own = x[_groups(x)[0]]
-                out.append((r[0], kind, r[1], keyed.bundle(keyed.pack_counts(a), keyed.pack_counts(total[own]), keyed.pack_counts(types[own]))))
-        return keyed.answers(out)
+        return pa.concat_tables([ex.ask(b, {m: ((own := counted(k, trained, m))[0], own[1:2])}) for m in range(1, order + 1)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -155,38 +195,19 @@ def score_texts(docs: DataFrame, train, order: int = 2, discount: float = 0.75,
         if not t.num_rows:
             return pa.Table.from_arrays([t["id"], *(pa.array([], x) for x in (pa.int64(),) * 3 + (pa.float64(),) * 2)], names)
         k, trained = load(t)
-        uni = keyed.answered(got, 1)
-        total, distinct = (sum(int(np.frombuffer(v, np.int64, 1, 8 * i)[0]) for v in uni) for i in (0, 1))
-        # Shards without a key of this bucket do not answer it: every bucket asks each shard for one key at least.
-        keys, _, back, asked = _unigrams(k.t, trained)
-        count = np.concatenate([keyed.unpack_counts(v[16:]) for v in uni])[asked][back]
-        p = (count + ADD) / (total + ADD * (distinct + 1))
-        base = np.log10(p)
-        for m in range(1, order):
-            c, w, _, back = arcs(k.context(m), k.t, trained)
-            parts = [keyed.unbundle(v) for v in keyed.answered(got, m + 1)]
-            ctx = _groups(c)[1]
-            arc = np.concatenate([keyed.unpack_counts(p[0]) for p in parts]).astype(float)
-            seen, after = (np.concatenate([keyed.unpack_counts(p[i]) for p in parts]).astype(float)[ctx] for i in (1, 2))
-            arc, seen, after = arc[back], seen[back], after[back]
-            known = seen > 0
-            safe = np.where(known, seen, 1)
-            p = np.where(known, np.maximum(arc - discount, 0) / safe + discount * after / safe * p, p)
+        gram, count = {}, {}
+        for m in range(1, order + 1):
+            keys, own, gram[m] = counted(k, trained, m)
+            (count[m],), sums = ex.learn(got, m, keys, (own,))
+            if m == 1:
+                total, kinds = sums.tolist()
+        ends = k.at[1:] - 1
+        a = Automaton(k, gram, count, total, kinds, int(count[1][gram[1][ends[0]]]), mu)
         at = k.at[:-1]
-        cols = [np.add.reduceat((count > 0).astype(np.int64), at), np.full(len(at), total, np.int64), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)]
+        cols = [np.add.reduceat((count[1] > 0).astype(np.int64)[gram[1]], at), np.full(len(at), total, np.int64), np.add.reduceat(a.root[gram[1]], at), a.traverse()]
         return pa.Table.from_arrays([t["id"], pa.array(k.n), *map(pa.array, cols)], names)
 
-    def _unigrams(tokens: np.ndarray, trained: np.ndarray):
-        """Sorted keys to ask for, with training counts: the tokens' own and one of each shard, so that each answers."""
-        own, back = np.unique(tokens, return_inverse=True)
-        probes = np.array([(i << 64) // shards for i in range(shards)], np.uint64)
-        keys = np.union1d(own, probes)
-        counts = np.zeros(len(keys), np.int64)
-        asked = np.searchsorted(keys, own)
-        counts[asked] = np.bincount(back, trained, minlength=len(own))
-        return keys, counts, back, asked
-
-    heard = d.groupBy("bucket").applyInArrow(ask, keyed.ASK).groupBy("shard").applyInArrow(match, keyed.ANSWER)
+    heard = ex.answer(d.groupBy("bucket").applyInArrow(ask, keyed.ASK))
     return d.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(finish, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridweave.llm import language, lines, mixing, packing, quality, scoring, secrets, shingles, substrings, vectors
+from gridweave.llm import keyed, language, lines, mixing, packing, quality, scoring, secrets, shingles, substrings, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -360,39 +360,51 @@ def test_vectors(spark, cell):
     assert got == {i: (links[i], root(i), root(i) == i) for i, _ in rows}
 
 
-def brute_lm(rows, order, train):
+def brute_lm(rows, order, train, mu=(8.0, 4.0)):
+    """A literal automaton: dicts of states, arcs and failure arcs, one token after the other; and the formula it stands for."""
     toks = {i: [*words(lower(t)), None] for i, t, *_ in rows}
-    c, grams, total, types = Counter(), Counter(), Counter(), Counter()
+    grams = Counter()
     for i, t, *_ in rows:
         if train(i):
-            w = toks[i]
-            c.update(w)
-            for m in range(1, order):
-                pad = ["<s>"] * m + w
-                grams.update((tuple(pad[k : k + m]), pad[k + m]) for k in range(len(w)))
-    for (h, _), n in grams.items():
-        total[h] += n
-        types[h] += 1
-    size, kinds, out = sum(c.values()), len(c), {}
+            pad = ["<s>"] * order + [*words(lower(t)), None]
+            for k in range(order, len(pad)):
+                grams.update(tuple(pad[k - m + 1 : k + 1]) for m in range(1, order + 1))
+    docs = grams[(None,)]
+    size, kinds = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    seen = lambda h: docs if set(h) <= {"<s>"} else grams[h]
+
+    def prob(h, w):
+        if not h:
+            return (grams[(w,)] + 0.1) / (size + 0.1 * (kinds + 1))
+        m = mu[len(h) - 1]
+        return (grams[(*h, w)] + m * prob(h[1:], w)) / (seen(h) + m) if seen(h) else prob(h[1:], w)
+
+    states = {()} | {g for g in grams if len(g) < order and g[-1] is not None} | ({("<s>",) * m for m in range(1, order)} if docs else set())
+    arcs = {(g[:-1], g[-1]): prob(g[:-1], g[-1]) for g in grams}
+    out = {}
     for i, w in toks.items():
-        base = score = 0.0
+        base, score, by_formula, state, pad = 0.0, 0.0, 0.0, ("<s>",) * (order - 1) if docs else (), ["<s>"] * (order - 1) + w
         for k, x in enumerate(w):
-            p = (c[x] + 0.1) / (size + 0.1 * (kinds + 1))
-            base += math.log10(p)
-            for m in range(1, order):
-                h = tuple((["<s>"] * m + w)[k : k + m])
-                if total[h]:
-                    p = max(grams[h, x] - 0.75, 0) / total[h] + 0.75 * types[h] / total[h] * p
-            score += math.log10(p)
-        out[i] = (len(w), sum(c[x] > 0 for x in w), size, base, score)
+            base += math.log10(prob((), x))
+            by_formula += math.log10(prob(tuple(pad[k : k + order - 1]), x))
+            while (state, x) not in arcs and state:
+                m = mu[len(state) - 1]
+                score += math.log10(m / (seen(state) + m))
+                state = state[1:]
+            score += math.log10(arcs.get((state, x), prob((), x)))
+            state = (*state, x)
+            while state not in states:
+                state = state[1:]
+        assert math.isclose(score, by_formula, rel_tol=1e-9)
+        out[i] = (len(w), sum(grams[(x,)] > 0 for x in w), size, base, score)
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores(spark, docs, rows, order):
+@pytest.mark.parametrize(("order", "direct"), [(1, 8192), (2, 8192), (3, 8192), (3, 8), (4, 8192)])
+def test_scores(spark, docs, rows, order, direct):
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    want = brute_lm(rows, order, train)
-    got = scoring.score_texts(docs, ~scoring.held_out(10, 0), order).collect()
+    want = brute_lm(rows, order, train, (8.0, 4.0, 2.0))
+    got = scoring.score_texts(docs, ~scoring.held_out(10, 0), order, (8.0, 4.0, 2.0), direct=direct).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r["doc_id"]]
@@ -400,6 +412,24 @@ def test_scores(spark, docs, rows, order):
         assert math.isclose(r["base_score"], w[3], rel_tol=1e-9) and math.isclose(r["score"], w[4], rel_tol=1e-9)
 
 
+def test_scores_without_training(spark, docs):
+    from pyspark.sql import functions as F
+
+    got = scoring.score_texts(docs, F.lit(False)).collect()
+    assert all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0 for r in got)
+
+
+def test_key_exchange_codes():
+    r = np.random.default_rng(0)
+    for n, top in ((0, 9), (1, 2**63), (7, 9), (5000, 1 << 40), (100, 2**63)):
+        x = np.unique(r.integers(0, top, n).astype(np.uint64))
+        assert (keyed.unpack_keys(keyed.pack_keys(x)) == x).all()
+    for v in ([], [0, 1, 2, 3, 300, 5, 10**12, 258, 257], [7], [0] * 99 + [255, 1000]):
+        assert keyed.unpack_ints(keyed.pack_ints(np.array(v, np.int64))).tolist() == v
+    least = (np.array([-5, 2**62, -(2**63), 2**63 - 1]), np.array([1, 2, 3, 4]))
+    assert all((a == b).all() for a, b in zip(keyed.Least.unpack(keyed.Least.pack(least)), least))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for op in (secrets.op1, mixing.op3, packing.op4, language.op5, quality.op6, substrings.op7, shingles.op9, scoring.op10):
