@@ -262,25 +262,53 @@ def test_quality_verdict(spark):
     assert kept.columns == ["doc_id", "text", "__extra"] and kept.count() == 200
 
 
-def test_substrings(spark, docs, rows):
-    first, want = {}, {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
-        w = words(t)
-        for s in range(len(w) - 49):
-            first.setdefault(tuple(w[s : s + 50]), i)
-    for i, t, *_ in rows:
-        w, gone = words(t), set()
-        for s in range(len(w) - 49):
-            if first[tuple(w[s : s + 50])] < i:
-                gone |= set(range(s, s + 50))
+def naive_parse(rows, window=50):
+    """Per id: (words, words removed, hash of the rest, factors), word by word against a dict of first occurrences."""
+    first, text, out = {}, {r[0]: words(r[1]) for r in rows}, {}
+    for i in sorted(text):
+        for s in range(len(text[i]) - window + 1):
+            first.setdefault(tuple(text[i][s : s + window]), (i, s))
+    for i, w in text.items():
+        at, factors, gone = 0, [], set()
+        while at + window <= len(w):
+            ref, place = first[tuple(w[at : at + window])]
+            if ref >= i:
+                at += 1
+                continue
+            n = window
+            while at + n < len(w) and first[tuple(w[at + n - window + 1 : at + n + 1])] == (ref, place + n - window + 1):
+                assert w[at + n] == text[ref][place + n]
+                n += 1
+            assert w[at : at + n] == text[ref][place : place + n]
+            factors.append(f"{at}:{n}:{ref}:{place}")
+            gone |= set(range(at, at + n))
+            at += n - window + 1
+        for s in range(len(w) - window + 1):  # the contract, without the parse
+            assert first[tuple(w[s : s + window])][0] >= i or set(range(s, s + window)) <= gone
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = substrings.op7(docs).collect()
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), ",".join(factors))
+    return out
+
+
+@pytest.mark.parametrize("direct", [8192, 8])
+def test_substrings(spark, docs, rows, direct):
+    want = naive_parse(rows)
+    got = substrings.dedup_substrings(docs, direct=direct).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
-    assert any(v[1] for v in want.values())
-    for r in got:
-        assert sum(int(x.split(":")[1]) for x in r["factors"].split(",") if x) == r["n_removed"]
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["factors"]) for r in got} == want
+    assert any("," in v[3] for v in want.values()) and any(int(f.split(":")[1]) > 60 for v in want.values() for f in v[3].split(",") if f)
+
+
+def test_substrings_null_ids_and_borders(spark):
+    r = random.Random(8)
+    make = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    a, b = make(120), make(120)
+    x, y = a.split(" "), b.split(" ")
+    rows = [(-3, a), (7, b), (9, " ".join(x[:70] + y[20:90])), (11, " ".join(x[30:79] + ["new"] + x[30:80])), (12, " ".join(x[5:60] * 2)), (13, "  ".join(x[:49]))]
+    got = {q["doc_id"]: q for q in substrings.op7(spark.createDataFrame([*rows, (None, a)], "doc_id long, text string")).collect()}
+    want = naive_parse(rows)
+    assert {i: (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"], got[i]["factors"]) for i, _ in rows} == want
+    assert got[9]["factors"] == "0:70:-3:0,70:70:7:20" and got[None]["n_removed"] == 120
 
 
 def brute_links(rows):
