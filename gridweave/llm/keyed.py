@@ -55,12 +55,18 @@ class Words:
     """The words of a list of texts as one array of hashes; text i has hashes[at[i]:at[i + 1]]."""
 
     def __init__(self, texts, lower: bool = False, keep: bool = False):
-        lists = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        lists = [(t.lower() if lower else t).split() for t in lists]
-        self.n = np.array([len(x) for x in lists], np.int64)
+        counts, parts, kept = [], [np.zeros(0, np.uint64)], []
+        for at in range(0, len(texts), 256):  # some texts at a time: word lists take ten times their text
+            lists = [(t or "").encode("utf-8", "surrogatepass") for t in texts[at : at + 256]]
+            lists = [(t.lower() if lower else t).split() for t in lists]
+            counts += map(len, lists)
+            parts.append(np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, sum(map(len, lists))))
+            if keep:
+                kept += lists
+        self.n = np.array(counts, np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
-        self.hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, int(self.at[-1]))
-        self.lists = lists if keep else None
+        self.hashes = np.concatenate(parts)
+        self.lists = kept if keep else None
 
     def of(self) -> np.ndarray:
         """The text each word is in."""
@@ -294,15 +300,15 @@ class Exchange:
     they hold and asks sqrt(n) shards in their stead. Messages are 2 n sqrt(n) then, and a task holds no more than before.
     """
 
-    def __init__(self, buckets: int, kinds: dict[int, type], direct: int = 8192, space: int = 64, summed: tuple = ()):
-        """kinds: how values of each kind of key merge. summed: kinds whose counts every bucket also gets the sum of, and the number over 0."""
-        self.n, self.kinds, self.space, self.summed = buckets, kinds, space, summed
+    def __init__(self, buckets: int, kinds: dict[int, type], direct: int = 8192, bits: dict[int, int] | None = None, summed: tuple = ()):
+        """kinds: how values of each kind of key merge. bits: of the keys of a kind, where not 64. summed: kinds whose counts every bucket also gets the sum of, and the number over 0."""
+        self.n, self.kinds, self.bits, self.summed = buckets, kinds, bits or {}, summed
         self.fan = 0 if buckets <= direct else math.isqrt(buckets - 1) + 1
         self.parts = self.fan or buckets
 
-    def _cut(self, keys: np.ndarray, first: int, parts: int, of: int) -> np.ndarray:
+    def _cut(self, kind: int, keys: np.ndarray, first: int, parts: int, of: int) -> np.ndarray:
         """Edges in sorted keys of parts first, first + 1, ... of the key space cut evenly in that many."""
-        cuts = [(i << self.space) // of for i in range(first + 1, first + parts)]
+        cuts = [(i << self.bits.get(kind, 64)) // of for i in range(first + 1, first + parts)]
         return np.concatenate([[0], np.searchsorted(keys, np.array(cuts, np.uint64)), [len(keys)]])
 
     def _runs(self, sender: int, node, keys: np.ndarray, kind: int, vals, cut: np.ndarray) -> pa.Table:
@@ -314,7 +320,7 @@ class Exchange:
     def ask(self, bucket: int, asked: dict) -> pa.Table:
         """Rows of ASK for a bucket; asked: kind -> (sorted distinct keys, values)."""
         node = (lambda i: bucket // self.fan * self.fan + i) if self.fan else (lambda i: i)
-        return pa.concat_tables([ASK_ARROW.empty_table(), *(self._runs(bucket, node, keys, kind, vals, self._cut(keys, 0, self.parts, self.parts)) for kind, (keys, vals) in asked.items())])
+        return pa.concat_tables([ASK_ARROW.empty_table(), *(self._runs(bucket, node, keys, kind, vals, self._cut(kind, keys, 0, self.parts, self.parts)) for kind, (keys, vals) in asked.items())])
 
     def _merged(self, t: pa.Table):
         """Of each kind: senders, their values, where their runs start, merged keys and values, place of each asked key in these."""
@@ -347,7 +353,7 @@ class Exchange:
         out = [ASK_ARROW.empty_table()]
         for kind, _, _, _, keys, whole, _ in self._merged(t):
             first = part * self.fan
-            out.append(self._runs(node, lambda i: first + i, keys, kind, whole, self._cut(keys, first, self.fan, self.fan**2)))
+            out.append(self._runs(node, lambda i: first + i, keys, kind, whole, self._cut(kind, keys, first, self.fan, self.fan**2)))
         return pa.concat_tables(out)
 
     def _spread(self, t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -356,7 +362,7 @@ class Exchange:
         node = t["node"][0].as_py()
         out = []
         for kind, senders, vals, at, keys, whole, back in self._merged(t):
-            got, sums = self._learn(answers, kind, whole, self._cut(keys, node % self.fan * self.fan, self.fan, self.fan**2))
+            got, sums = self._learn(answers, kind, whole, self._cut(kind, keys, node % self.fan * self.fan, self.fan, self.fan**2))
             out += self._answers(node, kind, senders, vals, at, back, got, sums)
         return _reply(out)
 
@@ -378,7 +384,7 @@ class Exchange:
 
     def learn(self, answers: pa.Table, kind: int, keys: np.ndarray, vals):
         """What all buckets hold of the keys a bucket asked for, from its rows of REPLY; and the sums, where the kind has them."""
-        return self._learn(answers, kind, vals, self._cut(keys, 0, self.parts, self.parts))
+        return self._learn(answers, kind, vals, self._cut(kind, keys, 0, self.parts, self.parts))
 
 
 def _reply(rows: list[tuple]) -> pa.Table:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,109 +59,152 @@ def best_fit(counts: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
     return [g for groups in open_bins.values() for g in groups]
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of a fit inside those of b, so that b is never the worse filling."""
-    if not a:
-        return True
-    head, rest = a[0], a[1:]
-    seen = set()
-    for i, x in enumerate(b):
-        if x >= head and x not in seen:
-            seen.add(x)
-            if dominated(rest, tuple(sorted((*b[:i], *b[i + 1 :], x - head), reverse=True))):
-                return True
-    return False
+class Spent(Exception):
+    """The search has used up its steps."""
 
 
-def fillings(sizes: list[int], counts: np.ndarray, room: int, most: int, look: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first: an exact piece beats all; else up to look first pieces, completed.
+class Packing(NamedTuple):
+    """bins: (lengths in a bin, bins) each; bound: no packing has fewer bins; proven: nor than this one (bound reached or search exhausted)."""
 
-    Fillings of over four pieces skip the test, which is exponential in them: a dominated one costs a branch, nothing else.
-    """
-    import bisect
-
-    def largest(limit: int, taken: tuple[int, ...]) -> int:
-        i = bisect.bisect_right(sizes, limit) - 1
-        while i >= 0 and counts[sizes[i]] <= taken.count(sizes[i]):
-            i -= 1
-        return sizes[i] if i >= 0 else 0
-
-    if room <= 0 or not sizes or sizes[0] > room:
-        return [()]
-    if counts[room]:
-        return [(room,)]
-    found = set()
-
-    def complete(done: tuple[int, ...], left: int) -> None:
-        limit, tries = min(left, done[-1] if done else left), (look, 3, 2)[len(done)] if len(done) < 3 else 1
-        placed = False
-        while limit > 0 and tries:
-            x = largest(limit, done)
-            if not x:
-                break
-            placed = True
-            complete((*done, x), left - x)
-            limit, tries = x - 1, tries - 1
-            if left == x:
-                break
-        if not placed:
-            found.add(done)
-
-    complete((), room)
-    out: list[tuple[int, ...]] = []
-    for f in sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f])):
-        if len(f) > 4 or not any(len(f) >= len(o) and dominated(f, o) for o in out):
-            out.append(f)
-        if len(out) == most:
-            break
-    return out or [()]
+    bins: list[tuple[tuple[int, ...], int]]
+    bound: int
+    proven: bool
 
 
-def complete_bins(counts: np.ndarray, cap: int = CAPACITY, nodes: int = 2000, branches: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a bin, bins)] with as few bins as the search finds.
+def dominated(filling: tuple[int, ...], room: int, others: int) -> bool:
+    """Whether some pieces of a filling (none, too) could give way to one larger or equal piece that is left, and fits; others: bits of these sizes.
 
-    Each node fills the bin of the largest piece left in one undominated way, as often as the counts allow;
-    a node goes when bins so far + waste bound reach the incumbent. Best fit over what is left gives incumbents, first of
-    all over everything. The search ends at the waste bound of the whole or after a number of nodes, with the best incumbent.
+    The piece's bin would take what gave way, so the filling with the piece is never the worse: Martello and Toth's rule for one piece. It
+    raises the sum, or keeps it with fewer pieces, so no two fillings dominate each other.
+    """
+    every, many = 1, 0  # bits of the sums of all subsets, and of those of two pieces or more
+    for x in filling:
+        many |= (every & ~1) << x
+        every |= every << x
+    spare, above, width = room - sum(filling), every << 1, 1  # above: sums raised by 1 .. spare
+    while width < spare:
+        step = min(width, spare - width)
+        above |= above << step
+        width += step
+    above = above if spare else 0
+    return bool((above | many) & others)
+
+
+def fillings(left: list[tuple[int, int]], room: int, waste, tick):
+    """Undominated fillings of room that waste no more than waste() says, each once, large pieces first; left: (size, pieces), sizes falling."""
+    sizes = [s for s, _ in left]
+    totals = [0] * (len(left) + 1)
+    for i in range(len(left) - 1, -1, -1):
+        totals[i] = totals[i + 1] + left[i][0] * left[i][1]
+    smallest = sizes[-1] if sizes else 1
+    others = sum(1 << s for s in sizes)
+
+    def fill(i: int, space: int, done: tuple[tuple[int, int], ...]):
+        if space >= smallest:
+            top = bisect.bisect_left(sizes, -space, lo=i, key=lambda s: -s)
+            low = space - waste() if space < 2 * smallest else 0  # room for one more piece only
+            for j in range(top, len(left)):
+                s, n = left[j]
+                if s < low or space - totals[j] > waste():
+                    break
+                tick()
+                for m in range(min(n, space // s), 0, -1):
+                    yield from fill(j + 1, space - m * s, (*done, (s, m)))
+        if space <= waste():
+            tick()
+            whole, free = tuple(s for s, m in done for _ in range(m)), others
+            for s, m in done:
+                if have[s] == m:
+                    free &= ~(1 << s)
+            if not dominated(whole, room, free):
+                yield whole
+
+    have = dict(left)
+    return fill(0, room, ())
+
+
+def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 200_000) -> Packing:
+    """As few bins as the search finds; with steps None it ends with the fewest there are.
+
+    A node fills the bin of the largest piece left (where next to nothing may be wasted, of the one with the fewest partners) with one
+    undominated filling, any number of times; afterwards that filling is done with for this piece. A node goes when bins so far + waste bound reach the incumbent; a filling goes when it wastes more than an
+    improvement can spare. Best fit over what is left gives incumbents, first of all over everything. The search ends
+    at the waste bound of the whole, exhausted, or after a number of steps (fillings tried) with the best incumbent.
     """
     best = best_fit(counts, cap)
-    score, least = sum(m for _, m in best), lower_bound(counts, cap)
-    stack = [(counts.astype(np.int64), 0, ())]
-    seen = 0
-    while stack and score > least and seen < nodes:
-        left, used, path = stack.pop()
+    score, least, taken = sum(m for _, m in best), lower_bound(counts, cap), 0
+
+    def tick(n: int = 1) -> None:
+        nonlocal taken
+        taken += n
+        if steps is not None and taken > steps:
+            raise Spent
+
+    def children(left: np.ndarray, used: int, barred: tuple[int, frozenset]):
+        """(left, used, filling, times, barred) of each child, best ones first among the next few."""
+        held = [(s, int(left[s])) for s in np.flatnonzero(left)[::-1].tolist()]
+        total, at = sum(x * k for x, k in held), 0
+        spare = lambda: (score - 1 - used) * cap - total
+        if len(held) < 64 and spare() < held[-1][0]:
+            # Little may be wasted: first the bin of the piece that the fewest pairs complete.
+            there = (left > 0).astype(np.int64)
+            pairs = np.cumsum(np.convolve(there, there)[: cap + 1])
+            at = min(range(len(held)), key=lambda i: pairs[cap - held[i][0]] - (pairs[c] if (c := cap - held[i][0] - spare() - 1) >= 0 else 0))
+        s, n = held[at]
+        done = barred[1] if barred[0] == s else frozenset()
+        ways = fillings([(x, k - (x == s)) for x, k in held if x != s or n > 1], cap - s, spare, tick)
+        while some := sorted(itertools.islice(ways, 64), key=lambda f: (-sum(f), len(f))):
+            for f in some:
+                if f in done:
+                    continue
+                done |= {f}
+                whole, waste = (s, *f), cap - s - sum(f)
+                times = min(int(left[x]) // whole.count(x) for x in set(whole))
+                while times and times * waste <= spare():
+                    after = left.copy()
+                    for x in set(whole):
+                        after[x] -= times * whole.count(x)
+                    yield after, used + times, whole, times, (s, done)
+                    times -= 1
+
+    stack, path, seen, known = [], [], 0, {}
+
+    def enter(left: np.ndarray, used: int, barred) -> None:
+        """Open a node, unless it can't beat the incumbent."""
+        nonlocal best, score, seen
         seen += 1
-        sizes = np.nonzero(left)[0].tolist()
-        if not sizes:
+        kinds = int(np.count_nonzero(left))
+        tick(1 + kinds // 8)
+        ways = iter(())
+        if not kinds:
             if used < score:
-                score, best = used, _unroll(path)
-            continue
-        if used + lower_bound(left, cap) >= score:
-            continue
-        if seen % 64 == 1 or len(sizes) < 16:
-            rest = best_fit(left, cap)
-            if used + sum(m for _, m in rest) < score:
-                score, best = used + sum(m for _, m in rest), _unroll(path) + rest
-        s = sizes[-1]
-        left[s] -= 1
-        options = fillings(sizes if left[s] else sizes[:-1], left, cap - s, branches)
-        left[s] += 1
-        for f in reversed(options):
-            whole = (s, *f)
-            times = min(int(left[x]) // whole.count(x) for x in set(whole))
-            after = left.copy()
-            for x in set(whole):
-                after[x] -= times * whole.count(x)
-            stack.append((after, used + times, (path, whole, times)))
-    return best
-
-
-def _unroll(path) -> list[tuple[tuple[int, ...], int]]:
-    out = []
-    while path:
-        path, whole, times = path
-        out.append((whole, times))
-    return out[::-1]
+                score, best = used, list(path)
+        elif used + lower_bound(left, cap) < score and known.get(key := hashlib.blake2b(left.tobytes(), digest_size=16).digest(), score) > used:
+            # What was left after fewer or as many bins before needs no second look: its fillings were tried, or barred as tried.
+            known[key] = used
+            if kinds < 64 or seen % 64 == 1:
+                rest = best_fit(left, cap)
+                if used + sum(m for _, m in rest) < score:
+                    score, best = used + sum(m for _, m in rest), path + rest
+            ways = children(left, used, barred)
+        stack.append(ways)
+
+    try:
+        if score > least:
+            enter(counts.astype(np.int64), 0, (0, frozenset()))
+        while stack and score > least:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            after, used, whole, times, barred = child
+            path.append((whole, times))
+            enter(after, used, barred)
+    except Spent:
+        return Packing(best, least, score == least)
+    return Packing(best, least, True)
 
 
 def slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -283,21 +330,23 @@ def _ids(path: str, ranks: str | None) -> Ids:
     return _KNOWN[path, ranks]
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int = 2, cap: int = CAPACITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int = 2, cap: int = CAPACITY, text: str = "text", id_col: str = "doc_id", steps: int | None = 200_000) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, bound, proven), a row for each piece.
 
     Texts are tokenized once, in place; only piece rows move. The driver sees the histogram of lengths (at most cap
     rows) and returns intervals of ranks. Ranks within a length are counted in cells of about 4096 rows plus
     the counts of the cells before, so a length that a third of all pieces share is many cells. Null and empty texts
     are one piece, the end id. Repeated rows are packed each on its own. An empty table gives no rows. Only the id and the
-    text are read.
+    text are read. bound is the least number of sequences that the waste bound allows; proven, whether the search
+    ended with the fewest there are (steps None: always, in a time that can grow beyond any bound).
     """
     rows = materialize(pieces(docs, tokenizer, ranks, end_id, cap, text, id_col))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most cap rows
     counts = np.zeros(cap + 1, np.int64)
     for s, n in histogram.items():
         counts[s] = n
-    at = slots(complete_bins(counts, cap))
+    plan = complete_bins(counts, cap, steps)
+    at = slots(plan.bins)
     cells = F.array(*[F.lit(int(-(-n // CELL) or 1)) for n in counts.tolist()])
     rows = rows.withColumn("__cell", F.pmod(F.xxhash64(id_col, "piece"), F.get(cells, F.col("length").cast("int"))))
     mine = Window.partitionBy("length", "__cell").orderBy(id_col, "piece", "ids_crc32")
@@ -317,7 +366,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(at["base"][i] + k // at["each"][i]), pa.array(at["offset"][i] + k % at["each"][i] * length)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(place, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumns({"bound": F.lit(plan.bound).cast("long"), "proven": F.lit(plan.proven)})
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

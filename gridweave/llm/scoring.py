@@ -68,94 +68,68 @@ class Tokens:
 class Automaton:
     """States, arcs and failure arcs over a bucket's own n-grams.
 
-    gram[m]: the place of each token's m-gram among the bucket's; count[m]: training counts of these; total and kinds: training
-    tokens and distinct ones; starts: training texts. State 0 is the root; first[m] is the state of the m-gram 0.
+    gram[m]: the number of each token's m-gram among the bucket's; count[m]: training counts of these; total and kinds: training
+    tokens and distinct ones; starts: training texts. A state is an order m and the number of an m-gram; one number more is the
+    context of START alone, and order 0 the root. The arc of a state over a word has the number of the n-gram that both make up.
     """
 
     def __init__(self, k: Tokens, gram: dict, count: dict, total: int, kinds: int, starts: int, mu):
-        self.k, order, ends = k, k.order, k.at[1:] - 1
-        self.word, words = gram[1], len(count[1])
+        self.k, self.gram, self.order, ends = k, gram, k.order, k.at[1:] - 1
         p = (count[1] + ADD) / (total + ADD * (kinds + 1))
-        self.root = np.log10(p)
-        # m-grams that don't end a text, then the contexts of START alone.
-        live = {m: count[m] > 0 for m in range(1, order)}
-        for m in range(1, order):
-            live[m][gram[m][ends]] = False
-        self.first, at = {}, 1
-        for m in range(1, order):
-            self.first[m], at = at, at + len(count[m])
-        self.opening = at + np.arange(order - 1)
-        size = at + order - 1
-        seen = np.zeros(size)
-        self.fail, self.weight = np.zeros(size, np.int64), np.zeros(size)
-        alive = np.zeros(size, bool)
-        alive[0] = True
-        for m in range(1, order):
-            own = slice(self.first[m], self.first[m] + len(count[m]))
-            seen[own], alive[own] = count[m], live[m]
-            seen[self.opening[m - 1]], alive[self.opening[m - 1]] = starts, starts > 0
-            self.weight[own] = np.log10(mu[m - 1] / (count[m] + mu[m - 1]))
-            self.weight[self.opening[m - 1]] = np.log10(mu[m - 1] / (starts + mu[m - 1]))
+        self.arc, self.has, self.weight, self.fail = {1: np.log10(p)}, {}, {0: np.zeros(1)}, {}
+        lives = {0: np.ones(1, bool)}
+        for m in range(1, self.order):
+            seen = np.append(count[m], starts)
+            lives[m] = seen > 0
+            lives[m][gram[m][ends]] = False  # a text's end is no context
+            self.weight[m] = np.log10(mu[m - 1] / (seen + mu[m - 1]))
+            self.fail[m] = np.zeros(len(seen), np.int32)
             if m > 1:
-                self.fail[self.first[m] + gram[m]] = self.first[m - 1] + gram[m - 1]
-                self.fail[self.opening[m - 1]] = self.opening[m - 2]
-        # Where a word leads from the root; arcs (state, word) of longer n-grams, sorted.
-        self.next_root = np.zeros(words, np.int64)
-        if order > 1:
-            self.next_root = np.where(live[1], self.first[1] + np.arange(words), 0)
-        codes, logs, to = [], [], []
-        for m in range(2, order + 1):
+                self.fail[m][gram[m]] = gram[m - 1]
+                self.fail[m][-1] = len(count[m - 1])
+        for m in range(2, self.order + 1):
             one = np.empty(len(count[m]), np.int64)  # a token that ends each m-gram
             one[gram[m]] = np.arange(len(k.t))
-            state = self._context(m - 1, one, gram)
-            c, lower = seen[state], p[gram[m - 1][one]]
-            p = np.where(alive[state], (count[m] + mu[m - 2] * lower) / (c + mu[m - 2]), lower)
-            arc = np.flatnonzero(count[m] > 0)
-            codes.append(state[arc] * words + self.word[one[arc]])
-            logs.append(np.log10(p[arc]))
-            goal = (self.first[m] + arc) if m < order else self.first[m - 1] + gram[m - 1][one[arc]]
-            to.append(np.where(alive[goal], goal, 0))
-        self.codes, self.logs, self.to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, logs, to))
-        by = np.argsort(self.codes)
-        self.codes, self.logs, self.to, self.words = self.codes[by], self.logs[by], self.to[by], words
-        self.start = self.opening[-1] if order > 1 and starts else 0
-
-    def _context(self, m: int, tokens: np.ndarray, gram) -> np.ndarray:
-        """The state of the m tokens before each of some tokens, alive or not."""
-        return np.where(self.k.place[tokens] > 0, self.first[m] + gram[m][tokens - 1], self.opening[m - 1])
+            state = np.where(k.place[one] > 0, gram[m - 1][one - 1], len(count[m - 1]))
+            seen, p = np.append(count[m - 1], starts)[state], p[gram[m - 1][one]]
+            p = np.where(lives[m - 1][state], (count[m] + mu[m - 2] * p) / (seen + mu[m - 2]), p)
+            self.arc[m], self.has[m] = np.log10(p), count[m] > 0
+        self.lives = lives
+        self.start = (self.order - 1, len(count[self.order - 1])) if self.order > 1 and starts else (0, 0)
 
     def traverse(self) -> np.ndarray:
-        """Log-probability of each text. Texts go from left to right side by side, each with its state; no text looks back."""
-        order = np.argsort(-self.k.n, kind="stable")
-        start, n = self.k.at[:-1][order], self.k.n[order]
-        state, score = np.full(len(n), self.start, np.int64), np.zeros(len(n))
-        last = len(self.codes) - 1
+        """Log-probability of each text. Texts go from left to right side by side, each with its state; none looks back."""
+        by = np.argsort(-self.k.n, kind="stable")
+        start, n = self.k.at[:-1][by], self.k.n[by]
+        level, state = np.full(len(n), self.start[0], np.int8), np.full(len(n), self.start[1], np.int32)
+        score, falling, top = np.zeros(len(n)), -n, self.order
         for step in range(int(n[0]) if len(n) else 0):
-            live = int(np.searchsorted(-n, -step, side="left"))
-            w, s = self.word[start[:live] + step], state[:live]
-            add, to, open_ = np.zeros(live), np.empty(live, np.int64), np.arange(live)
-            while len(open_):
-                at_root = s[open_] == 0
-                done = open_[at_root]
-                add[done] += self.root[w[done]]
-                to[done] = self.next_root[w[done]]
-                open_ = open_[~at_root]
-                if not len(open_):
-                    break
-                code = s[open_] * self.words + w[open_]
-                i = np.minimum(np.searchsorted(self.codes, code), last)
-                hit = self.codes[i] == code if last >= 0 else np.zeros(len(open_), bool)
-                done = open_[hit]
-                add[done] += self.logs[i[hit]]
-                to[done] = self.to[i[hit]]
-                open_ = open_[~hit]
-                s = s.copy()
-                add[open_] += self.weight[s[open_]]
-                s[open_] = self.fail[s[open_]]
-            score[:live] += add
-            state[:live] = to
+            live = int(np.searchsorted(falling, -step, side="left"))
+            at = start[:live] + step
+            for m in range(top, 1, -1):
+                # Who took an arc of order m is at level m by now (the top: m - 1), so no lower order takes it up again.
+                mine = np.flatnonzero(level[:live] == m - 1)
+                if not len(mine):
+                    continue
+                arc = self.gram[m][at[mine]]
+                hit = self.has[m][arc]
+                go, miss = mine[hit], mine[~hit]
+                score[go] += self.arc[m][arc[hit]]
+                if m < top:
+                    level[go], state[go] = m, arc[hit]
+                else:
+                    state[go] = self.gram[m - 1][at[go]]
+                if len(miss):
+                    score[miss] += self.weight[m - 1][state[miss]]
+                    level[miss], state[miss] = m - 2, self.fail[m - 1][state[miss]]
+            mine = np.flatnonzero(level[:live] == 0)
+            if len(mine):
+                arc = self.gram[1][at[mine]]
+                score[mine] += self.arc[1][arc]
+                if top > 1:
+                    level[mine], state[mine] = self.lives[1][arc], arc
         out = np.empty(len(n))
-        out[order] = score
+        out[by] = score
         return out
 
 
@@ -171,7 +145,7 @@ def score_texts(docs: DataFrame, train, order: int = 3, mu=(8.0, 4.0), text: str
     ship(docs.sparkSession)
     n = buckets_for(docs, text, BUCKET_MB)
     bits = min(64, max(48, int(np.ceil(np.log2(n * BUCKET_MB * 250_000))) + 20))
-    ex = keyed.Exchange(n, {m: keyed.Total for m in range(1, order + 1)}, direct, summed=(1,))
+    ex = keyed.Exchange(n, {m: keyed.Total for m in range(1, order + 1)}, direct, {m: bits for m in range(2, order + 1)}, (1,))
     d = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def load(t: pa.Table):
@@ -179,9 +153,9 @@ def score_texts(docs: DataFrame, train, order: int = 3, mu=(8.0, 4.0), text: str
         return k, t["train"].to_numpy(zero_copy_only=False).astype(bool)[k.doc]
 
     def counted(k: Tokens, trained: np.ndarray, m: int):
-        """Sorted n-grams (cut hashes as the top bits of keys), training counts, the place of each token's among them."""
-        keys, _, back = keyed.distinct(k.keys(m) if m == 1 else k.keys(m) << k.cut)
-        return keys, np.bincount(back, trained, len(keys)).astype(np.int64), back
+        """Sorted n-grams, training counts, the place of each token's among them."""
+        keys, _, back = keyed.distinct(k.keys(m))
+        return keys, np.bincount(back, trained, len(keys)).astype(np.int64), back.astype(np.int32)
 
     def ask(t: pa.Table) -> pa.Table:
         k, trained = load(t)
@@ -204,7 +178,7 @@ def score_texts(docs: DataFrame, train, order: int = 3, mu=(8.0, 4.0), text: str
         ends = k.at[1:] - 1
         a = Automaton(k, gram, count, total, kinds, int(count[1][gram[1][ends[0]]]), mu)
         at = k.at[:-1]
-        cols = [np.add.reduceat((count[1] > 0).astype(np.int64)[gram[1]], at), np.full(len(at), total, np.int64), np.add.reduceat(a.root[gram[1]], at), a.traverse()]
+        cols = [np.add.reduceat((count[1] > 0).astype(np.int64)[gram[1]], at), np.full(len(at), total, np.int64), np.add.reduceat(a.arc[1][gram[1]], at), a.traverse()]
         return pa.Table.from_arrays([t["id"], pa.array(k.n), *map(pa.array, cols)], names)
 
     heard = ex.answer(d.groupBy("bucket").applyInArrow(ask, keyed.ASK))
