@@ -163,22 +163,77 @@ def test_mix_repeats_rows(spark, docs):
     assert {r["times"] for r in got} <= {0, 1, 2, 3}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_packing_solver(seed):
-    r = random.Random(seed)
-    items = [r.randint(1, 60) for _ in range(r.choice([0, 1, 12, 200]))]
-    counts = np.bincount(items, minlength=65).astype(np.int64)[:65]
-    bins = packing.complete_bins(counts, 64)
+def fewest(items, cap):
+    """Every way to put the pieces, largest first, into bins."""
+    best = len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[i]:
+                rest = list(bins)
+                rest.remove(room)
+                go(i + 1, [*rest, room - items[i]])
+        go(i + 1, [*bins, cap - items[i]])
+
+    go(0, [])
+    return best
+
+
+def solved(items, cap, **more):
+    counts = np.bincount(items, minlength=cap + 1).astype(np.int64)
+    got = packing.complete_bins(counts, cap, **more)
     have = Counter()
-    for f, m in bins:
-        assert sum(f) <= 64
+    for f, m in got.bins:
+        assert sum(f) <= cap and m > 0
         for x in f:
             have[x] += m
-    assert have == Counter(items)
-    n, least = sum(m for _, m in bins), packing.lower_bound(counts, 64)
-    assert least <= n <= max(least + 1, math.ceil(least * 1.03))
-    at = packing.slots(bins)
-    assert len(at["length"]) == 0 or (at["rank"] >= 0).all()
+    assert have == Counter(items) and got.bound <= sum(m for _, m in got.bins)
+    assert len(packing.slots(got.bins)["length"]) == 0 or (packing.slots(got.bins)["rank"] >= 0).all()
+    return sum(m for _, m in got.bins), got
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_packing_is_optimal_on_small_sets(seed):
+    r = random.Random(seed)
+    cap = r.choice([30, 64, 100])
+    items = sorted((r.randint(1, cap // r.choice([1, 2, 3])) for _ in range(r.choice([0, 1, 12, 12, 12]))), reverse=True)
+    n, got = solved(items, cap, steps=None)
+    assert got.proven and n == fewest(items, cap)
+
+
+@pytest.mark.parametrize("bins", [12, 20])
+def test_packing_of_triplets_is_perfect(bins):
+    for seed in range(30):
+        r, items = random.Random(seed), []
+        for _ in range(bins):
+            a = r.randint(380, 490)
+            b = r.randint(250, (1000 - a) // 2)
+            items += [a, b, 1000 - a - b]
+        n, got = solved(items, 1000)
+        assert n == bins == got.bound and got.proven, seed
+
+
+def test_packing_says_when_it_gave_up():
+    r = random.Random(4)
+    items = [r.randint(1, 60) for _ in range(400)]
+    n, got = solved(items, 64)
+    assert n <= got.bound + 1
+    hard = [x for a, b in ((480, 260), (410, 295), (455, 251), (390, 300), (421, 280), (433, 270)) for x in (a, b, 1000 - a - b)]
+    n, got = solved(hard, 1000, steps=1)
+    assert not got.proven and n > got.bound
+    assert solved(hard, 1000, steps=None)[1].proven
+
+
+def test_dominance():
+    bits = lambda *x: sum(1 << v for v in x)
+    assert packing.dominated((5, 3), 9, bits(4)) and packing.dominated((5, 3), 9, bits(6)) and packing.dominated((5, 3), 8, bits(8)) and packing.dominated((5,), 9, bits(4))
+    assert not packing.dominated((5, 3), 8, bits(5, 3)) and not packing.dominated((5, 3), 8, bits(4, 6)) and not packing.dominated((), 3, bits(4))
 
 
 def test_packing(spark, docs, rows):
@@ -209,8 +264,7 @@ def test_packing(spark, docs, rows):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
         assert all(r["length"] == 1024 for r in mine[1:])
     assert len(per[906]) == 2
-    total = sum(r["length"] for r in got)
-    assert len(place) <= math.ceil(total / 1024) + 2
+    assert len(place) == got[0]["bound"] and got[0]["proven"]
 
 
 def test_language(spark):
