@@ -123,6 +123,25 @@ def fillings(left: list[tuple[int, int]], room: int, waste, tick):
     return fill(0, room, ())
 
 
+def promising(left: list[tuple[int, int]], room: int, tries: tuple[int, ...] = (24, 3, 2)) -> list[tuple[int, ...]]:
+    """Some fillings to try first, least waste first: tries of first, second and third pieces from the largest down, then the largest that fit."""
+    found = set()
+
+    def fill(i: int, space: int, done: tuple[int, ...]) -> None:
+        more = tries[len(done)] if len(done) < len(tries) else 1
+        j = bisect.bisect_left(left, -space, lo=i, key=lambda x: -x[0])
+        if j == len(left):
+            found.add(done)
+        for k in range(j, min(j + more, len(left))):
+            s, n = left[k]
+            fill(k if n > done.count(s) + 1 else k + 1, space - s, (*done, s))
+            if s == space:
+                break
+
+    fill(0, room, ())
+    return sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[: tries[1]]
+
+
 def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 200_000) -> Packing:
     """As few bins as the search finds; with steps None it ends with the fewest there are.
 
@@ -141,7 +160,7 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
             raise Spent
 
     def children(left: np.ndarray, used: int, barred: tuple[int, frozenset]):
-        """(left, used, filling, times, barred) of each child, best ones first among the next few."""
+        """(left, used, filling, times, barred) of each child: some promising ones, then all, best first among the next few."""
         held = [(s, int(left[s])) for s in np.flatnonzero(left)[::-1].tolist()]
         total, at = sum(x * k for x, k in held), 0
         spare = lambda: (score - 1 - used) * cap - total
@@ -152,7 +171,8 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
             at = min(range(len(held)), key=lambda i: pairs[cap - held[i][0]] - (pairs[c] if (c := cap - held[i][0] - spare() - 1) >= 0 else 0))
         s, n = held[at]
         done = barred[1] if barred[0] == s else frozenset()
-        ways = fillings([(x, k - (x == s)) for x, k in held if x != s or n > 1], cap - s, spare, tick)
+        rest = [(x, k - (x == s)) for x, k in held if x != s or n > 1]
+        ways = itertools.chain(promising(rest, cap - s), fillings(rest, cap - s, spare, tick))
         while some := sorted(itertools.islice(ways, 64), key=lambda f: (-sum(f), len(f))):
             for f in some:
                 if f in done:
@@ -160,7 +180,7 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
                 done |= {f}
                 whole, waste = (s, *f), cap - s - sum(f)
                 times = min(int(left[x]) // whole.count(x) for x in set(whole))
-                while times and times * waste <= spare():
+                while (times := min(times, spare() // waste) if waste else times) > 0:
                     after = left.copy()
                     for x in set(whole):
                         after[x] -= times * whole.count(x)
