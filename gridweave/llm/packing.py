@@ -125,7 +125,7 @@ def fillings(left: list[tuple[int, int]], room: int, waste, tick):
 
 def promising(left: list[tuple[int, int]], room: int, tries: tuple[int, ...] = (24, 3, 2)) -> list[tuple[int, ...]]:
     """Some fillings to try first, least waste first: tries of first, second and third pieces from the largest down, then the largest that fit."""
-    found = set()
+    found, tries = set(), (64, *tries[1:]) if len(left) < 64 else tries
 
     def fill(i: int, space: int, done: tuple[int, ...]) -> None:
         more = tries[len(done)] if len(done) < len(tries) else 1
@@ -164,7 +164,7 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
         held = [(s, int(left[s])) for s in np.flatnonzero(left)[::-1].tolist()]
         total, at = sum(x * k for x, k in held), 0
         spare = lambda: (score - 1 - used) * cap - total
-        if len(held) < 64 and spare() < held[-1][0]:
+        if len(held) < 64 and 0 <= spare() < held[-1][0]:
             # Little may be wasted: first the bin of the piece that the fewest pairs complete.
             there = (left > 0).astype(np.int64)
             pairs = np.cumsum(np.convolve(there, there)[: cap + 1])
@@ -172,8 +172,8 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
         s, n = held[at]
         done = barred[1] if barred[0] == s else frozenset()
         rest = [(x, k - (x == s)) for x, k in held if x != s or n > 1]
-        ways = itertools.chain(promising(rest, cap - s), fillings(rest, cap - s, spare, tick))
-        while some := sorted(itertools.islice(ways, 64), key=lambda f: (-sum(f), len(f))):
+        ways, some = fillings(rest, cap - s, spare, tick), promising(rest, cap - s)
+        while some:
             for f in some:
                 if f in done:
                     continue
@@ -186,6 +186,7 @@ def complete_bins(counts: np.ndarray, cap: int = CAPACITY, steps: int | None = 2
                         after[x] -= times * whole.count(x)
                     yield after, used + times, whole, times, (s, done)
                     times -= 1
+            some = sorted(itertools.islice(ways, 64), key=lambda f: (-sum(f), len(f)))
 
     stack, path, seen, known = [], [], 0, {}
 
