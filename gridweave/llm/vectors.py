@@ -12,87 +12,146 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize
 from .graph import Sets, components
 
-#: Rows a leaf of the tree holds before it is split.
-LEAF = 256
+#: Radius of the cover tree's root (unit vectors are at most 2 apart), and numbers a block of rows holds.
+TOP, BLOCK = 2.0, 1 << 19
 
 
-class Node:
-    """Members around a centre; radius covers them all; children have half the radius or less, or are leaves."""
+class CoverTree:
+    """Cover tree over rows of x (unit vectors), level by level; the radius halves from one to the next.
 
-    __slots__ = ("centre", "radius", "members", "children")
+    Level i is a net of radius r = TOP / 2 ** i over all rows. Nesting: its centres are centres of level i + 1. Covering: each row is within r
+    of a centre, and each centre of level i + 1 within r of its parent on level i. Separation: centres of a level are more than r
+    apart. Rows come last where the radius is below stop or every row is a centre: a last node has the rows nearest to it as members.
+    far is the covering radius as it is, the largest distance of a row below a node.
+    """
+
+    def __init__(self, x: np.ndarray, stop: float):
+        self.x, n = x, len(x)
+        centres, near = np.zeros(0, np.int64), np.zeros(n, np.int64)  # near: the place of each row's nearest centre
+        self.centre, self.children, self.far, level = [], [], [], []
+        radius = TOP
+        while True:
+            grown = self._net(centres, radius)
+            near_new = self._nearest(grown)
+            nodes = range(len(self.centre), len(self.centre) + len(grown))
+            self.centre += grown.tolist()
+            far = np.zeros(len(grown))
+            self.far += far.tolist()
+            self.children += [None] * len(grown)
+            if level:
+                # The parent of a centre is the centre nearest to it on the level above; of one that was there, itself.
+                parent = near[grown]
+                parent[: len(centres)] = np.arange(len(centres))
+                for p, c in zip(level, _split(parent, len(centres))):
+                    self.children[p] = np.array(nodes)[c]
+            centres, near, level = grown, near_new, list(nodes)
+            if radius < stop or len(centres) == n:
+                break
+            radius /= 2
+        self.root, self.members = 0, dict(zip(level, _split(near, len(centres))))
+        # Rows below each node, from the last level up; distances are exact to rounding, which the margin of a search covers.
+        below = dict(self.members)
+        for node in range(len(self.centre) - 1, -1, -1):
+            if self.children[node] is not None:
+                below[node] = np.concatenate([below.pop(int(c)) for c in self.children[node]])
+            rows = below[node]
+            if len(rows) > 1:
+                self.far[node] = float(np.sqrt(max(0.0, 2 - 2 * float((x[rows] @ x[self.centre[node]]).min()))))
+        self.centre, self.far = np.array(self.centre, np.int64), np.array(self.far)
+        self.alone = np.array([c is None and len(self.members[i]) == 1 for i, c in enumerate(self.children)], bool)
+
+    def _net(self, centres: np.ndarray, radius: float) -> np.ndarray:
+        """The centres, and rows that are more than radius from all of them and from one another, till none is left."""
+        least = 1 - radius * radius / 2  # cosine of rows that far apart
+        free = np.ones(len(self.x), bool)
+        free[centres] = False
+        rest, out = np.flatnonzero(free), [centres]
+        for c in np.split(centres, range(1024, len(centres), 1024)):
+            if len(c) and len(rest):
+                rest = rest[(self.x[rest] @ self.x[c].T).max(axis=1) < least]
+        while len(rest):
+            some, rest = rest[:256], rest[256:]
+            close, kept = self.x[some] @ self.x[some].T >= least, []
+            gone = np.zeros(len(some), bool)
+            for i in range(len(some)):
+                if not gone[i]:
+                    kept.append(i)
+                    gone |= close[i]
+            new = some[kept]
+            out.append(new)
+            if len(rest):
+                rest = np.concatenate([r[(self.x[r] @ self.x[new].T).max(axis=1) < least] for r in np.split(rest, range(8192, len(rest), 8192))])
+        return np.concatenate(out)
+
+    def _nearest(self, centres: np.ndarray) -> np.ndarray:
+        """The place of each row's nearest centre; a centre's own."""
+        at = np.full(len(self.x), -1)
+        at[centres] = np.arange(len(centres))
+        rest = np.flatnonzero(at < 0)
+        for lo in range(0, len(rest), 1024):
+            some = rest[lo : lo + 1024]
+            at[some] = (self.x[some] @ self.x[centres].T).argmax(axis=1)
+        return at
 
-    def __init__(self, centre, radius, members, children):
-        self.centre, self.radius, self.members, self.children = centre, radius, members, children
 
+def _split(group: np.ndarray, n: int) -> list[np.ndarray]:
+    """Places of each of the groups 0 .. n - 1."""
+    by = np.argsort(group, kind="stable")
+    return np.split(by, np.searchsorted(group[by], np.arange(1, n)))
 
-def build(x: np.ndarray, members: np.ndarray, leaf: int = LEAF) -> Node:
-    """Cover tree over rows of x (unit vectors): a net of centres at half the radius, each member with its nearest centre.
 
-    A level whose net would not gather members (centres without company) ends in leaves of leaf rows: no bound could
-    prune there, and blocks of rows compare as matrix products.
+def dual(a: CoverTree, b: CoverTree, reach: float, visit) -> None:
+    """visit(rows of a, rows of b, how) for all that may be within reach; a pair of nodes goes when its centres are too far apart for their radii.
+
+    how: block (all with all), pairs (one by one), self (all with all of one node). Children of both nodes are compared at once. a may
+    be b: then each pair of rows comes once, but for self; and in pairs a row may come with itself.
     """
-    centre = x[members].mean(axis=0)
-    radius = float(np.sqrt(((x[members] - centre) ** 2).sum(axis=1).max())) if len(members) else 0.0
-    if len(members) <= leaf:
-        return Node(centre, radius, members, [])
-    half, rest, groups = radius / 2, members, []
-    most = max(8, math.isqrt(len(members)))
-    while len(rest) and len(groups) < most:
-        # The net's next centre: the member farthest from the last one, so centres are spread.
-        pick = rest[0] if not groups else rest[int(np.argmax(((x[rest] - x[groups[-1][0]]) ** 2).sum(axis=1)))]
-        near = ((x[rest] - x[pick]) ** 2).sum(axis=1) <= half * half
-        groups.append((pick, rest[near]))
-        rest = rest[~near]
-    small = [g for _, g in groups if len(g) < leaf // 8]
-    children = [build(x, g, leaf) for _, g in groups if len(g) >= leaf // 8 and len(g) < len(members)]
-    rest = np.concatenate([rest, *small, *[g for _, g in groups if len(g) == len(members)]])
-    for at in range(0, len(rest), leaf):
-        children.append(build(x, rest[at : at + leaf], leaf))
-    return Node(centre, radius, members, children)
-
-
-def dual(a: Node, b: Node, reach: float, visit) -> None:
-    """Visit the leaf pairs that may hold rows within reach; a node pair goes when its centres are too far apart."""
-    stack = [(a, b)]
+    stack = [(a.root, b.root)] if len(a.x) and len(b.x) else []
     while stack:
         p, q = stack.pop()
-        if p is not q and math.sqrt(float(((p.centre - q.centre) ** 2).sum())) > reach + p.radius + q.radius + 1e-9:
+        if a.children[p] is None and b.children[q] is None:
+            visit(a.members[p], b.members[q], "self" if a is b and p == q else "block")
             continue
-        if p is q:
-            c = p.children
-            if not c:
-                visit(p.members, p.members, True)
-            else:
-                stack += [(c[i], c[j]) for i in range(len(c)) for j in range(i, len(c))]
-        elif not p.children and not q.children:
-            visit(p.members, q.members, False)
-        elif q.children and (not p.children or q.radius > p.radius):
-            stack += [(p, c) for c in q.children]
-        else:
-            stack += [(c, q) for c in p.children]
+        mine = a.children[p] if a.children[p] is not None else np.array([p])
+        other = b.children[q] if b.children[q] is not None else np.array([q])
+        for lo in range(0, len(mine), 512):
+            some = mine[lo : lo + 512]
+            gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[some]] @ b.x[b.centre[other]].T)))
+            near = gap <= reach + a.far[some][:, None] + b.far[other][None]
+            if a is b and p == q:
+                near &= some[:, None] <= other[None]
+            i, j = np.nonzero(near)
+            u, v = some[i], other[j]
+            # Pairs of last nodes with a row each need no further step.
+            single = a.alone[u] & b.alone[v]
+            if single.any():
+                visit(a.centre[u[single]], b.centre[v[single]], "pairs")
+            stack += zip(u[~single].tolist(), v[~single].tolist())
 
 
 def block_pairs(left: np.ndarray, right: np.ndarray | None, weight_left, weight_right, threshold: float):
     """Links within left, or between left and right: per row the weight it links to, and a spanning forest of the links.
 
-    Rows are float64. Cosine of raw rows is dot / (norm * norm) in double precision; a matrix product of unit rows, with a margin for its
-    rounding, says which pairs need that.
+    Rows are float64. Cosine of raw rows is dot / (norm * norm) in double precision; products of unit rows in single precision, with a margin
+    for rounding, say which pairs need that.
     """
     raw = left if right is None else np.concatenate([left, right])
     weight = np.asarray(weight_left if right is None else np.concatenate([weight_left, weight_right]), np.int64)
     norms = np.sqrt((raw * raw).sum(axis=1))
-    x = raw / norms[:, None]
-    x32 = x.astype(np.float32)
+    x = (raw / norms[:, None]).astype(np.float32)
     links, sets, edges = np.zeros(len(raw), np.int64), Sets(len(raw)), []
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    reach, cut = math.sqrt(max(0.0, 2 - 2 * threshold)) + 5e-3, 0 if right is None else len(left)
 
-    def visit(p: np.ndarray, q: np.ndarray, same: bool) -> None:
-        i, j = np.nonzero(x32[p] @ x32[q].T >= threshold - 1e-5)
-        if same:
-            i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), 1 << 18):
-            u, v = p[i[at : at + (1 << 18)]], q[j[at : at + (1 << 18)]]
-            exact = np.einsum("ij,ij->i", raw[u], raw[v]) / (norms[u] * norms[v]) >= threshold
+    def visit(p: np.ndarray, q: np.ndarray, how: str) -> None:
+        q = q + cut
+        if how != "pairs":
+            i, j = np.nonzero(x[p] @ x[q].T >= threshold - 1e-5)
+            if how == "self":
+                i, j = i[i < j], j[i < j]
+            p, q = p[i], q[j]
+        for at in range(0, len(p), 1 << 18):
+            u, v = p[at : at + (1 << 18)], q[at : at + (1 << 18)]
+            exact = (np.einsum("ij,ij->i", raw[u], raw[v]) / (norms[u] * norms[v]) >= threshold) & (u != v)
             u, v = u[exact], v[exact]
             np.add.at(links, u, weight[v])
             np.add.at(links, v, weight[u])
@@ -100,21 +159,21 @@ def block_pairs(left: np.ndarray, right: np.ndarray | None, weight_left, weight_
                 if sets.join(y, z):
                     edges.append((y, z))
 
-    tree = build(x, np.arange(len(left)))
-    dual(tree, tree if right is None else build(x, np.arange(len(left), len(raw))), reach, visit)
+    tree = CoverTree(x[:cut] if cut else x, reach / 4)
+    dual(tree, CoverTree(x[cut:], reach / 4) if cut else tree, reach, visit)
     return links, edges
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec: str = "embedding", id_col: str = "vec_id", cell_rows: int = 4096, most_cells: int = 64, sample: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec: str = "embedding", id_col: str = "vec_id", cell_rows: int | None = None, sample: int = 4096) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Equal vectors are one class; its
-    copies link with one another and are counted by weight, never as pairs. Classes lie in cells around centres (top
-    nodes of the cover tree, fitted on at most sample vectors taken by hash; every vector is indexed) with covering radii
-    from all members; cell pairs that the radii cannot rule out are cut into blocks of about cell_rows rows by
-    hash, so a hot cell is many tasks. Each block pair is one dual traversal and returns counts and a
-    spanning forest, at most its own rows. Ids must be integers; repeated ids count as rows of their own. Vectors of
-    different lengths do not link. An empty table gives no rows.
+    copies link with one another and are counted by weight, never as pairs. Classes lie in cells around centres (a net like the
+    top of the cover tree, fitted on at most sample vectors taken by hash; every vector is indexed), a cell for cell_rows classes, with
+    covering radii from all members. A vector is dealt to the cells that its distance from their centres and these radii cannot
+    rule out, in blocks of about cell_rows rows by hash (None: 2 ** 19 numbers), so a hot cell is many tasks. Each block pair is the dual
+    traversal of two cover trees and returns counts and a spanning forest, at most its own rows. Ids must be integers; repeated ids
+    count as rows of their own. Vectors of different lengths do not link. An empty table gives no rows.
     """
     v, i = F.col(vec), F.col(id_col)
     d = F.transform(v, lambda y: y.cast("double"))
@@ -126,8 +185,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec: str = "embeddi
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = materialize(classes)
     total = classes.count()
-    cells = max(1, min(most_cells, total // cell_rows))
     kinds = [r[0] for r in classes.select(F.size("v")).distinct().limit(2).collect()]
+    cell_rows = cell_rows or max(1024, BLOCK // max([1, *kinds]))
+    cells = max(1, min(sample // 4, total // cell_rows))
     centres = []
     if cells > 1 and len(kinds) == 1:
         bound = int(-(2**63) + min(1.0, 2.0 * sample / total) * (2**64 - 1))
@@ -149,19 +209,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec: str = "embeddi
             if len(hub):
                 x = np.array(b.column("v").to_pylist(), float)
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                d2 = ((x[:, None, :] - hub[None]) ** 2).sum(axis=2)
-                cell, far = d2.argmin(axis=1), np.sqrt(d2.min(axis=1))
+                d2 = 2 - 2 * (x @ hub.T)
+                cell, far = d2.argmin(axis=1), np.sqrt(np.maximum(0, d2.min(axis=1)))
             else:
                 cell, far = np.array([len(y) for y in b.column("v").to_pylist()]), np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(far)], ["rep", "copies", "v", "cell", "far"])
 
     placed = materialize(classes.select("rep", "copies", "v").mapInArrow(assign, "rep long, copies long, v array<double>, cell int, far double"))
-    # One row a cell: at most most_cells, or one for each vector length.
+    # One row a cell: at most sample / 4, or one for each vector length.
     size = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     blocks = {c: max(1, math.ceil(n / cell_rows)) for c, (n, _) in size.items()}
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    near = [(a, b) for a in size for b in size if a <= b and (a == b or (len(hub) and float(np.sqrt(((hub[a] - hub[b]) ** 2).sum())) <= size[a][1] + size[b][1] + reach))]
-    links, found = _links(placed, near, blocks, threshold)
+    links, found = _links(placed, hub, size, blocks, reach + 1e-6, threshold)
     comp = materialize(components(found).select(F.col("node").alias("rep"), "component"))
     found_links = links.groupBy("rep").agg(F.sum("n").alias("n"))
     per = classes.select("key", "rep", "copies").join(found_links, "rep", "left").join(comp, "rep", "left")
@@ -171,26 +230,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec: str = "embeddi
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def _links(placed: DataFrame, near: list[tuple[int, int]], blocks: dict[int, int], threshold: float):
-    """Rows (rep, n) of links by weight and (src, dst) of a forest, from each block pair of the near cells."""
-    partners: dict[int, list[tuple[int, int, int]]] = {}
-    for pair, (a, b) in enumerate(near):
-        partners.setdefault(a, []).append((pair, 0, b))
-        if a != b:
-            partners.setdefault(b, []).append((pair, 1, a))
+def _links(placed: DataFrame, hub: np.ndarray, size: dict, blocks: dict[int, int], reach: float, threshold: float):
+    """Rows (rep, n) of links by weight and (src, dst) of a forest, from each block pair of cells that may hold links."""
+    radius = np.array([size[c][1] if c in size else -np.inf for c in range(len(hub))])
 
     def deal(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             rep, cell = b.column("rep").to_numpy(), b.column("cell").to_numpy()
             block = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+            if len(hub):
+                x = np.array(b.column("v").to_pylist(), float)
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                may = np.sqrt(np.maximum(0, 2 - 2 * (x @ hub.T))) <= radius + reach
+                may[np.arange(len(cell)), cell] = True
             take, task, side = [], [], []
             for i, (c, h) in enumerate(zip(cell.tolist(), block.tolist())):
                 mine = h % blocks[c]
-                for pair, s, other in partners[c]:
-                    same = other == c
+                for other in np.flatnonzero(may[i]).tolist() if len(hub) else [c]:
                     for k in range(blocks[other]):
-                        lo, hi = (min(mine, k), max(mine, k)) if same else ((mine, k) if s == 0 else (k, mine))
-                        take.append(i), task.append(f"{pair}:{lo}:{hi}"), side.append(int(mine != lo) if same else s)
+                        one, two = (c, mine), (other, k)
+                        first, last = min(one, two), max(one, two)
+                        take.append(i), task.append("%d:%d:%d:%d" % (*first, *last)), side.append(int(one != first))
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), *(b.column(n).take(at) for n in ("rep", "copies", "v"))], ["task", "side", "rep", "copies", "v"])
 
@@ -201,9 +263,8 @@ def _links(placed: DataFrame, near: list[tuple[int, int]], blocks: dict[int, int
         order = np.argsort(side, kind="stable")
         side, rep, copies, x = side[order], rep[order], copies[order], x[order]
         cut = int((side == 0).sum())
-        pair, lo, hi = t["task"][0].as_py().split(":")
-        alone = near[int(pair)][0] == near[int(pair)][1] and lo == hi
-        if alone:
+        name = t["task"][0].as_py().split(":")
+        if name[:2] == name[2:]:
             links, edges = block_pairs(x, None, copies, None, threshold)
         elif 0 < cut < len(rep):
             links, edges = block_pairs(x[:cut], x[cut:], copies[:cut], copies[cut:], threshold)
