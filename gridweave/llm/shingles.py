@@ -8,15 +8,17 @@
 3. Trees. A block's sets become a signature tree: nodes hold the OR of their token bitmaps and their range of sizes. The dual
    traversal of the tree with itself drops node pairs whose largest possible overlap is too small, and those that
    are one component already; leaf pairs left are counted exactly.
-4. Blocks too large for a task are cut into chunks that share a few documents of the block. Documents left outside the
-   block's main component afterwards visit all its chunks: any pair not compared so far has one of them.
+4. Blocks too large for a task are cut into chunks that share a few documents of the block. What their trees leave unlinked is finished
+   in the cheaper of two exact ways, both counted first: documents outside the block's main component visit all its chunks (any pair
+   not compared so far has one of them); or the documents under each prefix shingle are compared, once for each set of documents
+   that is not one component yet (ties chain: a block of a large corpus can be most of it, with little to link).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import keyed
@@ -154,46 +156,33 @@ class Tree:
 # ---- the join
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: str = "text", id_col: str = "doc_id", lot: int = LOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: str = "text", id_col: str = "doc_id", lot: int = LOT, direct: int = 8192, way: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs: sets link at Jaccard >= num / den, components by links.
 
     A-Z are lowered. Null and empty texts, and those without words, have empty sets and link with nothing; texts shorter than width have one
     shingle. Equal sets link. Rows with equal ids are one node. Rows with a null id are in no component. An empty table gives
-    no rows. Only the id (an integer) and the text are read.
+    no rows. Only the id (an integer) and the text are read. way: how blocks of more than lot shingles are finished, by visits or by
+    groups; None takes what deals fewer rows.
     """
     ship(docs.sparkSession)
     n = buckets_for(docs, text)
     d = keyed.bucketed(docs, id_col, text, n)
     top = np.uint64(16)
 
+    ex = keyed.Exchange(n, {1: keyed.Total}, direct, {1: 48})
+
     def load(t: pa.Table):
         sets = shingle_sets(t["text"].to_pylist(), width)
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        keys, back, counts = np.unique(every >> top, return_inverse=True, return_counts=True)
-        return sets, keys, back, counts
+        keys, at, back = keyed.distinct(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> top)
+        return sets, keys, (np.diff(np.append(at, len(back))),), back
 
     def ask(t: pa.Table) -> pa.Table:
-        _, keys, _, counts = load(t)
-        small = np.minimum(counts, 255).astype(np.uint8)
-        return keyed.ask(t["bucket"][0].as_py(), 1, n, keys, lambda lo, hi: small[lo:hi].tobytes(), 48)
-
-    def match(t: pa.Table) -> pa.Table:
-        sets = [keyed.unpack_sorted(k) for k in t["keys"].to_pylist()]
-        every = np.concatenate(sets)
-        counts = np.concatenate([np.frombuffer(v, np.uint8) for v in t["vals"].to_pylist()]).astype(np.int64)
-        order = np.argsort(every, kind="stable")
-        first = np.ones(len(every), bool)
-        first[1:] = every[order][1:] != every[order][:-1]
-        at = np.nonzero(first)[0]
-        total = np.minimum(np.add.reduceat(counts[order], at), 255).astype(np.uint8)
-        out = np.empty(len(every), np.uint8)
-        out[order] = total[np.cumsum(first) - 1]
-        cut = np.cumsum([len(s) for s in sets])[:-1]
-        return keyed.answers([(b, 1, s, v.tobytes()) for b, s, v in zip(t["bucket"].to_pylist(), t["shard"].to_pylist(), np.split(out, cut))])
+        _, keys, counts, _ = load(t)
+        return ex.ask(t["bucket"][0].as_py(), {1: (keys, counts)})
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
-        sets, keys, back, _ = load(t) if t.num_rows else ([], [], np.zeros(0, np.int64), [])
-        df = np.concatenate([np.frombuffer(v, np.uint8) for v in keyed.answered(got, 1)] or [np.zeros(0, np.uint8)])[back]
+        sets, keys, counts, back = load(t)
+        df = ex.learn(got, 1, keys, counts)[0][0][back]
         raw, prefix, at = [], [], 0
         for s in sets:
             f = df[at : at + len(s)]
@@ -208,14 +197,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
             raw.append(s.tobytes()), prefix.append(s[take].tobytes())
         return pa.Table.from_arrays([t["id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n", "keys", "prefix"])
 
-    heard = d.groupBy("bucket").applyInArrow(ask, keyed.ASK).groupBy("shard").applyInArrow(match, keyed.ANSWER)
+    heard = ex.answer(d.groupBy("bucket").applyInArrow(ask, keyed.ASK))
     every = materialize(d.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(finish, "id long, n long, keys binary, prefix binary"))
     left = every.where("keys is not null and id is not null")
     ids = left.select("id", "n", F.xxhash64("keys").alias("h1"), F.xxhash64("keys", F.lit(1)).alias("h2"))
     reps = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     reps = materialize(reps)
     copies = materialize(ids.join(reps.drop("n"), ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst")).distinct())
-    blocks = components(_ties(left, n))
+    blocks = components(_ties(left))
     # Sizes by block, of one document for each distinct set.
     member = materialize(reps.select(F.col("rep").alias("node"), "n").join(blocks, "node").select(F.col("node").alias("id"), "n", F.col("component").alias("block")))
     size = member.groupBy("block").agg(F.sum("n").alias("all"), F.count("*").alias("docs"))
@@ -234,49 +223,71 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     found = materialize(_trees(left, deal, num, den).union(copies))
     labels = components(found)
     if big:
-        main = cut.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        main = materialize(cut.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
         most = main.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-        outside = main.join(most, "block").where("label <> most").withColumnRenamed("chunk", "home")
+        outside = main.join(most, "block").where("label <> most")
+        groups = materialize(_groups(left, main, lot))
+        visits = outside.groupBy("block").agg(F.sum("chunks").alias("visits"))
+        works = groups.groupBy("block").agg(F.sum(F.col("size") * F.col("parts")).alias("works"))
+        ways = materialize(visits.join(works, "block").select("block", (F.col("visits") <= F.col("works") if way is None else F.lit(way == "visits")).alias("visit")))
+        outside = outside.join(ways.where("visit"), "block").withColumnRenamed("chunk", "home")
         outside = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).where("chunk <> home")
-        deal = cut.select("id", "block", F.lit(False).alias("foreign"), name()).union(outside.select("id", "block", F.lit(True), name()))
+        deal = main.join(ways.where("visit"), "block").select("id", "block", F.lit(False).alias("foreign"), name(), "label").union(outside.select("id", "block", F.lit(True), name(), "label"))
+        deal = deal.union(_by_groups(left, main, groups.join(ways.where("not visit"), "block"), lot))
         labels = components(materialize(_trees(left, deal, num, den)).union(found))
     kind = docs.schema[id_col].dataType
     out = every.select("id", F.col("n").alias("n_shingles")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"))
 
 
-def _ties(left: DataFrame, shards: int) -> DataFrame:
+def _ties(left: DataFrame) -> DataFrame:
     """Edges (src, dst) that tie each document to the least one with a prefix shingle in common.
 
     A batch ties its own documents first and sends one document for each shingle: a shingle of very many documents
-    reaches its shard once a batch.
+    is a row a batch.
     """
-    schema = pa.schema([("shard", pa.int32()), ("own", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("src", pa.int64()), ("dst", pa.int64())])
 
     def local(batches):
         for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
             if not sets:
                 continue
-            ids = batch.column("id").to_numpy().repeat([len(s) for s in sets])
-            keys, low, ties = least(np.concatenate(sets), ids)
-            e = keyed.shard_edges(keys, shards)
-            runs = [(s, int(e[s]), int(e[s + 1])) for s in range(shards) if e[s + 1] > e[s]]
-            rows = [(s, False, keys[lo:hi].tobytes(), low[lo:hi].tobytes()) for s, lo, hi in runs] + [(int(ids[0]) % shards, True, ties[0].tobytes(), ties[1].tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    def merge(t: pa.Table) -> pa.Table:
-        rows = list(zip(t["own"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()))
-        keys = np.concatenate([np.frombuffer(a, np.uint64) for own, a, _ in rows if not own] + [np.zeros(0, np.uint64)])
-        ids = np.concatenate([np.frombuffer(b, np.int64) for own, _, b in rows if not own] + [np.zeros(0, np.int64)])
-        _, _, ties = least(keys, ids)
-        src = np.concatenate([ties[0], *(np.frombuffer(a, np.int64) for own, a, _ in rows if own)])
-        dst = np.concatenate([ties[1], *(np.frombuffer(b, np.int64) for own, _, b in rows if own)])
-        pairs = np.unique(np.stack([src, dst], axis=1), axis=0) if len(src) else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
-
-    sent = left.select("id", "prefix").mapInArrow(local, "shard int, own boolean, a binary, b binary")
-    return sent.groupBy("shard").applyInArrow(merge, "src long, dst long")
+            keys, low, ties = least(np.concatenate(sets), batch.column("id").to_numpy().repeat([len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(low), pa.nulls(len(keys), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ties[0]), pa.int64()), pa.array(ties[0]), pa.array(ties[1])], schema=schema)
+
+    sent = materialize(left.select("id", "prefix").mapInArrow(local, "key long, src long, dst long"))
+    across = sent.where("key is not null").select(F.min("src").over(Window.partitionBy("key")).alias("src"), F.col("src").alias("dst")).where("src <> dst")
+    return across.distinct().union(sent.where("key is null").select("src", "dst"))
+
+
+def _held(left: DataFrame, main: DataFrame) -> DataFrame:
+    """(key, id, block, label, n) for each prefix shingle of the documents of main."""
+
+    def explode(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+            at = pa.array(np.arange(len(sets)).repeat([len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), *(b.column(c).take(at) for c in ("id", "block", "label", "n"))], ["key", "id", "block", "label", "n"])
+
+    return left.join(main.select("id", "block", "label"), "id").select("prefix", "id", "block", "label", "n").mapInArrow(explode, "key long, id long, block long, label long, n long")
+
+
+def _groups(left: DataFrame, main: DataFrame, lot: int) -> DataFrame:
+    """(block, key, size, parts) of each prefix shingle whose documents are not one component, once for each set of documents."""
+    sums = [F.count("*").alias("size"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
+    g = _held(left, main).groupBy("block", "key").agg(*sums).where("low <> high")
+    return g.groupBy("block", "size", "all", "h1", "h2").agg(F.min("key").alias("key")).select("block", "key", "size", F.ceil(F.col("all") / lot).alias("parts"))
+
+
+def _by_groups(left: DataFrame, main: DataFrame, groups: DataFrame, lot: int) -> DataFrame:
+    """Documents dealt by group; one of more than lot shingles is cut in parts, and each pair of these is a task."""
+    rows = _held(left, main).join(groups.select("block", "key", "parts"), ["block", "key"])
+    mine = F.pmod(F.xxhash64("id"), F.col("parts"))
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    task = F.concat_ws(":", F.lit("group"), "key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return rows.select("id", F.col("key").alias("block"), F.lit(False).alias("foreign"), task.alias("lot"), "label")
 
 
 def least(keys: np.ndarray, ids: np.ndarray):
@@ -293,21 +304,26 @@ def least(keys: np.ndarray, ids: np.ndarray):
 
 
 def _trees(left: DataFrame, deal: DataFrame, num: int, den: int) -> DataFrame:
-    """(src, dst): links found by the signature trees of each lot's blocks."""
+    """(src, dst): links found by the signature trees of each lot's blocks; documents of one label are linked already."""
 
     def work(t: pa.Table) -> pa.Table:
         block, ids = t["block"].to_numpy(), t["id"].to_numpy()
+        labels = t["label"].to_numpy()
         foreign, raw = t["foreign"].to_numpy(zero_copy_only=False).astype(bool), t["keys"]
         src, dst = [], []
         order = np.lexsort((ids, block))
         for part in np.split(order, np.nonzero(np.diff(block[order]))[0] + 1):
             if len(part) > 1:
                 tree = Tree([np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in part], num, den)
+                known = {}
+                for k, label in enumerate(labels[part].tolist()):
+                    tree.union.join(k, known.setdefault(label, k))
                 for a, b in tree.join(foreign[part] if foreign[part].any() else None):
                     src.append(ids[part[a]]), dst.append(ids[part[b]])
         return pa.Table.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    rows = left.select("id", "keys").join(deal, "id").select("lot", "block", "id", "foreign", "keys")
+    deal = deal if "label" in deal.columns else deal.withColumn("label", F.col("id"))
+    rows = left.select("id", "keys").join(deal, "id").select("lot", "block", "id", "foreign", "label", "keys")
     return rows.groupBy("lot").applyInArrow(work, "src long, dst long")
 
 

@@ -386,9 +386,9 @@ def brute_links(rows):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("lot", [shingles.LOT, 400])
-def test_jaccard(spark, docs, rows, lot):
-    got = shingles.jaccard_components(docs, lot=lot).collect()
+@pytest.mark.parametrize(("lot", "direct", "way"), [(shingles.LOT, 8192, None), (400, 8192, "visits"), (400, 8192, "groups"), (1000, 8, None)])
+def test_jaccard(spark, docs, rows, lot, direct, way):
+    got = shingles.jaccard_components(docs, lot=lot, direct=direct, way=way).collect()
     assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(rows)
 
 
