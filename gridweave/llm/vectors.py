@@ -14,6 +14,8 @@ from .graph import Sets, components
 
 #: Radius of the cover tree's root (unit vectors are at most 2 apart), and numbers a block of rows holds.
 TOP, BLOCK = 2.0, 1 << 19
+#: A pair of nodes with more pairs of children than this is a matrix product of its own.
+WIDE = 4096
 
 
 class CoverTree:
@@ -33,7 +35,7 @@ class CoverTree:
         while True:
             grown = self._net(centres, radius)
             near_new = self._nearest(grown)
-            nodes = range(len(self.centre), len(self.centre) + len(grown))
+            nodes = np.arange(len(self.centre), len(self.centre) + len(grown))
             self.centre += grown.tolist()
             far = np.zeros(len(grown))
             self.far += far.tolist()
@@ -43,8 +45,8 @@ class CoverTree:
                 parent = near[grown]
                 parent[: len(centres)] = np.arange(len(centres))
                 for p, c in zip(level, _split(parent, len(centres))):
-                    self.children[p] = np.array(nodes)[c]
-            centres, near, level = grown, near_new, list(nodes)
+                    self.children[p] = nodes[c]
+            centres, near, level = grown, near_new, nodes.tolist()
             if radius < stop or len(centres) == n:
                 break
             radius /= 2
@@ -58,7 +60,12 @@ class CoverTree:
             if len(rows) > 1:
                 self.far[node] = float(np.sqrt(max(0.0, 2 - 2 * float((x[rows] @ x[self.centre[node]]).min()))))
         self.centre, self.far = np.array(self.centre, np.int64), np.array(self.far)
-        self.alone = np.array([c is None and len(self.members[i]) == 1 for i, c in enumerate(self.children)], bool)
+        # The same as arrays: whether a node is a last one, and one with a single row; children (of a last node, itself) from kid_at on.
+        self.last = np.array([c is None for c in self.children], bool)
+        self.alone = self.last & np.array([i in self.members and len(self.members[i]) == 1 for i in range(len(self.centre))], bool)
+        kids = [np.array([i]) if c is None else c for i, c in enumerate(self.children)]
+        self.kids, self.kid_n = np.concatenate(kids), np.array([len(k) for k in kids])
+        self.kid_at = np.concatenate([[0], np.cumsum(self.kid_n)])[:-1]
 
     def _net(self, centres: np.ndarray, radius: float) -> np.ndarray:
         """The centres, and rows that are more than radius from all of them and from one another, till none is left."""
@@ -106,27 +113,43 @@ def dual(a: CoverTree, b: CoverTree, reach: float, visit) -> None:
     how: block (all with all), pairs (one by one), self (all with all of one node). Children of both nodes are compared at once. a may
     be b: then each pair of rows comes once, but for self; and in pairs a row may come with itself.
     """
-    stack = [(a.root, b.root)] if len(a.x) and len(b.x) else []
+    one, stack = np.zeros(1, np.int64), []
+
+    def go_on(u: np.ndarray, v: np.ndarray, gap: np.ndarray, same: np.ndarray) -> None:
+        """Keep the node pairs that are near enough, and none twice; of pairs of single rows, nothing is left to do."""
+        keep = (gap <= reach + a.far[u] + b.far[v]) & (~same | (u <= v))
+        u, v = u[keep], v[keep]
+        single = a.alone[u] & b.alone[v]
+        if single.any():
+            visit(a.centre[u[single]], b.centre[v[single]], "pairs")
+        if not single.all():
+            stack.append((u[~single], v[~single]))
+
+    if len(a.x) and len(b.x):
+        stack.append((one, one))
     while stack:
         p, q = stack.pop()
-        if a.children[p] is None and b.children[q] is None:
-            visit(a.members[p], b.members[q], "self" if a is b and p == q else "block")
-            continue
-        mine = a.children[p] if a.children[p] is not None else np.array([p])
-        other = b.children[q] if b.children[q] is not None else np.array([q])
-        for lo in range(0, len(mine), 512):
-            some = mine[lo : lo + 512]
-            gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[some]] @ b.x[b.centre[other]].T)))
-            near = gap <= reach + a.far[some][:, None] + b.far[other][None]
-            if a is b and p == q:
-                near &= some[:, None] <= other[None]
-            i, j = np.nonzero(near)
-            u, v = some[i], other[j]
-            # Pairs of last nodes with a row each need no further step.
-            single = a.alone[u] & b.alone[v]
-            if single.any():
-                visit(a.centre[u[single]], b.centre[v[single]], "pairs")
-            stack += zip(u[~single].tolist(), v[~single].tolist())
+        done = a.last[p] & b.last[q]
+        for u, v in zip(p[done].tolist(), q[done].tolist()):
+            visit(a.members[u], b.members[v], "self" if a is b and u == v else "block")
+        p, q = p[~done], q[~done]
+        product = a.kid_n[p] * b.kid_n[q]
+        for u, v in zip(p[product > WIDE].tolist(), q[product > WIDE].tolist()):  # as matrix products
+            mine, other = (t.kids[t.kid_at[k] : t.kid_at[k] + t.kid_n[k]] for t, k in ((a, u), (b, v)))
+            for lo in range(0, len(mine), 512):
+                some = mine[lo : lo + 512]
+                gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[some]] @ b.x[b.centre[other]].T)))
+                i, j = np.nonzero(gap <= reach + a.far[some][:, None] + b.far[other][None])
+                go_on(some[i], other[j], gap[i, j], np.full(len(i), a is b and u == v))
+        p, q, product = (z[product <= WIDE] for z in (p, q, product))
+        steps = np.searchsorted(np.cumsum(product), np.arange(1, product.sum() // (64 * WIDE) + 1) * 64 * WIDE)
+        for p_, q_, n in zip(*(np.split(z, steps) for z in (p, q, product))):  # the others many at a time
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            width = b.kid_n[q_][of]
+            u, v = a.kids[a.kid_at[p_][of] + at // width], b.kids[b.kid_at[q_][of] + at % width]
+            gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centre[u]], b.x[b.centre[v]])))
+            go_on(u, v, gap, (p_ == q_)[of] if a is b else np.zeros(len(of), bool))
 
 
 def block_pairs(left: np.ndarray, right: np.ndarray | None, weight_left, weight_right, threshold: float):
