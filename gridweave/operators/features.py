@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
 from . import graph, metrics
 from .matrix import SparseMatrix, dense_index
 
@@ -72,22 +76,46 @@ def pattern_symmetric(m: SparseMatrix) -> DataFrame:
 def edge_jaccard(m: SparseMatrix, sample: int = 2000, most: int = 5000, seed: int = 0) -> DataFrame:
     """One row over up to sample entries (all when there are no more, else by hash): overlap of the entry's row with its column's row.
 
-    Empty sets and sets over most elements are left out. Of a rectangular matrix column ids index rows, as elsewhere in this metric.
+    Empty sets and sets over most elements are left out. Of a rectangular matrix the row's columns meet the rows of the entry's column. Only sets
+    that the sample needs are gathered.
     """
-    pick = m.coo.select("row", "col").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "row", "col").cast("string")), "row", "col").limit(sample)
-    sig = m.coo.groupBy("row").agg(F.collect_set("col").alias("s")).where(F.size("s") <= most)
-    p = pick.join(sig, "row").join(sig.select(F.col("row").alias("col"), F.col("s").alias("t")), "col")
+    pick = materialize(m.coo.select("row", "col").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "row", "col").cast("string")), "row", "col").limit(sample))
+
+    def sets(wanted: DataFrame, key: str, member: str, name: str) -> DataFrame:
+        """(key, name): members of up to most of the wanted keys; at most 2 * sample of them."""
+        held = m.coo.select(F.col(key).alias("__k"), F.col(member).alias("__v")).join(F.broadcast(wanted.select(F.col(wanted.columns[0]).alias("__k")).distinct()), "__k", "left_semi")
+        few = held.groupBy("__k").agg(F.count("*").alias("__n")).where(F.col("__n") <= most).select("__k")
+        return held.join(F.broadcast(few), "__k").groupBy("__k").agg(F.collect_set("__v").alias(name))
+
+    if m.rows == m.cols:
+        s = sets(pick.select("row").union(pick.select("col")), "row", "col", "s")
+        p = pick.join(s.withColumnRenamed("__k", "row"), "row").join(s.select(F.col("__k").alias("col"), F.col("s").alias("t")), "col")
+    else:
+        p = pick.join(sets(pick.select("row"), "row", "col", "s").withColumnRenamed("__k", "row"), "row")
+        p = p.join(sets(pick.select("col"), "col", "row", "t").withColumnRenamed("__k", "col"), "col")
     p = p.select((F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))).alias("j"))
     return p.agg(F.avg("j").alias("edge_jaccard_mean"), F.percentile("j", F.lit(0.9)).alias("edge_jaccard_p90"), F.avg((F.col("j") > 0.5).cast("int").cast("double")).alias("edge_jaccard_frac_gt05"))
 
 
+def graph_degrees(m: SparseMatrix) -> DataFrame:
+    """(idx, d) of each vertex of the matrix's graph: pattern of A or its transpose, loops counted; rectangular ones as bipartite, columns after rows."""
+    if m.rows != m.cols:
+        return degrees(m, "row").unionByName(degrees(m, "col").select((F.col("idx") + m.rows).alias("idx"), "d"))
+    both = m.coo.select("row", "col").union(m.coo.select("col", "row")).distinct()
+    return m.spine.join(both.groupBy("row").agg(F.count("*").alias("d")), "row", "left").select(F.col("row").alias("idx"), F.coalesce("d", F.lit(0)).cast("long").alias("d"))
+
+
 def hub_coverage(m: SparseMatrix) -> DataFrame:
-    """One row: the top 1 % of degrees (one at least) over all, and the largest over the mean."""
-    d = degrees(m, "row")
-    n = d.agg(F.count("*").alias("n"), F.sum("d").alias("t"), F.avg("d").alias("a"), F.max("d").alias("m"))
-    top = dense_index(d, [F.desc("d"), F.asc("idx")], "r").join(F.broadcast(n))
-    s = top.agg(F.sum(F.when(F.col("r") < F.greatest(F.lit(1), F.expr("n div 100")), F.col("d"))).alias("h"), F.first("t").alias("t"), F.first("a").alias("a"), F.first("m").alias("m"))
-    return s.select(F.when(F.col("t") > 0, F.col("h") / F.col("t")).otherwise(0.0).alias("hub1pct_coverage"), F.when(F.col("a") > 0, F.col("m") / F.col("a")).otherwise(0.0).alias("hub_prominence"))
+    """One row: the top 1 % of the graph's degrees (one at least) over all, and the largest over the mean.
+
+    Equal degrees are counted first, so the top is a sum over distinct values and no window spans the vertices.
+    """
+    g = graph_degrees(m).groupBy("d").agg(F.count("*").alias("k"))
+    n = graph.vertices(m)
+    top = max(1, n // 100)
+    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = g.withColumn("b", before).agg(F.sum(F.col("d") * F.greatest(F.lit(0), F.least(F.col("k"), F.lit(top) - F.col("b")))).alias("h"), F.sum(F.col("d") * F.col("k")).alias("t"), F.max("d").alias("m"))
+    return s.select(F.when(F.col("t") > 0, F.col("h") / F.col("t")).otherwise(0.0).alias("hub1pct_coverage"), F.when(F.col("t") > 0, F.col("m") / (F.col("t") / F.lit(n))).otherwise(0.0).alias("hub_prominence"))
 
 
 def assortativity(m: SparseMatrix, sample: int = 5000, seed: int = 0) -> DataFrame:
@@ -126,25 +154,94 @@ def betweenness(m: SparseMatrix, pivots: int = 64, most_nodes: int = 50_000, see
     return total.groupBy("node").agg(F.sum("delta").alias("score"))
 
 
-def fingerprint(m: SparseMatrix, name: str, block: int = 16) -> DataFrame:
-    """One wide row a matrix: the features that need no sampling, joined from one-row aggregates."""
-    n = float(m.rows) * float(m.cols)
-    base = m.coo.agg(F.count("*").alias("nnz")).select(
-        F.lit(name).alias("matrix"), F.lit("ok").alias("status"), F.lit(m.rows).cast("long").alias("n_rows"), F.lit(m.cols).cast("long").alias("n_cols"), "nnz",
-        (F.col("nnz") / n).alias("density"), F.lit(int(m.rows == m.cols)).alias("is_square"), F.log1p(F.lit(float(m.rows))).alias("log_n_rows"), F.log1p(F.col("nnz").cast("double")).alias("log_nnz"), F.log1p(F.col("nnz") / n).alias("log_density"),
-    )
-    occ = metrics.block_count(m, block, block).select(F.col("n_blocks").alias(f"block{block}_occupied"))
+#: The columns of a fingerprint and their order, as feature files have them.
+COLUMNS = (
+    "matrix", "status", "n_rows", "n_cols", "nnz", "density", "is_square", "pattern_symmetric", "log_n_rows", "log_nnz", "log_density", "row_mean", "row_std", "row_cv", "row_max", "row_p50", "row_p90", "row_p99", "row_gini",
+    "row_skew", "row_frac_empty", "row_frac_deg1", "row_frac_gt50", "col_mean", "col_std", "col_cv", "col_max", "col_p50", "col_p90", "col_p99", "col_gini", "col_skew", "col_frac_empty", "col_frac_deg1", "col_frac_gt50",
+    "row_col_deg_corr", "bandwidth_max", "bandwidth_avg", "bandwidth_norm", "frac_nnz_band32", "frac_nnz_band128", "diag_frac", "avg_row_spread", "max_row_spread", "profile", "avg_col_spread", "max_col_spread",
+    "vert_adj_ratio", "block16_occupied", "block16_density", "block_fill_gain", "jaccard_mean", "jaccard_max", "jaccard_frac_gt05", "edge_jaccard_mean", "edge_jaccard_p90", "edge_jaccard_frac_gt05", "n_components",
+    "largest_comp_frac", "bfs_depth_mean", "bfs_depth_max", "pseudo_diameter", "pseudo_diameter_norm", "pagerank_max", "pagerank_std", "hub1pct_coverage", "hub_prominence", "triangle_closure_rate", "powerlaw_alpha",
+    "assortativity", "approx_betweenness_mean", "approx_betweenness_max", "load_s", "feat_s",
+)
+_LONGS = {"n_rows", "n_cols", "nnz", "is_square", "pattern_symmetric", "row_max", "col_max", "bandwidth_max", "max_row_spread", "profile", "max_col_spread", "block16_occupied", "n_components"}
+#: Types of a fingerprint's columns, as a schema string.
+SCHEMA = ", ".join(f"{c} {'string' if c in ('matrix', 'status') else 'long' if c in _LONGS else 'double'}" for c in COLUMNS)
+
+
+def _missing(*names: str) -> dict[str, Column]:
+    return {c: F.lit(None).cast("double") for c in names}
+
+
+def fingerprint(m: SparseMatrix, name: str, seed: int = 0, with_betweenness: bool = False, most_nodes: int = 50_000) -> DataFrame:
+    """One row of all COLUMNS but the times (NULL), joined from one-row aggregates over the matrix, which is written once.
+
+    Square matrices only: row_col_deg_corr, pattern_symmetric, assortativity (else NULL), diag_frac and triangle_closure_rate (else 0). Sampled features
+    take their sample by hash. Triangles are exact. Betweenness on demand, for up to most_nodes rows. A matrix without
+    entries has zeros where a mean would be undefined.
+    """
+    m = m.with_coo(materialize(m.coo))
+    square, size = m.rows == m.cols, float(m.rows) * float(m.cols)
+    nnz = m.nnz()
+    density = nnz / size if size else 0.0
+    base = m.coo.sparkSession.createDataFrame(
+        [(name, "ok", m.rows, m.cols, nnz, density, int(square), math.log1p(m.rows), math.log1p(nnz), math.log1p(density))],
+        "matrix string, status string, n_rows long, n_cols long, nnz long, density double, is_square long, log_n_rows double, log_nnz double, log_density double",
+    )
+    ranks = graph.pagerank(m).agg(F.max("rank").alias("pagerank_max"), F.stddev_pop("rank").alias("pagerank_std"))
     parts = [
         degree_stats(m, "row"), gini(degrees(m, "row")).withColumnRenamed("gini", "row_gini"), degree_stats(m, "col"), gini(degrees(m, "col")).withColumnRenamed("gini", "col_gini"),
-        metrics.bandwidth(m).drop("bandwidth_lower", "bandwidth_upper"), metrics.spread(m), metrics.vertical_adjacency(m).drop("n_adjacent"), occ, hub_coverage(m), powerlaw_alpha(m), pattern_symmetric(m) if m.rows == m.cols else None,
+        metrics.bandwidth(m).drop("bandwidth_lower", "bandwidth_upper"), metrics.spread(m), metrics.vertical_adjacency(m).drop("n_adjacent"), metrics.block_count(m, 16, 16).withColumnRenamed("n_blocks", "block16_occupied"),
+        edge_jaccard(m, seed=seed), graph.component_summary(m), graph.pseudo_diameter(m, seed), ranks, hub_coverage(m), powerlaw_alpha(m),
     ]
+    if square:
+        parts += [degree_correlation(m), pattern_symmetric(m), assortativity(m, seed=seed), graph.triangles(graph.edges_of(m)).select("triangle_closure_rate")]
+    if with_betweenness and square and m.rows <= most_nodes:
+        pairs = (m.rows - 1) * (m.rows - 2)
+        pivots = min(m.rows, 256)
+        # Scores as shares of all pairs, for a sample of sources as if all had been taken.
+        score = F.col("score") * (m.rows / pivots / pairs if pairs else 0.0)
+        parts.append(betweenness(m, pivots, most_nodes, seed).agg((F.sum(score) / F.lit(m.rows)).alias("approx_betweenness_mean"), F.max(score).alias("approx_betweenness_max")))
+    out = base
     for p in parts:
-        if p is not None:
-            base = base.join(F.broadcast(p))  # one row each
-    d = F.col("nnz") / (F.col(f"block{block}_occupied") * block * block)
-    return base.withColumn(f"block{block}_density", d).withColumn("block_fill_gain", F.col(f"block{block}_density") / F.col("density"))
+        out = out.join(F.broadcast(p))  # one row each
+    out = out.withColumn("block16_density", F.when(F.col("block16_occupied") > 0, F.col("nnz") / (F.col("block16_occupied") * 256)).otherwise(0.0))
+    out = out.withColumn("block_fill_gain", F.when(F.col("density") > 0, F.col("block16_density") / F.col("density")).otherwise(0.0))
+    # The older names of the sampled overlaps stay.
+    out = out.withColumns({"jaccard_mean": F.col("edge_jaccard_mean"), "jaccard_max": F.col("edge_jaccard_p90"), "jaccard_frac_gt05": F.col("edge_jaccard_frac_gt05")})
+    lacking = _missing(*(c for c in COLUMNS if c not in out.columns))
+    if not square:
+        lacking |= {"triangle_closure_rate": F.lit(0.0), "diag_frac": F.lit(0.0)}
+    return out.withColumns(lacking).select(*[F.col(c).cast("long") if c in _LONGS else F.col(c) for c in COLUMNS])
+
+
+def extract(spark, path: str, seed: int = 0, with_betweenness: bool = False, most_nodes: int = 50_000) -> DataFrame:
+    """The fingerprint of a matrix file with the seconds it took to load and to work out; an error row where that fails."""
+    from ..sources.mtx import read_mtx
+
+    name, began = path.rsplit("/", 1)[-1], time.perf_counter()
+    try:
+        m = read_mtx(spark, path)
+        m = m.with_coo(materialize(m.coo))
+        loaded = time.perf_counter()
+        row = fingerprint(m, name, seed, with_betweenness, most_nodes).first()
+    except Exception as e:  # noqa: BLE001 - any failure is a row of the corpus
+        return error_row(spark, name, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+    times = {"load_s": round(loaded - began, 3), "feat_s": round(time.perf_counter() - began, 3)}
+    return spark.createDataFrame([tuple({**row.asDict(), **times}[c] for c in COLUMNS)], SCHEMA)
 
 
 def error_row(spark, name: str, message: str) -> DataFrame:
     """The fingerprint row of a matrix that could not be read: name and status only."""
-    return spark.createDataFrame([(name, f"error: {message}")], "matrix string, status string")
+    return spark.createDataFrame([(name, f"error: {message}", *[None] * (len(COLUMNS) - 2))], SCHEMA)
+
+
+def write_fingerprint(row: DataFrame, path: str) -> None:
+    """One CSV part with a header; missing values are empty."""
+    row.select(*COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
+
+
+def merge_fingerprints(spark, folder: str, out: str) -> DataFrame:
+    """All feature files below a folder as one table in COLUMNS' order, columns by name, written as CSV."""
+    t = spark.read.schema(SCHEMA).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder, header=True)
+    t.orderBy("matrix").coalesce(1).write.mode("overwrite").csv(out, header=True, emptyValue="", nullValue="")
+    return t

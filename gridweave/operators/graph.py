@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
 from .matrix import SparseMatrix
 
+#: Bytes that a side counted beforehand may have to be broadcast.
+SMALL = 8 << 20
+
 
 def edges_of(m: SparseMatrix) -> DataFrame:
     """(src, dst) both ways, distinct, no loops: pattern of A or its transpose; rectangular ones as bipartite, columns after rows."""
@@ -66,34 +71,47 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFr
     return seen
 
 
-def pseudo_diameter(edges: DataFrame, start: int = 0) -> tuple[int, float, int]:
-    """Two sweeps: from start, then from the farthest reached vertex (least id on ties); diameter, mean and largest depth of the second."""
-    spark = edges.sparkSession
-    edges = materialize(edges)
-    first = bfs(edges, spark.createDataFrame([(start,)], "node long"))
-    far = first.orderBy(F.desc("level"), "node").first()["node"]
-    second = bfs(edges, spark.createDataFrame([(far,)], "node long")).agg(F.max("level"), F.avg("level")).first()
-    return int(second[0]), float(second[1]), int(second[0])
+def pseudo_diameter(m: SparseMatrix, seed: int = 0) -> DataFrame:
+    """One row from two sweeps: from a linked vertex taken by hash, then from the farthest vertex reached (least id on ties).
+
+    bfs_depth_mean is of the distances over 0 in the second sweep; pseudo_diameter_norm is over ln of the number of vertices. Without edges
+    all are NULL.
+    """
+    e = materialize(edges_of(m))
+    pick = e.select(F.col("src").alias("node")).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "node").cast("string")), "node").limit(1)
+    first = bfs(e, pick)
+    far = materialize(first.orderBy(F.desc("level"), "node").limit(1).select("node"))
+    d = F.max("level").cast("double")
+    n = vertices(m)
+    return bfs(e, far).agg(
+        d.alias("pseudo_diameter"), (d / F.lit(math.log(n) if n > 1 else None)).alias("pseudo_diameter_norm"), F.coalesce(F.avg(F.when(F.col("level") > 0, F.col("level"))), 0 * d).alias("bfs_depth_mean"), d.alias("bfs_depth_max")
+    )
 
 
 def pagerank(m: SparseMatrix, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; dangling mass is spread evenly and ranks are normalised each round."""
+    """(node, rank) after a fixed number of rounds; dangling mass is spread evenly.
+
+    The graph goes both ways, so a vertex without an edge out has none in: all of these have one rank, a number that follows from the round before.
+    Ranks add up to 1 in every round. Each round reads the ranks once and ends in a written table; ranks
+    of few vertices are broadcast, so edges move only as partial sums.
+    """
     n = vertices(m)
-    e = materialize(edges_of(m))
+    e = edges_of(m)
     deg = e.groupBy("src").agg(F.count("*").alias("deg"))
-    spine = m.coo.sparkSession.range(n).select(F.col("id").alias("node"))
-    nodes = materialize(spine.join(deg, F.col("node") == F.col("src"), "left").select("node", F.coalesce("deg", F.lit(0)).alias("deg")))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    e = materialize(e.join(deg, "src")) if n * 24 > SMALL else materialize(e.join(F.broadcast(deg), "src"))  # n rows
+    linked = materialize(e.select(F.col("src").alias("node")).distinct())
+    alone = n - linked.count()
+    ranks, rest = linked.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
     for k in range(rounds):
-        share = ranks.where("deg > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("give"))
-        got = e.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("give").alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
-        ranks = nodes.join(got, "node", "left").join(F.broadcast(loose)).select("node", "deg", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        total = ranks.agg(F.sum("rank").alias("total"))
-        ranks = ranks.join(F.broadcast(total)).select("node", "deg", (F.col("rank") / F.col("total")).alias("rank"))
-        if k % 3 == 2:
+        give = ranks.withColumnRenamed("node", "src")
+        give = F.broadcast(give) if n * 24 <= SMALL else give  # n rows
+        got = e.join(give, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        base = (1 - alpha) / n + alpha * alone * rest / n
+        ranks, rest = got.select("node", (F.lit(base) + alpha * F.col("got")).alias("rank")), base
+        if k < rounds - 1:
             ranks = materialize(ranks)
-    return ranks.select("node", "rank")
+    spine = m.coo.sparkSession.range(n).select(F.col("id").alias("node"))
+    return spine.join(ranks, "node", "left").select("node", F.coalesce("rank", F.lit(rest)).alias("rank"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

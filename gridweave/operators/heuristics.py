@@ -36,7 +36,7 @@ def _per_component(m: SparseMatrix, kernel) -> DataFrame:
 
     done = e.join(comp, F.col("src") == F.col("node")).select("component", "src", "dst").groupBy("component").applyInPandas(run, "comp long, row long, pos long")
     spine = m.spine.join(materialize(done), "row", "left").select("row", F.coalesce("comp", "row").alias("comp"), F.coalesce("pos", F.lit(0)).alias("pos"))
-    return order_by(spine, [F.asc("comp"), F.asc("pos"), F.asc("row")])
+    return order_by(spine, [F.asc("comp"), F.asc("pos"), F.asc("row")], rows=m.rows)
 
 
 def rcm(m: SparseMatrix) -> DataFrame:
@@ -114,11 +114,67 @@ def window_greedy(m: SparseMatrix, window: int = 8) -> DataFrame:
     return _per_component(m, kernel)
 
 
-def gray_order(m: SparseMatrix, width: int = 32, sparse_most: int = 32) -> DataFrame:
-    """Rows by the Gray rank of their column bitmap, sparse rows (by entry count) before dense ones, empty rows first."""
+def community_walk(m: SparseMatrix, levels: int = 2) -> DataFrame:
+    """Communities, coarsest first, each walked greedily: next is the unvisited neighbour with most neighbours in common with the vertex at hand.
+
+    Where there is none, the walk jumps to the unvisited vertex with most neighbours in common with the last visited one that has such. Starts
+    are vertices of highest degree; ties fall to the least id. A community is a task.
+    """
+    ship(m.coo.sparkSession)
+    e = materialize(graph.edges_of(m))
+    c = communities(m, levels)
+    own = c.select(F.col("node").alias("src"), F.col("c1").alias("own"))
+    inside = e.join(own, "src").join(own.select(F.col("src").alias("dst"), F.col("own").alias("other")), "dst").where("own = other").select("own", "src", "dst")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        adj: dict[int, set[int]] = {}
+        for s, d in zip(t["src"].tolist(), t["dst"].tolist()):
+            adj.setdefault(s, set()).add(d)
+        order = common_neighbour_walk(adj)
+        return pd.DataFrame({"row": order, "pos": range(len(order))})
+
+    walked = materialize(inside.groupBy("own").applyInPandas(run, "row long, pos long"))
+    spine = c.withColumnRenamed("node", "row").where(F.col("row") < m.rows).join(walked, "row", "left")
+    return order_by(spine, [*[F.asc(f"c{k}") for k in range(levels, 0, -1)], F.col("pos").asc_nulls_last(), F.asc("row")], rows=m.rows)
+
+
+def common_neighbour_walk(adj: dict[int, set[int]]) -> list[int]:
+    """Every vertex once; see community_walk."""
+    first = sorted(adj, key=lambda v: (-len(adj[v]), v))
+    left, order, back = set(adj), [], []
+    start = iter(first)
+    while left:
+        v = next(v for v in start if v in left)
+        while v is not None:
+            order.append(v)
+            back.append(v)
+            left.discard(v)
+            near = [u for u in adj[v] if u in left]
+            while not near and back:
+                # Stuck: back along the walk to a vertex that still shares neighbours with unvisited ones.
+                at = back[-1]
+                near = [u for x in adj[at] for u in adj[x] if u in left]
+                if near:
+                    v = at
+                else:
+                    back.pop()
+            here = v
+            v = min(set(near), key=lambda u: (-len(adj[u] & adj[here]), u), default=None)
+    return order
+
+
+def gray_order(m: SparseMatrix, width: int = 32, sparse_most: int = 32, group: int | None = None) -> DataFrame:
+    """Rows by the Gray rank of their column bitmap, sparse rows (by entry count) before dense ones, empty rows first.
+
+    Sparse rows lie in groups of like density first: entries div group, group being a sixteenth of the mean row (1 at least) when
+    it isn't given.
+    """
+    if group is None:
+        group = max(1, m.nnz() // max(1, m.rows) // 16)
     g = gray_bitmaps(m, width).withColumn("dense", (F.col("cnt") > sparse_most).cast("int"))
+    g = g.withColumn("density", F.when(F.col("dense") == 0, F.expr(f"cnt div {int(group)}")).otherwise(0))
     spine = m.spine.join(g, "row", "left")
-    return order_by(spine, [F.col("dense").asc_nulls_first(), F.asc("gray_rank"), F.asc("row")])
+    return order_by(spine, [F.col("dense").asc_nulls_first(), F.asc("density"), F.asc("gray_rank"), F.asc("row")], rows=m.rows)
 
 
 def gray_bitmaps(m: SparseMatrix, width: int = 32) -> DataFrame:
@@ -162,7 +218,7 @@ def communities(m: SparseMatrix, levels: int = 2, rounds: int = 6) -> DataFrame:
 def community_order(m: SparseMatrix, levels: int = 2) -> DataFrame:
     """Vertices by their communities, coarsest first, then by degree and id."""
     c = communities(m, levels).where(F.col("node") < m.rows).withColumnRenamed("node", "row").join(m.row_counts(), "row")
-    return order_by(c, [*[F.asc(f"c{k}") for k in range(levels, 0, -1)], F.desc("cnt"), F.asc("row")])
+    return order_by(c, [*[F.asc(f"c{k}") for k in range(levels, 0, -1)], F.desc("cnt"), F.asc("row")], rows=m.rows)
 
 
 def parts(m: SparseMatrix, nparts: int = 128, eps: float = 0.03) -> DataFrame:
@@ -177,7 +233,7 @@ def parts(m: SparseMatrix, nparts: int = 128, eps: float = 0.03) -> DataFrame:
 
 def partition_order(m: SparseMatrix, nparts: int = 128, eps: float = 0.03) -> DataFrame:
     """Stable order by part."""
-    return order_by(parts(m, nparts, eps), [F.asc("part"), F.asc("row")])
+    return order_by(parts(m, nparts, eps), [F.asc("part"), F.asc("row")], rows=m.rows)
 
 
 def connectivity_cost(m: SparseMatrix, part: DataFrame) -> DataFrame:
@@ -287,8 +343,8 @@ def burn(src: np.ndarray, dst: np.ndarray, k: int, turn: int, last: int) -> tupl
     return nodes, a, b
 
 
-def knn(sketch: DataFrame, rows: int, k: int = 16, most_degree: int = 512) -> DataFrame:
-    """(u, v, w): each row's k nearest by Jaccard over windows of at most most_degree rows; w is the distance."""
+def knn(sketch: DataFrame, rows: int, k: int = 16, most_degree: int | None = None) -> DataFrame:
+    """(u, v, w): each row's k nearest by Jaccard, exact without most_degree (see pair_jaccard); w is the distance."""
     from .metrics import pair_jaccard
 
     p = pair_jaccard(sketch, most_degree).select("a", "b", "jaccard")
@@ -318,18 +374,31 @@ def mst_order(m: SparseMatrix, w: int = 1, k: int = 16) -> DataFrame:
         return pd.DataFrame({"comp": [int(t["component"].iloc[0])] * len(order), "row": order, "pos": range(len(order)), "size": [len(order)] * len(order)})
 
     done = both.join(comp, F.col("u") == F.col("node")).select("component", "u", "v", "w").groupBy("component").applyInPandas(walk, "comp long, row long, pos long, size long")
-    return order_by(m.spine.join(materialize(done), "row", "left"), [F.col("size").desc_nulls_last(), F.asc("comp"), F.asc("pos"), F.asc("row")])
+    return order_by(m.spine.join(materialize(done), "row", "left"), [F.col("size").desc_nulls_last(), F.asc("comp"), F.asc("pos"), F.asc("row")], rows=m.rows)
 
 
 def lsh_order(m: SparseMatrix, w: int = 1, hashes: int = 4, most: int = 128) -> DataFrame:
-    """Rows by their first MinHash values; runs of equal signatures above `most` rows are split by the next hash, as the order does."""
+    """Clusters of rows with the same MinHash; those of more than `most` rows are split by the next one, as often as there are hashes.
+
+    Clusters lie in the order of their hashes, rows of a cluster in their own; empty rows last.
+    """
     s = sk.mask(m, w)
     d = s.select("win").distinct()
     names = [f"h{i}" for i in range(hashes)]
     for i, name in enumerate(names):
         d = bits.splitmix64(d, "win", name, (i + 1) * bits.GAMMA & (1 << 64) - 1)
     sig = s.join(d, "win").groupBy("row").agg(*[F.min(bits.flipped(F.col(n))).alias(n) for n in names])
-    return order_by(m.spine.join(sig, "row", "left"), [*[F.col(n).asc_nulls_last() for n in names], F.asc("row")])
+    keys = [names[0]]
+    for name in names[1:]:
+        # Counts are joined, not windowed: a cluster of any size is spread over tasks.
+        size = sig.groupBy(*keys).agg(F.count("*").alias("__n"))
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        on = same[0]
+        for c in same[1:]:
+            on = on & c
+        sig = sig.alias("a").join(size.alias("b"), on).select(*[F.col(f"a.{c}").alias(c) for c in sig.columns if c != name], F.when(F.col("__n") > most, F.col(f"a.{name}")).alias(name))
+        keys.append(name)
+    return order_by(m.spine.join(sig.withColumn("__some", F.lit(0)), "row", "left"), [F.col("__some").asc_nulls_last(), *[F.col(n).asc_nulls_first() for n in names], F.asc("row")], rows=m.rows)
 
 
 def overlap_groups(m: SparseMatrix, w: int = 1, block: int = 32, tau: float = 0.5) -> DataFrame:
@@ -353,4 +422,4 @@ def overlap_groups(m: SparseMatrix, w: int = 1, block: int = 32, tau: float = 0.
         return pd.DataFrame({"row": rows, "grp": [group[i] for i in range(len(rows))]})
 
     g = sig.groupBy("h1").applyInPandas(run, "row long, grp long")
-    return order_by(m.spine.join(materialize(g), "row", "left"), [F.col("grp").asc_nulls_last(), F.asc("row")])
+    return order_by(m.spine.join(materialize(g), "row", "left"), [F.col("grp").asc_nulls_last(), F.asc("row")], rows=m.rows)

@@ -12,6 +12,7 @@ from ..plans.storage import materialize, plan_bytes
 
 #: Above this estimate a global order is dealt over range partitions instead of one task.
 ONE_TASK = 64 << 20
+ONE_TASK_ROWS = 4 << 20
 
 
 class Axis(Enum):
@@ -62,7 +63,7 @@ class SparseMatrix:
 
     def row_ptr(self) -> DataFrame:
         """(row, nzcount, row_ptr): entries of each row and of all rows before it, empty rows included."""
-        return running_sum(self.row_counts(), ["row"], "cnt", "row_ptr").select("row", F.col("cnt").alias("nzcount"), "row_ptr")
+        return running_sum(self.row_counts(), ["row"], "cnt", "row_ptr", self.rows).select("row", F.col("cnt").alias("nzcount"), "row_ptr")
 
     # -- entry filters
 
@@ -158,13 +159,24 @@ def identity(spark: SparkSession, n: int) -> DataFrame:
 # ---- global order without one task
 
 
-def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
+def fits_one_task(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df is small enough to be ordered by one window: by its number of rows where it is known; else what it reads is
+    small and, as joins and generators can multiply that, so is the number of rows it comes to."""
+    if rows is not None:
+        return rows <= ONE_TASK_ROWS
+    if plan_bytes(df) > ONE_TASK:
+        return False
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(x in plan for x in ("Join ", "Generate ", "MapIn", "FlatMap")) or df.count() <= ONE_TASK_ROWS
+
+
+def dense_index(df: DataFrame, order: list, name: str, rows: int | None = None) -> DataFrame:
     """df with name: the 0-based place of each row in a total order.
 
     Small inputs take one window. Larger ones are dealt by range, numbered in each partition and shifted by
-    the rows of the partitions before; only one count a partition is gathered.
+    the rows of the partitions before; only one count a partition is gathered. rows: how many df has, where that is known.
     """
-    if plan_bytes(df) <= ONE_TASK:
+    if fits_one_task(df, rows):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     dealt = df.repartitionByRange(*order).withColumn("__dealt", F.spark_partition_id())
     dealt = materialize(dealt.withColumn("__spot", (F.row_number().over(Window.partitionBy("__dealt").orderBy(*order)) - 1).cast("long")))
@@ -173,10 +185,10 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     return dealt.join(F.broadcast(shift), "__dealt").withColumn(name, F.col("__spot") + F.col("__ahead")).drop("__dealt", "__spot", "__ahead")  # a row a partition
 
 
-def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+def running_sum(df: DataFrame, order: list, value: str, name: str, rows: int | None = None) -> DataFrame:
     """df with name: the sum of value over the rows before, in a total order; dealt as in dense_index."""
     rows_before = lambda *by: (Window.partitionBy(*by) if by else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if plan_bytes(df) <= ONE_TASK:
+    if fits_one_task(df, rows):
         return df.withColumn(name, F.coalesce(F.sum(value).over(rows_before()), F.lit(0)))
     dealt = df.repartitionByRange(*order).withColumn("__dealt", F.spark_partition_id())
     dealt = materialize(dealt.withColumn("__spot", F.coalesce(F.sum(value).over(rows_before("__dealt")), F.lit(0))))
@@ -185,9 +197,9 @@ def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(shift), "__dealt").withColumn(name, F.col("__spot") + F.col("__ahead")).drop("__dealt", "__spot", "__ahead")
 
 
-def order_by(df: DataFrame, order: list, row: str = "row") -> DataFrame:
-    """Permutation (new_pos, old_idx) that lists rows in the order; row should be its last key."""
-    return dense_index(df, order, "new_pos").select("new_pos", F.col(row).alias("old_idx"))
+def order_by(df: DataFrame, order: list, row: str = "row", rows: int | None = None) -> DataFrame:
+    """Permutation (new_pos, old_idx) that lists rows in the order; row should be its last key. rows: their number, where known."""
+    return dense_index(df, order, "new_pos", rows).select("new_pos", F.col(row).alias("old_idx"))
 
 
 def absent_as_one(c: str = "val") -> Column:

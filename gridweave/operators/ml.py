@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Features that no relabelling of rows or columns changes.
 TRIMMED = (
-    "log_n_rows", "log_nnz", "log_density", "is_square", "row_cv", "row_gini", "row_skew", "row_frac_empty", "row_frac_deg1", "col_cv", "col_gini", "col_skew", "hub1pct_coverage", "hub_prominence", "powerlaw_alpha",
+    "log_n_rows", "log_nnz", "log_density", "row_mean", "row_cv", "row_gini", "row_frac_deg1", "row_frac_gt50", "row_col_deg_corr", "hub_prominence", "edge_jaccard_mean", "edge_jaccard_p90",
+    "largest_comp_frac", "pseudo_diameter_norm", "hub1pct_coverage", "triangle_closure_rate", "assortativity",
 )
 
 
@@ -24,29 +26,105 @@ def preprocess(df: DataFrame, features: list[str], log: tuple[str, ...] = ("nnz"
     return num.withColumns({c: (F.col(c) - F.lit(float(st[f"{c}_m"] or 0.0))) / F.lit(float(st[f"{c}_s"] or 0.0) or 1.0) for c in features})
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, key: str) -> float:
-    """Mean Euclidean silhouette over all pairs of a fingerprint table (a row a matrix); singletons score 0."""
-    x = df.select(key, label, F.array(*[F.col(c) for c in features]).alias("x"))
-    y = x.select(F.col(key).alias("k2"), F.col(label).alias("l2"), F.col("x").alias("y"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    g = x.join(F.broadcast(y), F.col(key) != F.col("k2")).groupBy(key, label, "l2").agg(F.avg(d).alias("d"))
-    s = g.groupBy(key).agg(F.max(F.when(F.col(label) == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col(label) != F.col("l2"), F.col("d"))).alias("b"))
-    return s.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))).first()[0] or 0.0
-
-
-def sweep(df: DataFrame, features: list[str], key: str = "matrix", kmin: int = 2, kmax: int = 15, restarts: int = 3, seed: int = 0):
-    """(rows of (k, inertia, silhouette), best k, df with its cluster): k-means for each k, best of the restarts by inertia."""
-    v = VectorAssembler(inputCols=features, outputCol="__v").transform(df).cache()
-    n, out, best = v.count(), [], None
-    for k in range(kmin, min(kmax, n - 1) + 1):
-        fits = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(v) for r in range(restarts)]
-        fit = min(fits, key=lambda f: f.summary.trainingCost)
-        lab = fit.transform(v)
-        s = silhouette(lab, features, "cluster", key)
-        out.append((k, float(fit.summary.trainingCost), float(s)))
-        if best is None or s > best[1]:
-            best = (k, s, lab.drop("__v"))
-    return out, best[0] if best else None, best[2] if best else df
+def points_of(df: DataFrame, features: list[str], key: str, limit: int = 64 << 20) -> tuple[list, np.ndarray]:
+    """Keys and points of a fingerprint table (a row a matrix) in the order of the keys; ValueError beyond limit bytes."""
+    n = df.count()
+    if n * 8 * (len(features) + 1) > limit:
+        raise ValueError(f"{n} rows of {len(features)} features are no table of fingerprints")
+    rows = df.select(key, *features).orderBy(key).collect()
+    return [r[0] for r in rows], np.array([r[1:] for r in rows], float).reshape(n, len(features))
+
+
+def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
+    """Mean Euclidean silhouette, a block of rows against all at a time; singletons score 0."""
+    names, at = np.unique(labels, return_inverse=True)
+    size, total = np.bincount(at), 0.0
+    if len(names) < 2:
+        return 0.0
+    member = np.zeros((len(points), len(names)))
+    member[np.arange(len(points)), at] = 1.0
+    for lo in range(0, len(points), 512):
+        some, own = points[lo : lo + 512], at[lo : lo + 512]
+        d = np.sqrt(((some[:, None] - points[None]) ** 2).sum(axis=2)) @ member
+        i = np.arange(len(some))
+        a = d[i, own] / np.maximum(size[own] - 1, 1)
+        d = d / size
+        d[i, own] = np.inf
+        b = d.min(axis=1)
+        top = np.maximum(a, b)
+        total += np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0).sum()
+    return float(total / len(points))
+
+
+def kmeans(points: np.ndarray, k: int, seed: int, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Inertia and labels of Lloyd's rounds from seeded k-means++ centres, until no label changes; empty clusters keep their centre."""
+    rng = np.random.default_rng([seed, k])
+    centres = points[[rng.integers(len(points))]]
+    near = ((points - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        pick = rng.choice(len(points), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(points))
+        centres = np.concatenate([centres, points[[pick]]])
+        near = np.minimum(near, ((points - points[pick]) ** 2).sum(axis=1))
+    labels = None
+    for _ in range(rounds):
+        d = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+        new = d.argmin(axis=1)
+        if labels is not None and (new == labels).all():
+            break
+        labels = new
+        centres = np.array([points[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
+    return float(((points - centres[labels]) ** 2).sum()), labels
+
+
+def sweep(df: DataFrame, features: list[str], key: str = "matrix", kmin: int = 2, kmax: int = 15, restarts: int = 20, seed: int = 0, label: str | None = None):
+    """(rows of (k, inertia, silhouette, ari, nmi), best k, (key, cluster, cluster_agg)): of each k the best restart by inertia.
+
+    The best k has the largest silhouette; cluster_agg are Ward clusters at that k. ari and nmi are against a label column, NULL without one. Every fit
+    is a task of its own: the points, of bounded size, go with the tasks. k ends below the number of rows.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    keys, points = points_of(df, features, key)
+    top = min(kmax, len(points) - 1)
+    if top < kmin:
+        return [], None, df.select(key).withColumns({"cluster": F.lit(0), "cluster_agg": F.lit(0)})
+    codes = None
+    if label:
+        names = {r[0]: r[1] for r in df.select(key, label).collect()}
+        codes = np.unique([str(names[k]) for k in keys], return_inverse=True)[1]
+
+    def fit(frames):
+        for f in frames:
+            for k, r in zip(f["k"].tolist(), f["restart"].tolist()):
+                inertia, labels = kmeans(points, k, seed + r)
+                yield pd.DataFrame({"k": [k], "restart": [r], "inertia": [inertia], "labels": [labels.tolist()]})
+
+    tries = spark.range(kmin, top + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")).repartition(max(2, spark.sparkContext.defaultParallelism))
+    fits = tries.mapInPandas(fit, "k int, restart int, inertia double, labels array<int>")
+    best = fits.groupBy("k").agg(F.min_by("labels", F.struct("inertia", "restart")).alias("labels"), F.min("inertia").alias("inertia")).orderBy("k").collect()  # a row for each k
+    out = []
+    for r in best:
+        own = np.array(r["labels"])
+        ari, nmi = scores(codes, own) if codes is not None else (None, None)
+        out.append((r["k"], float(r["inertia"]), silhouette(points, own), ari, nmi))
+    at = max(range(len(out)), key=lambda i: (out[i][2], -i))
+    agg = ward(points, out[at][0])
+    done = spark.createDataFrame([(k, int(c), int(a)) for k, c, a in zip(keys, best[at]["labels"], agg)], f"`{key}` {df.schema[key].dataType.simpleString()}, cluster int, cluster_agg int")
+    return out, out[at][0], done
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Adjusted Rand index and normalised mutual information of two labellings on the driver; agreement() does the same for tables."""
+    t = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(t, (a, b), 1)
+    n, ra, rb = t.sum(), t.sum(axis=1), t.sum(axis=0)
+    two = lambda x: (x * (x - 1) / 2).sum()
+    exp, top = two(ra) * two(rb) / max(n * (n - 1) / 2, 1), (two(ra) + two(rb)) / 2
+    h = lambda x: float(-(x[x > 0] / n * np.log(x[x > 0] / n)).sum())
+    i, j = np.nonzero(t)
+    mi = float((t[i, j] / n * np.log(n * t[i, j] / (ra[i] * rb[j]))).sum())
+    mean = (h(ra) + h(rb)) / 2
+    return (1.0 if top == exp else float((two(t) - exp) / (top - exp))), (mi / mean if mean > 0 else 1.0)
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +19,7 @@ from .matrix import SparseMatrix, compose, dense_index, identity, order_by
 def random_rows(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """Rows in the order of a hash of the row and the seed: a random order that every run repeats."""
     r = spark.range(n).select(F.col("id").alias("row")).withColumn("__k", F.md5(F.concat_ws(":", F.lit(int(seed)), F.col("row")).cast("string")))
-    return order_by(r, [F.asc("__k"), F.asc("row")])
+    return order_by(r, [F.asc("__k"), F.asc("row")], rows=n)
 
 
 def random_both(spark: SparkSession, rows: int, cols: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -26,14 +28,14 @@ def random_both(spark: SparkSession, rows: int, cols: int, seed: int = 42) -> tu
 
 def by_degree(m: SparseMatrix, ascending: bool = True) -> DataFrame:
     """Rows by entry count, stable; empty rows are rows of degree 0."""
-    return order_by(m.row_counts(), [F.asc("cnt") if ascending else F.desc("cnt"), F.asc("row")])
+    return order_by(m.row_counts(), [F.asc("cnt") if ascending else F.desc("cnt"), F.asc("row")], rows=m.rows)
 
 
 def first_window(sketch: DataFrame, rows: int) -> DataFrame:
     """Rows by their first window, ties by row, empty rows last."""
     spine = sketch.sparkSession.range(rows).select(F.col("id").alias("row"))
     first = spine.join(sketch.groupBy("row").agg(F.min("win").alias("w")), "row", "left")
-    return order_by(first, [F.col("w").asc_nulls_last(), F.asc("row")])
+    return order_by(first, [F.col("w").asc_nulls_last(), F.asc("row")], rows=rows)
 
 
 def lexicographic(sketch: DataFrame, rows: int) -> DataFrame:
@@ -41,7 +43,7 @@ def lexicographic(sketch: DataFrame, rows: int) -> DataFrame:
     spine = sketch.sparkSession.range(rows).select(F.col("id").alias("row"))
     ranked = sketch.join(sk.column_rank(sketch).select("win", "rank"), "win")
     sig = spine.join(sk.signatures(ranked, "rank"), "row", "left").select("row", F.coalesce("wins", F.array().cast("array<bigint>")).alias("sig"))
-    return order_by(sig, [F.asc("sig"), F.asc("row")])
+    return order_by(sig, [F.asc("sig"), F.asc("row")], rows=rows)
 
 
 def multilevel(m: SparseMatrix, widths=(16, 8, 4, 1)) -> DataFrame:
@@ -68,7 +70,7 @@ def hybrid_stages(sketch: DataFrame, rows: int, w_block: int = 32, lookahead: in
     macro = dense_index(walked, [F.asc("seed_size"), F.asc("seed_id"), F.asc("pos")], "macro_pos").select("micro_id", "macro_pos")
     spine = spark.range(rows).select(F.col("id").alias("row"))
     placed = spine.join(micro, "row", "left").join(macro, "micro_id", "left")
-    perm = order_by(placed, [F.col("macro_pos").asc_nulls_first(), F.asc("pos_in_micro"), F.asc("row")])
+    perm = order_by(placed, [F.col("macro_pos").asc_nulls_first(), F.asc("pos_in_micro"), F.asc("row")], rows=rows)
     n_empty = rows - sketch.select("row").distinct().count()
     if lookahead > 1 and rows - n_empty > 2:
         perm = _pack_slabs(perm, sketch, n_empty, max(w_block * 32, lookahead * 4), lookahead)
@@ -181,10 +183,11 @@ def two_sided(m: SparseMatrix, w: int = 4, max_iters: int = 4, block: int = 32)
 # ---- clustering by Jaccard similarity
 
 
-def cluster_centroids(sketch: DataFrame, rows: int, k: int, tau: float = 0.5, seed: int = 42, max_rounds: int = 50) -> DataFrame:
+def cluster_centroids(sketch: DataFrame, rows: int, k: int, tau: float = 0.5, seed: int = 42, max_rounds: int | None = None) -> DataFrame:
     """Rounds of k centroids, taken by hash from the rows not yet clustered; rows go to the nearest within tau; the rest at the end.
 
-    The k centroids are a parameter-bounded set, joined on shared windows; a row without a shared window is at distance 1.
+    A row without a shared window is at distance 1. A centroid takes itself, so rows div k rounds are enough; max_rounds ends
+    sooner, with the rows left as the rest.
     """
     spark = sketch.sparkSession
     if k == 0:
@@ -192,20 +195,22 @@ def cluster_centroids(sketch: DataFrame, rows: int, k: int, tau: float = 0.5, se
     k = min(k, max(rows, 1))
     sizes = materialize(spark.range(rows).select(F.col("id").alias("row")).join(sketch.groupBy("row").agg(F.count("*").alias("n")), "row", "left").na.fill(0, ["n"]))
     left, done, turn = sizes, [], 0
-    while turn < max_rounds and left.count() >= k:
+    while (max_rounds is None or turn < max_rounds) and left.count() >= k:
         pick = materialize(left.orderBy(F.xxhash64("row", F.lit(seed), F.lit(turn)), "row").limit(k).select(F.col("row").alias("centre"), F.col("n").alias("m"), (F.row_number().over(Window.orderBy(F.xxhash64("row", F.lit(seed), F.lit(turn)), "row")) - 1).alias("c")))
-        wins = F.broadcast(pick.join(sketch.withColumnRenamed("row", "centre"), "centre").select("c", "m", "win"))
+        wins = pick.join(sketch.withColumnRenamed("row", "centre"), "centre").select("c", "m", "win")
         near = left.join(sketch, "row").join(wins, "win").groupBy("row", "c").agg(F.count("*").alias("i"), F.first("n").alias("n"), F.first("m").alias("m"))
         near = near.select("row", "c", (1.0 - F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("d"))
         empty = left.where("n = 0").select("row").join(F.broadcast(pick.where("m = 0").select("c").limit(1))).select("row", "c", F.lit(0.0).alias("d"))
         got = near.union(empty).groupBy("row").agg(F.min(F.struct("d", "c")).alias("b")).where(F.col("b.d") <= tau)
         got = materialize(got.select("row", F.col("b.c").alias("c"), F.lit(turn).alias("turn")))
         done.append(got)
+        if len(done) == 16:  # keep the plan short
+            done = [materialize(reduce(DataFrame.unionByName, done))]
         left, turn = materialize(left.join(got, "row", "left_anti")), turn + 1
     every = left.select("row", F.lit(0).alias("c"), F.lit(1 << 30).alias("turn"))
     for g in done:
         every = every.unionByName(g)
-    return order_by(every, [F.asc("turn"), F.asc("c"), F.asc("row")])
+    return order_by(every, [F.asc("turn"), F.asc("c"), F.asc("row")], rows=rows)
 
 
 def candidate_pairs(sketch: DataFrame, rows: int, k: int = 64, cap: int = 64) -> DataFrame:
@@ -267,7 +272,7 @@ def cluster_chain(sketch: DataFrame, rows: int, bs: int = 32, tau: float = 0.5,
     head = cl.groupBy("comp").agg(F.max("mass").alias("mass"))
     spine = sketch.sparkSession.range(rows).select(F.col("id").alias("row"))
     every = spine.join(chained.join(head, "comp"), "row", "left")
-    return order_by(every, [F.col("mass").desc_nulls_last(), F.asc("comp"), F.asc("pos"), F.asc("row")])
+    return order_by(every, [F.col("mass").desc_nulls_last(), F.asc("comp"), F.asc("pos"), F.asc("row")], rows=rows)
 
 
 def anchor_order(sketch: DataFrame, rows: int, k: int = 8) -> DataFrame:
@@ -275,7 +280,7 @@ def anchor_order(sketch: DataFrame, rows: int, k: int = 8) -> DataFrame:
     top = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("deg", "win"))), lambda x: x["win"]), 1, k)
     sig = sketch.join(sk.window_degree(sketch), "win").groupBy("row").agg(top.alias("sig"))
     spine = sketch.sparkSession.range(rows).select(F.col("id").alias("row"))
-    return order_by(spine.join(sig, "row", "left"), [F.col("sig").asc_nulls_last(), F.asc("row")])
+    return order_by(spine.join(sig, "row", "left"), [F.col("sig").asc_nulls_last(), F.asc("row")], rows=rows)
 
 
 def stripe_cost(sketch: DataFrame, perm: DataFrame, bs: int) -> int:

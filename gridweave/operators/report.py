@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 TIE = 1e-12
 
 
@@ -56,6 +60,13 @@ def top_per_group(df: DataFrame, group: str, c: str, n: int = 3) -> DataFrame:
     return g.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), c)).cast("long")).where(F.col("pos") <= n)
 
 
+def group_medians(df: DataFrame, group: str, c: str, values: list[str], n: int = 3) -> DataFrame:
+    """One row a group: its n most frequent values of c, joined by line breaks, at the medians of some columns."""
+    top = top_per_group(df, group, c, n).groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c]), "\n").alias("top"))  # n values at most
+    mid = df.groupBy(group).agg(*[F.percentile(F.col(v).cast("double"), F.lit(0.5)).alias(v) for v in values])
+    return mid.join(top, group)
+
+
 def cluster_profile(df: DataFrame, group: str, values: list[str]) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("size"), *[F.round(F.avg(v), 4).alias(v) for v in values])
 
@@ -68,16 +79,43 @@ def join_results(operations: DataFrame, analysis: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """(by, pearson, spearman, kendall): average ranks for ties; Kendall's tau-b from pairs within a group."""
+    """(by, pearson, spearman, kendall): average ranks for ties; Kendall's tau-b by sorting and counting inversions, a group a task."""
+    ship(df.sparkSession)
     w = lambda c: Window.partitionBy(by).orderBy(c)
     size = lambda c: F.count("*").over(Window.partitionBy(by, c))
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", F.rank().over(w(x)) + (size(x) - 1) / 2).withColumn("ry", F.rank().over(w(y)) + (size(y) - 1) / 2)
     lin = r.groupBy(by).agg(F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"))
-    k = r.select(by, F.col("rx").alias("a"), F.col("ry").alias("b"), F.monotonically_increasing_id().alias("i"))
-    p = k.join(k.select(by, F.col("a").alias("c"), F.col("b").alias("d"), F.col("i").alias("j")), by).where("a <= c and not (a = c and i >= j)")
-    sx, sy = F.signum(F.col("c") - F.col("a")), F.signum(F.col("d") - F.col("b"))
-    t = p.groupBy(by).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    return lin.join(t.select(by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall")), by, "left")
+
+    def tau(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: t[by].iloc[:1], "kendall": [kendall(t["rx"].to_numpy(), t["ry"].to_numpy())]})
+
+    t = r.select(by, "rx", "ry").groupBy(by).applyInPandas(tau, f"`{by}` {df.schema[by].dataType.simpleString()}, kendall double")
+    return lin.join(t, by, "left")
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Tau-b in n log n; None without two different values on both sides."""
+
+    def pairs(*keys: np.ndarray) -> int:
+        """Pairs of equal values."""
+        k = np.unique(np.stack(keys), axis=1, return_counts=True)[1]
+        return int((k * (k - 1) // 2).sum())
+
+    n = len(x) * (len(x) - 1) // 2
+    nx, ny = n - pairs(x), n - pairs(y)
+    if not nx or not ny:
+        return None
+    v = y[np.lexsort((y, x))]
+
+    def swaps(v: np.ndarray) -> tuple[int, np.ndarray]:
+        if len(v) < 2:
+            return 0, v
+        (a, left), (b, right) = swaps(v[: len(v) // 2]), swaps(v[len(v) // 2 :])
+        over = len(left) * len(right) - int(np.searchsorted(left, right, side="right").sum())
+        return a + b + over, np.sort(np.concatenate([left, right]), kind="stable")
+
+    discordant = swaps(v)[0]
+    return float((nx + ny - n + pairs(x, y) - 2 * discordant) / np.sqrt(float(nx) * ny))
 
 
 def breakeven(operations: DataFrame) -> DataFrame:
@@ -134,10 +172,19 @@ def corpus_filter(features: DataFrame, one_per_family: bool = False, keep_full:
     return f
 
 
-def label_lookup(df: DataFrame, headers: DataFrame) -> DataFrame:
-    """Group of each matrix: from its header, else from its name before the first double underscore, else Unknown."""
-    named = F.when(F.col("matrix").contains("__"), F.split("matrix", "__")[0])
-    return df.join(headers, "matrix", "left").withColumn("group", F.coalesce("group", named, F.lit("Unknown")))
+def label_lookup(df: DataFrame, headers: DataFrame, collection: str) -> DataFrame:
+    """(matrix, group, kind): from the matrix's header; without a group there, model family and pruner of names that start with the collection; else Unknown."""
+    from ..sources.files import matrix_name
+
+    arch, _, pruner, _ = matrix_name("matrix")
+    own, lacks = F.startswith("matrix", F.lit(f"{collection}__")), F.col("__g").isNull()
+    d = df.join(headers.select("matrix", F.col("group").alias("__g"), F.col("kind").alias("__k")), "matrix", "left")
+    unknown = F.lit("Unknown")
+    return d.select(
+        *df.columns,
+        F.when(lacks & own, arch).otherwise(F.coalesce("__g", unknown)).alias("group"),
+        F.when(lacks & own, pruner).otherwise(F.coalesce("__k", unknown)).alias("kind"),
+    )
 
 
 def first_path(paths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..plans.storage import materialize
 from .matrix import SparseMatrix, dense_index
 
 
@@ -80,25 +81,30 @@ def row_sketches(sketch: DataFrame, rows: int, hub_frac: float = 0.05) -> DataFr
     return g.select(F.col("row").alias("row_id"), "h1", "h2", F.col("pick.win").alias("rare_win"), "row_len")
 
 
-def micro_clusters(rs: DataFrame, w_block: int = 32) -> DataFrame:
+def micro_clusters(rs: DataFrame, w_block: int = 32, stretch: int = 1 << 20) -> DataFrame:
     """(row, micro_id, pos_in_micro): runs of sketch-sorted rows with the same h1 or rarest window as the row before.
 
-    Runs stay within one of 256 buckets by the top byte of h1 and are cut after w_block rows, so the numbering is by
-    bucket and the order a range sort.
+    Runs end after w_block rows and where the top byte of h1 changes. The order is cut in stretches of equal length, so no run of
+    equal hashes is one task; where a run began and how many began before is carried over the cuts, by a row a stretch.
     """
     order = ["h1", "h2", "rare_win", "row_len", "row_id"]
     w_block = max(1, int(w_block))
-    bucket = F.shiftrightunsigned("h1", 56).bitwiseXOR(F.lit(128))
-    by = Window.partitionBy("bucket").orderBy(*order)
-    t = rs.withColumn("bucket", bucket)
-    cont = (F.col("h1") == F.lag("h1").over(by)) | (F.col("rare_win") == F.lag("rare_win").over(by))
-    t = t.withColumn("__cut", F.when(F.coalesce(cont, F.lit(False)), 0).otherwise(1)).withColumn("__island", F.sum("__cut").over(by))
-    at = F.row_number().over(Window.partitionBy("bucket", "__island").orderBy(*order)) - 1
-    t = t.withColumn("__at", at).withColumn("pos_in_micro", F.pmod("__at", F.lit(w_block)).cast("long"))
-    heads = t.where("pos_in_micro = 0").select("bucket", "__island", F.expr(f"__at div {w_block}").alias("__part"), *order)
-    heads = dense_index(heads, [F.asc("bucket"), *[F.asc(c) for c in order]], "micro_id").select("bucket", "__island", "__part", "micro_id")
-    t = t.withColumn("__part", F.expr(f"__at div {w_block}"))
-    return t.join(heads, ["bucket", "__island", "__part"]).select(F.col("row_id").alias("row"), "micro_id", "pos_in_micro")
+    top = lambda c: F.shiftrightunsigned(c, 56)
+    t = dense_index(rs, [F.asc(c) for c in order], "__i").withColumn("__s", F.expr(f"__i div {stretch}"))
+    by = Window.partitionBy("__s").orderBy("__i")
+    ends = t.groupBy((F.col("__s") + 1).alias("__s")).agg(F.max_by(F.struct("h1", "rare_win"), "__i").alias("__end"))
+    t = t.join(F.broadcast(ends), "__s", "left")  # a row a stretch
+    before = F.coalesce(F.lag(F.struct("h1", "rare_win")).over(by), "__end")
+    goes_on = (top(before["h1"]) == top("h1")) & ((before["h1"] == F.col("h1")) | (before["rare_win"] == F.col("rare_win")))
+    t = t.withColumn("__cut", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("__i")))
+    t = materialize(t.select(F.col("row_id").alias("row"), "__i", "__s", F.max("__cut").over(by).alias("__from")))
+    earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = t.groupBy("__s").agg(F.max("__from").alias("__last")).select("__s", F.max("__last").over(earlier).alias("__carried"))
+    t = t.join(F.broadcast(carried), "__s")  # a row a stretch
+    t = t.withColumn("pos_in_micro", F.pmod(F.col("__i") - F.coalesce("__from", "__carried"), F.lit(w_block)).cast("long")).withColumn("__head", (F.col("pos_in_micro") == 0).cast("long"))
+    heads = t.groupBy("__s").agg(F.sum("__head").alias("__n")).select("__s", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"))
+    t = t.join(F.broadcast(heads), "__s")  # a row a stretch
+    return t.select("row", (F.col("__ahead") + F.sum("__head").over(by) - 1).cast("long").alias("micro_id"), "pos_in_micro")
 
 
 def macro_incidence(sketch: DataFrame, micro: DataFrame, rows: int, hub_frac: float = 0.05) -> DataFrame:

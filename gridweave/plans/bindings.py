@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import SparseMatrix
+from .storage import materialize
 
 ALGOS = ["amd", "degree", "gray", "groot", "metis", "rabbit", "rcm", "slashburn"]
 
@@ -26,11 +27,11 @@ def order_part(spark, d) -> SparseMatrix:
 
 
 def part_graph(spark, d) -> SparseMatrix:
-    """Parts ordered together, both ways; an order has few lines, so the self-join is by its small groups."""
+    """Parts ordered together, both ways; an order has few lines, so the self-join is by its small groups. Written once: all that uses it reads it often."""
     li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     e = li.select("l_orderkey", F.col("l_partkey").alias("row")).join(li.select("l_orderkey", F.col("l_partkey").alias("col")), "l_orderkey").where("row <> col")
     n = t(spark, d, "part").count()
-    return SparseMatrix(e.select("row", "col").distinct().withColumn("val", F.lit(1.0)), n, n)
+    return SparseMatrix(materialize(e.select("row", "col").distinct().withColumn("val", F.lit(1.0))), n, n)
 
 
 def part_supplier(spark, d) -> SparseMatrix:

@@ -8,7 +8,9 @@ from ..functions.bits import GAMMA, MUL1, MUL2, SEED_1, SEED_2
 from ..operators import features, graph, heuristics, linalg, matrix, metrics, ml, ordering, report
 from ..operators import sketch as sk
 from ..operators.matrix import Axis, compose, inverse
+from ..sources.files import ARCH, SUITES, keep_listed, matrix_name, select_suite
 from . import bindings as b
+from . import twins
 
 _Q: dict = {}
 _S: dict = {}
@@ -211,12 +213,12 @@ def hybrid_stats(spark, d):
     return ordering.hybrid_stages(sk.mask(m, 4), m.rows)[1]
 
 
-@query()
+@query(twins.two_sided("r"))
 def order_two_sided(spark, d):
     return ordering.two_sided(b.customer_part(spark, d), 4, 4)[0]
 
 
-@query()
+@query(twins.two_sided("c"))
 def order_two_sided_cols(spark, d):
     return ordering.two_sided(b.customer_part(spark, d), 4, 4)[1]
 
@@ -241,29 +243,35 @@ def order_anchor(spark, d):
 
 @query()
 def order_similarity_rounds(spark, d):
-    return ordering.similarity_rounds(b.customer_part(spark, d), 32, 32, iters=1)[0]
+    return ordering.similarity_rounds(b.customer_part(spark, d), 32, 32)[0]
 
 
-def _heuristic(name, f):
+def _heuristic(name, f, sql=None):
     def run(spark, d):
         return f(b.part_graph(spark, d))
 
     run.__name__ = f"order_{name}"
-    query()(run)
+    query(sql)(run)
+
+
+_COMMUNITIES = f"WITH {twins.community_ctes()} SELECT p AS new_pos, o AS old_idx FROM co"
+_PARTS = f"""WITH {twins.community_ctes()}, k AS (SELECT greatest(CASE WHEN n >= 128 THEN greatest(1, CAST(floor(1.03 * n / 128) AS BIGINT)) ELSE 1 END, (n + 127) // 128) AS k FROM n)
+SELECT row_number() OVER (ORDER BY least(p // k, 127), o) - 1 AS new_pos, o AS old_idx FROM co, k"""
 
 
 _heuristic("rcm", heuristics.rcm)
 _heuristic("minimum_degree", heuristics.minimum_degree)
-_heuristic("partition", heuristics.partition_order)
-_heuristic("communities", heuristics.community_order)
+_heuristic("partition", heuristics.partition_order, _PARTS)
+_heuristic("communities", heuristics.community_order, _COMMUNITIES)
+_heuristic("community_walk", heuristics.community_walk)
 _heuristic("slashburn", heuristics.slashburn)
 _heuristic("mst", lambda m: heuristics.mst_order(m, 32))
-_heuristic("lsh", heuristics.lsh_order)
+_heuristic("lsh", heuristics.lsh_order, twins.lsh_order())
 _heuristic("overlap_groups", heuristics.overlap_groups)
 _heuristic("window_greedy", heuristics.window_greedy)
 
 
-@query(f"WITH m AS ({PG}), g AS (SELECT r, count(*) AS cnt, bit_or(1::BIGINT << CAST(c * 32 // {ROWS['pp']} AS INT)) AS bitmap FROM m GROUP BY r), x1 AS (SELECT *, xor(bitmap, bitmap >> 1) AS k FROM g), x2 AS (SELECT * REPLACE (xor(k, k >> 2) AS k) FROM x1), x3 AS (SELECT * REPLACE (xor(k, k >> 4) AS k) FROM x2), x4 AS (SELECT * REPLACE (xor(k, k >> 8) AS k) FROM x3), x5 AS (SELECT r, CAST(cnt > 32 AS INT) AS dense, xor(k, k >> 16) AS gray FROM x4) SELECT row_number() OVER (ORDER BY dense NULLS FIRST, gray NULLS FIRST, p_partkey) - 1 AS new_pos, p_partkey AS old_idx FROM part LEFT JOIN x5 ON r = p_partkey")
+@query(f"WITH m AS ({PG}), g AS (SELECT r, count(*) AS cnt, bit_or(1::BIGINT << CAST(c * 32 // {ROWS['pp']} AS INT)) AS bitmap FROM m GROUP BY r), x1 AS (SELECT *, xor(bitmap, bitmap >> 1) AS k FROM g), x2 AS (SELECT * REPLACE (xor(k, k >> 2) AS k) FROM x1), x3 AS (SELECT * REPLACE (xor(k, k >> 4) AS k) FROM x2), x4 AS (SELECT * REPLACE (xor(k, k >> 8) AS k) FROM x3), z AS (SELECT greatest(1, count(*) // {ROWS['pp']} // 16) AS z FROM m), x5 AS (SELECT r, CAST(cnt > 32 AS INT) AS dense, CASE WHEN cnt > 32 THEN 0 ELSE cnt // z END AS grp, xor(k, k >> 16) AS gray FROM x4, z) SELECT row_number() OVER (ORDER BY dense NULLS FIRST, grp NULLS FIRST, gray NULLS FIRST, p_partkey) - 1 AS new_pos, p_partkey AS old_idx FROM part LEFT JOIN x5 ON r = p_partkey")
 def order_gray(spark, d):
     return heuristics.gray_order(b.part_graph(spark, d))
 
@@ -439,9 +447,9 @@ def neighbour_jaccard(spark, d):
     return _round_all(metrics.neighbour_jaccard(s, ordering.lexicographic(s, m.rows)))
 
 
-@query(f"WITH m AS ({OP}), dg AS (SELECT c FROM m GROUP BY c HAVING count(*) <= 24), s AS (SELECT r, c FROM m JOIN dg USING (c)), n AS (SELECT r, count(*) AS n FROM s GROUP BY r), p AS (SELECT x.r AS a, y.r AS b, count(*) AS i FROM s x JOIN s y ON x.c = y.c AND x.r < y.r GROUP BY 1, 2) SELECT a, b, i AS inter, round(i / (x.n + y.n - i), 9) AS jaccard FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b")
+@query(f"WITH s AS (SELECT r, c FROM ({OP})), n AS (SELECT r, count(*) AS n FROM s GROUP BY r), p AS (SELECT x.r AS a, y.r AS b, count(*) AS i FROM s x JOIN s y ON x.c = y.c AND x.r < y.r GROUP BY 1, 2) SELECT a, b, i AS inter, round(i / (x.n + y.n - i), 9) AS jaccard FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b")
 def jaccard_pairs(spark, d):
-    return _round_all(metrics.pair_jaccard(sk.mask(b.order_part(spark, d), 1), 24))
+    return _round_all(metrics.pair_jaccard(sk.mask(b.order_part(spark, d), 1)))
 
 
 @query(f"WITH m AS ({PG}), p AS (SELECT r, c FROM m ORDER BY md5('0:' || r || ':' || c), r, c LIMIT 2000), s AS (SELECT r, list(c) AS s FROM m GROUP BY r HAVING count(*) <= 5000), j AS (SELECT len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) AS j FROM p JOIN s x ON x.r = p.r JOIN s y ON y.r = p.c) SELECT round(avg(j), 9) AS edge_jaccard_mean, round(quantile_cont(j, 0.9), 9) AS edge_jaccard_p90, round(avg(CASE WHEN j > 0.5 THEN 1.0 ELSE 0 END), 9) AS edge_jaccard_frac_gt05 FROM j")
@@ -459,9 +467,14 @@ def assortativity(spark, d):
     return _round_all(features.assortativity(b.part_graph(spark, d)), 6)
 
 
-@query()
+_FINGERPRINTS = twins.fingerprint("customer_part", CP, ROWS["cp"], ROWS["pp"], False) + " UNION ALL BY NAME " + twins.fingerprint("part_graph", PG, ROWS["pp"], ROWS["pp"], True)
+
+
+@query(_FINGERPRINTS)
 def fingerprint(spark, d):
-    return features.fingerprint(b.customer_part(spark, d), "customer_part").unionByName(features.fingerprint(b.part_graph(spark, d), "part_graph"), allowMissingColumns=True)
+    both = features.fingerprint(b.customer_part(spark, d), "customer_part").unionByName(features.fingerprint(b.part_graph(spark, d), "part_graph"))
+    out = both.drop("load_s", "feat_s", "approx_betweenness_mean", "approx_betweenness_max")
+    return out.withColumns({c: F.round(c, 6 if c.endswith("skew") or c in ("powerlaw_alpha", "assortativity") else 9) for c, k in out.dtypes if k == "double"})
 
 
 @query()
@@ -484,35 +497,35 @@ def components(spark, d):
     return graph.components(_nation_graph(spark, d))
 
 
-@query()
+_PG_GRAPH = twins.graph(PG, ROWS["pp"], ROWS["pp"], True)
+
+
+@query(twins.component_summary(_PG_GRAPH))
 def component_summary(spark, d):
     return graph.component_summary(b.part_graph(spark, d))
 
 
+@query(twins.levels(_PG_GRAPH, twins.first_by_hash(0, 1, "SELECT DISTINCT s AS i FROM g")).replace("SELECT source, node, level FROM s12", "SELECT max(level)::DOUBLE AS first_depth, count(*) AS reached FROM s12"))
+def reach_of_first(spark, d):
+    e = graph.edges_of(b.part_graph(spark, d))
+    pick = e.select(F.col("src").alias("node")).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(0), "node").cast("string")), "node").limit(1)
+    return graph.bfs(e, pick).agg(F.max("level").cast("double").alias("first_depth"), F.count("*").alias("reached"))
+
+
 @query(f"""WITH RECURSIVE m AS MATERIALIZED ({PS}), e AS MATERIALIZED (SELECT r AS s, c + {ROWS['pp']} AS t FROM m UNION SELECT c + {ROWS['pp']}, r FROM m),
-w AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT e.t, w.level + 1 FROM w JOIN e ON e.s = w.node WHERE w.level < 5) SELECT 0::BIGINT AS source, node, min(level) AS level FROM w GROUP BY node""")
+w AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT e.t, w.level + 1 FROM w JOIN e ON e.s = w.node WHERE w.level < 16) SELECT 0::BIGINT AS source, node, min(level) AS level FROM w GROUP BY node""")
 def bfs_levels(spark, d):
-    return graph.bfs(graph.edges_of(b.part_supplier(spark, d)), spark.createDataFrame([(0,)], "node long"), 5)
+    return graph.bfs(graph.edges_of(b.part_supplier(spark, d)), spark.createDataFrame([(0,)], "node long"))
 
 
-@query()
+@query(twins.levels(_PG_GRAPH, twins.first_by_hash(42, 64, "SELECT p_partkey AS i FROM part")))
 def bfs_multi_source(spark, d):
     m = b.part_graph(spark, d)
-    src = m.spine.orderBy(F.xxhash64("row", F.lit(42)), "row").limit(64).select(F.col("row").alias("node"))
+    src = m.spine.orderBy(F.md5(F.concat_ws(":", F.lit(42), "row").cast("string")), "row").limit(64).select(F.col("row").alias("node"))
     return graph.bfs(graph.edges_of(m), src)
 
 
-def _pagerank_sql() -> str:
-    n = ROWS["pp"]
-    parts = [f"WITH m AS MATERIALIZED ({PG}), dg AS MATERIALIZED (SELECT p_partkey AS i, coalesce(k, 0) AS d FROM part LEFT JOIN (SELECT r, count(*) AS k FROM m GROUP BY 1) ON r = p_partkey)", f"p0 AS (SELECT i, 1.0::DOUBLE / {n} AS p FROM dg)"]
-    for k in range(1, 11):
-        parts.append(
-            f"q{k} AS MATERIALIZED (SELECT dg.i, 0.15 / {n} + 0.85 * (coalesce(g, 0) + coalesce((SELECT sum(p) FROM p{k - 1} JOIN dg x USING (i) WHERE x.d = 0), 0) / {n}) AS p FROM dg LEFT JOIN (SELECT m.c, sum(p / dg.d) AS g FROM m JOIN p{k - 1} pr ON pr.i = m.r JOIN dg ON dg.i = m.r GROUP BY m.c) ON c = dg.i), p{k} AS MATERIALIZED (SELECT i, p / (SELECT sum(p) FROM q{k}) AS p FROM q{k})"
-        )
-    return ", ".join(parts) + " SELECT i AS node, round(p, 9) AS rank FROM p10"
-
-
-@query(_pagerank_sql())
+@query(f"SELECT node, round(rank, 9) AS rank FROM ({twins.pagerank(_PG_GRAPH)})")
 def pagerank(spark, d):
     return graph.pagerank(b.part_graph(spark, d)).withColumn("rank", F.round("rank", 9))
 
@@ -527,14 +540,14 @@ def _points(spark, d):
     return s.groupBy(F.col("s_nationkey").cast("long").alias("id")).agg(F.avg("s_acctbal").alias("x"), F.count("*").cast("double").alias("y"))
 
 
-@query()
+@query(twins.mst_flexibility())
 def mst_flexibility(spark, d):
     e = graph.complete_distances(_points(spark, d))
     tree = graph.minimum_spanning_forest(e)
     return report.mst_flexibility(tree, float(e.agg(F.max("w")).first()[0]))
 
 
-@query()
+@query(f"WITH {twins.spanning_tree()} SELECT u, v, round(w, 9) AS w FROM tree")
 def spanning_tree(spark, d):
     return _round_all(graph.minimum_spanning_forest(graph.complete_distances(_points(spark, d))))
 
@@ -680,11 +693,57 @@ def corpus_filter(spark, d):
     return report.corpus_filter(_shapes(spark, d), one_per_family=True, square_only=True, min_size=5, max_size=40, min_bandwidth=2, max_density=0.9)
 
 
-@query("SELECT CASE WHEN n_regionkey IN (1, 2) THEN 'g' || n_regionkey ELSE 'Unknown' END AS \"group\", n_name AS matrix FROM nation")
+_NAMES = """SELECT CASE n_regionkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'ZOO__' || n_name || '-er-0.' || n_nationkey || '-CIFAR-10-seed' || n_regionkey || '_matrices__matrices__er__conv_' || n_nationkey
+  ELSE 'ZOO__' || n_name || '_matrices' END AS matrix, n_regionkey, n_nationkey FROM nation"""
+
+
+def _names(spark, d):
+    zoo = F.concat(F.lit("ZOO__"), "n_name")
+    vision = F.concat(zoo, F.lit("-er-0."), "n_nationkey", F.lit("-CIFAR-10-seed"), "n_regionkey", F.lit("_matrices__matrices__er__conv_"), "n_nationkey")
+    name = F.when(F.col("n_regionkey") % 3 == 0, F.col("n_name")).when(F.col("n_regionkey") % 3 == 1, vision).otherwise(F.concat(zoo, F.lit("_matrices")))
+    return b.t(spark, d, "nation").withColumn("matrix", name)
+
+
+_CONFIG = "regexp_replace(coalesce(nullif(split_part(matrix, '__', 2), ''), matrix), '_matrices$', '')"
+_ARCH = f"coalesce(nullif(regexp_extract({_CONFIG}, '{ARCH}', 1), ''), {_CONFIG})"
+_PRUNER = "coalesce(nullif(split_part(matrix, '__', 4), ''), 'Unknown')"
+
+
+@query(f"SELECT matrix, {_ARCH} AS arch, {_CONFIG} AS config, {_PRUNER} AS pruner, split_part(matrix, '__', 5) AS layer FROM ({_NAMES})")
+def name_parts(spark, d):
+    return _names(spark, d).select("matrix", *matrix_name())
+
+
+@query(f"""SELECT matrix, CASE WHEN n_nationkey % 5 = 0 THEN 'g' || n_regionkey WHEN matrix LIKE 'ZOO!_!_%' ESCAPE '!' THEN {_ARCH} ELSE 'Unknown' END AS "group",
+  CASE WHEN n_nationkey % 5 = 0 THEN 'k' || n_nationkey WHEN matrix LIKE 'ZOO!_!_%' ESCAPE '!' THEN {_PRUNER} ELSE 'Unknown' END AS kind FROM ({_NAMES})""")
 def label_lookup(spark, d):
-    n = b.t(spark, d, "nation").withColumnRenamed("n_name", "matrix")
-    heads = n.where("n_regionkey in (1, 2)").select("matrix", F.concat(F.lit("g"), "n_regionkey").alias("group"))
-    return report.label_lookup(n.select("matrix"), heads)
+    n = _names(spark, d)
+    heads = n.where("n_nationkey % 5 = 0").select("matrix", F.concat(F.lit("g"), "n_regionkey").alias("group"), F.concat(F.lit("k"), "n_nationkey").alias("kind"))
+    return report.label_lookup(n.select("matrix"), heads, "ZOO")
+
+
+@query(f"""WITH j AS ({JOBS}), t AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY n DESC, matrix) AS pos FROM (SELECT status, matrix, count(*) AS n FROM j GROUP BY ALL)),
+  a AS (SELECT status, string_agg(matrix, chr(10) ORDER BY pos) AS top FROM t WHERE pos <= 3 GROUP BY 1) SELECT o_orderstatus AS status, round(quantile_cont(o_totalprice, 0.5), 4) AS o_totalprice, max(top) AS top
+  FROM orders JOIN a ON status = o_orderstatus GROUP BY 1""")
+def group_medians(spark, d):
+    o = b.t(spark, d, "orders").join(b.t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(b.t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = o.select(F.col("o_orderstatus").alias("status"), F.col("n_name").alias("matrix"), "o_totalprice")
+    return _round_all(report.group_medians(o, "status", "matrix", ["o_totalprice"]), 4)
+
+
+@query("SELECT p_brand AS matrix, p_type AS suite FROM part WHERE p_size % 3 = 0 GROUP BY ALL")
+def suite_rows(spark, d):
+    p = b.t(spark, d, "part")
+    suite = F.element_at(F.array(*[F.lit(x) for x in sorted(SUITES)]), (F.col("p_size") % 3 + 1).cast("int"))
+    grid = p.select(F.col("p_brand").alias("matrix"), F.col("p_type").alias("container"), suite.alias("suite")).distinct()
+    return select_suite(grid, "ai").select("matrix", F.col("container").alias("suite"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size < 5)")
+def listed_rows(spark, d):
+    p = b.t(spark, d, "part")
+    names = p.where("p_size < 5").select(F.concat(F.lit("/some/where/"), "p_brand", F.lit(".mtx")).alias("path"))
+    return keep_listed(p.select("p_partkey", "p_name", "p_brand"), names, "p_brand").select("p_partkey", "p_name")
 
 
 @query("SELECT c_mktsegment AS stem, arg_min(c_name, c_custkey) AS path FROM customer GROUP BY 1")
@@ -710,8 +769,17 @@ def ari_nmi(spark, d):
 @query()
 def kmeans_sweep(spark, d):
     p = b.t(spark, d, "part").groupBy(F.col("p_brand").alias("matrix")).agg(F.avg("p_size").alias("p_size"), F.avg("p_retailprice").alias("p_retailprice"))
-    rows, best, _ = ml.sweep(ml.preprocess(p, _F, log=()), _F, kmin=2, kmax=5)
-    return spark.createDataFrame([(k, i, s, k == best) for k, i, s in rows], "k int, inertia double, silhouette double, best boolean")
+    p = p.withColumn("group", F.substring("matrix", 1, 7))
+    rows, best, _ = ml.sweep(ml.preprocess(p, _F, log=()), _F, label="group")
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows], "k int, inertia double, silhouette double, ari double, nmi double, best boolean")
+
+
+@query()
+def cluster_report(spark, d):
+    """Profile of the best clustering: sizes and means, k-means and Ward labels side by side."""
+    p = b.t(spark, d, "part").groupBy(F.col("p_brand").alias("matrix")).agg(F.avg("p_size").alias("p_size"), F.avg("p_retailprice").alias("p_retailprice"))
+    _, _, done = ml.sweep(ml.preprocess(p, _F, log=()), _F)
+    return report.cluster_profile(p.join(done, "matrix"), "cluster", ["p_size", "p_retailprice", "cluster_agg"])
 
 
 # ---- event windows (an extension)

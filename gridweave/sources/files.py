@@ -40,10 +40,57 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return dense_index(t.withColumn("__i", F.monotonically_increasing_id()), [F.asc("__i")], "line_no").select("line_no", "path")
 
 
-def candidates(entry: str, root: str) -> list[str]:
-    """Where a list entry may be: as given, under the root, with the suffix, in a folder of its name."""
-    stem = entry[:-4] if entry.endswith(".mtx") else entry
-    return [entry, f"{root}/{entry}", f"{root}/{stem}.mtx", f"{root}/{stem}/{stem.rsplit('/', 1)[-1]}.mtx"]
+def candidates(entry: str, root: str, folder: str = "datasets") -> list[str]:
+    """Where a list entry may be: as given, under the root, in the data folder under its own name, or right there."""
+    name = entry.rsplit("/", 1)[-1]
+    stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
+    return [entry, f"{root}/{entry}", f"{root}/{folder}/{stem}/{name}", f"{root}/{folder}/{name}"]
+
+
+def resolve_list(spark: SparkSession, path: str, root: str, folder: str = "datasets") -> DataFrame:
+    """(line_no, entry, path): each list entry with the first place that has its file, NULL where none has.
+
+    One listing of the root answers for all entries but absolute ones, which are looked up by the file system they name.
+    """
+    e = read_list(spark, path).withColumnRenamed("path", "entry")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def is_file(p: str) -> bool:
+        at = hadoop(p)
+        fs = at.getFileSystem(conf)
+        return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+    found = [(r["line_no"], r["entry"], next((c for c in candidates(r["entry"], root, folder) if is_file(c)), None)) for r in e.collect()]  # a list file's lines
+    return spark.createDataFrame(found, "line_no long, entry string, path string")
+
+
+def default_matrices(spark: SparkSession, root: str, folder: str = "datasets", name: str = "matrices_list_filtered.txt") -> DataFrame:
+    """(path): the listed matrices that are there; without a list, or when it names none, all .mtx files of the data folder, sorted."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(f"{root}/{folder}/{name}")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        listed = resolve_list(spark, f"{root}/{folder}/{name}", root, folder).where("path is not null").select("path")
+        if not listed.isEmpty():
+            return listed
+    return find_matrices(spark, f"{root}/{folder}")
+
+
+#: The list file of each suite of matrices.
+SUITES = {"ai": "ai_matrices.txt", "extended": "matrices_extended.txt", "standard": "matrices_list_filtered.txt"}
+
+
+def select_suite(grid: DataFrame, suite: str) -> DataFrame:
+    """The rows of an experiment grid (with a column suite) that belong to one suite; ValueError for an unknown one."""
+    if suite not in SUITES:
+        raise ValueError(f"unknown suite {suite!r}; there are {', '.join(sorted(SUITES))}")
+    return grid.where(F.col("suite") == suite)
+
+
+def keep_listed(df: DataFrame, names: DataFrame, c: str = "matrix") -> DataFrame:
+    """Rows of df whose matrix is in a curated list (path): compared by file name without folder and suffix."""
+    stem = lambda x: F.regexp_replace(F.element_at(F.split(x, "/"), -1), "\\.mtx$", "")
+    return df.withColumn("__stem", stem(F.col(c))).join(names.select(stem(F.col("path")).alias("__stem")).distinct(), "__stem", "left_semi").drop("__stem")
 
 
 def find_matrices(spark: SparkSession, root: str) -> DataFrame:
@@ -91,15 +138,25 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
 
 
+# Pruning methods in names of pruned vision models.
+PRUNERS = ("erk", "er", "grasp", "prospr", "snip", "synflow", "uniform")
+ARCH = "^(.+?)-(?:" + "|".join(PRUNERS) + ")-[0-9.]+-CIFAR-10-seed[0-9]+$"
+
+
 def matrix_name(c: str = "matrix") -> list:
-    """Columns arch, config, pruner, layer of names like ARCH__config_matrices__matrices__pruner__layer."""
-    p = F.split(F.col(c), "__")
-    full = F.size(p) >= 5
+    """Columns arch, config, pruner, layer of names like COLLECTION__config_matrices__matrices__pruner__layer.
+
+    The model family is the config without its pruner, sparsity, data set and seed, or all of it where it has none. A name without parts is its own
+    config; a missing pruner is Unknown, a missing layer empty.
+    """
+    p = F.split(F.regexp_replace(F.col(c), "\\.mtx$", ""), "__")
+    config = F.regexp_replace(F.coalesce(F.get(p, F.lit(1)), p[0]), "_matrices$", "")
+    arch = F.regexp_extract(config, ARCH, 1)
     return [
-        F.when(full, p[0]).alias("arch"),
-        F.when(full, F.regexp_replace(p[1], "_matrices$", "")).alias("config"),
-        F.when(full, p[3]).alias("pruner"),
-        F.when(full, F.array_join(F.slice(p, F.lit(5), F.size(p)), "__")).alias("layer"),
+        F.when(arch != "", arch).otherwise(config).alias("arch"),
+        config.alias("config"),
+        F.coalesce(F.get(p, F.lit(3)), F.lit("Unknown")).alias("pruner"),
+        F.when(F.size(p) > 4, F.array_join(F.slice(p, F.lit(5), F.greatest(F.size(p) - 4, F.lit(0))), "__")).otherwise("").alias("layer"),
     ]
 
 

@@ -49,9 +49,18 @@ def parse_header(lines) -> Header:
     raise ValueError("no size line")
 
 
-def read_header(spark: SparkSession, path: str, most_lines: int = 10_000) -> Header:
-    """The head of the file by Spark's reader, so any store that Spark reads will do; only the head reaches the driver."""
-    return parse_header(r["value"] for r in spark.read.text(path).limit(most_lines).toLocalIterator())
+def read_header(spark: SparkSession, path: str) -> Header:
+    """The head of the file by Spark's reader, so any store that Spark reads will do.
+
+    Only the banner, the named comments before the size line, and that line reach the driver, however many comments there are.
+    """
+    t = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    size = t.where(~F.trim("value").rlike("^[%#]|^\\s*$")).limit(1).collect()
+    named = t.where(F.trim("value").rlike("^%%|^%[% ]*(name|kind):"))
+    if size:
+        named = named.where(F.col("at") < size[0]["at"])
+    lines = [r["value"] for r in named.orderBy("at").limit(1000).collect()]
+    return parse_header([*lines, *(r["value"] for r in size)])
 
 
 def read_mtx(spark: SparkSession, path: str, strict: bool = False) -> SparseMatrix:
