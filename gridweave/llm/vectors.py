@@ -12,70 +12,71 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize
 from .graph import Sets, components
 
-#: Radius of the cover tree's root (unit vectors are at most 2 apart), and numbers a block of rows holds.
-TOP, BLOCK = 2.0, 1 << 19
-#: A pair of nodes with more pairs of children than this is a matrix product of its own.
+#: Radius of the cover tree's root, from which 0.7 comes two levels below (unit vectors are at most 2 apart, and unrelated ones about 1.4);
+#: numbers that a block of rows holds.
+TOP, BLOCK = 2.8, 1 << 19
+#: A node with more pairs of children with its partners than this is a matrix product of its own.
 WIDE = 4096
 
 
 class CoverTree:
     """Cover tree over rows of x (unit vectors), level by level; the radius halves from one to the next.
 
-    Level i is a net of radius r = TOP / 2 ** i over all rows. Nesting: its centres are centres of level i + 1. Covering: each row is within r
-    of a centre, and each centre of level i + 1 within r of its parent on level i. Separation: centres of a level are more than r
-    apart. Rows come last where the radius is below stop or every row is a centre: a last node has the rows nearest to it as members.
-    far is the covering radius as it is, the largest distance of a row below a node.
+    The centres of a level are a net of its radius r over all rows. Nesting: they are centres of the next level. Covering: each row is within r
+    of a centre, and each new centre within r of its parent on the level above. Separation: centres of a level are more than r
+    apart. A node with one row stands for all its levels below, as it would be its own only child. Nodes are split until they have one row or r is
+    below stop; then rows are members of the node with the nearest centre. far is the covering radius as it is, the largest distance of a row below a node.
     """
 
     def __init__(self, x: np.ndarray, stop: float):
         self.x, n = x, len(x)
-        centres, near = np.zeros(0, np.int64), np.zeros(n, np.int64)  # near: the place of each row's nearest centre
-        self.centre, self.children, self.far, level = [], [], [], []
-        radius = TOP
-        while True:
-            grown = self._net(centres, radius)
-            near_new = self._nearest(grown)
-            nodes = np.arange(len(self.centre), len(self.centre) + len(grown))
-            self.centre += grown.tolist()
-            far = np.zeros(len(grown))
-            self.far += far.tolist()
-            self.children += [None] * len(grown)
-            if level:
-                # The parent of a centre is the centre nearest to it on the level above; of one that was there, itself.
-                parent = near[grown]
-                parent[: len(centres)] = np.arange(len(centres))
-                for p, c in zip(level, _split(parent, len(centres))):
-                    self.children[p] = nodes[c]
-            centres, near, level = grown, near_new, nodes.tolist()
-            if radius < stop or len(centres) == n:
-                break
-            radius /= 2
-        self.root, self.members = 0, dict(zip(level, _split(near, len(centres))))
-        # Rows below each node, from the last level up; distances are exact to rounding, which the margin of a search covers.
-        below = dict(self.members)
-        for node in range(len(self.centre) - 1, -1, -1):
-            if self.children[node] is not None:
-                below[node] = np.concatenate([below.pop(int(c)) for c in self.children[node]])
-            rows = below[node]
-            if len(rows) > 1:
-                self.far[node] = float(np.sqrt(max(0.0, 2 - 2 * float((x[rows] @ x[self.centre[node]]).min()))))
-        self.centre, self.far = np.array(self.centre, np.int64), np.array(self.far)
-        # The same as arrays: whether a node is a last one, and one with a single row; children (of a last node, itself) from kid_at on.
-        self.last = np.array([c is None for c in self.children], bool)
-        self.alone = self.last & np.array([i in self.members and len(self.members[i]) == 1 for i in range(len(self.centre))], bool)
-        kids = [np.array([i]) if c is None else c for i, c in enumerate(self.children)]
-        self.kids, self.kid_n = np.concatenate(kids), np.array([len(k) for k in kids])
-        self.kid_at = np.concatenate([[0], np.cumsum(self.kid_n)])[:-1]
-
-    def _net(self, centres: np.ndarray, radius: float) -> np.ndarray:
-        """The centres, and rows that are more than radius from all of them and from one another, till none is left."""
-        least = 1 - radius * radius / 2  # cosine of rows that far apart
-        free = np.ones(len(self.x), bool)
-        free[centres] = False
-        rest, out = np.flatnonzero(free), [centres]
-        for c in np.split(centres, range(1024, len(centres), 1024)):
-            if len(c) and len(rest):
-                rest = rest[(self.x[rest] @ self.x[c].T).max(axis=1) < least]
+        self.centre, self.children, self.depth = [np.zeros(min(n, 1), np.int64)], {}, [np.zeros(min(n, 1), np.int64)]
+        node_of = np.zeros(n, np.int64)
+        crowded, centres = np.zeros(int(n > 1), np.int64), np.zeros(min(n, 1), np.int64)  # nodes with rows besides their centre; all centres
+        radius, size, level = TOP, min(n, 1), 0
+        while radius >= stop and len(crowded):
+            radius, level = radius / 2, level + 1
+            held = np.concatenate(self.centre)[crowded]
+            active = np.flatnonzero(np.isin(node_of, crowded))
+            new = self._net(np.setdiff1d(active, held, assume_unique=True), centres, radius)
+            here, centres = np.concatenate([held, new]), np.concatenate([centres, new])
+            parent = np.concatenate([crowded, node_of[new]])
+            by = np.argsort(parent, kind="stable")
+            cut = np.searchsorted(parent[by], crowded)
+            self.children |= dict(zip(crowded.tolist(), np.split(size + by, cut[1:])))
+            near = self._nearest(active, here)
+            node_of[active] = size + near
+            crowded = size + np.flatnonzero(np.bincount(near, minlength=len(here)) > 1)
+            self.centre.append(here)
+            self.depth.append(np.full(len(here), level))
+            size += len(here)
+        self.centre, self.depth = np.concatenate(self.centre), np.concatenate(self.depth)
+        self.last = np.ones(size, bool)
+        self.last[list(self.children)] = False
+        rows = np.bincount(node_of, minlength=size)
+        self.alone, self.far = self.last & (rows == 1), np.zeros(size)
+        self.members = dict(zip(range(size), _split(node_of, size)))
+        # Rows below each node that was split, from the last level up; distances are exact to rounding, which the margin of a search covers.
+        below = {}
+        for node in sorted(self.children, reverse=True):
+            below[node] = np.concatenate([below.pop(c) if c in below else self.members[c] for c in self.children[node].tolist()])
+            self._spread(node, below[node])
+        for node in np.flatnonzero(self.last & (rows > 1)).tolist():
+            self._spread(node, self.members[node])
+        # Children one after the other, from kid_at on; of a last node, itself.
+        kids = [self.children.get(i, one) for i, one in enumerate(np.arange(size).reshape(-1, 1))]
+        self.kid_n = np.array([len(k) for k in kids], np.int64)
+        self.kids, self.kid_at = np.concatenate([*kids, np.zeros(0, np.int64)]), np.cumsum(self.kid_n) - self.kid_n
+
+    def _spread(self, node: int, rows: np.ndarray) -> None:
+        self.far[node] = float(np.sqrt(max(0.0, 2 - 2 * float((self.x[rows] @ self.x[self.centre[node]]).min()))))
+
+    def _net(self, rest: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
+        """Rows of rest that are more than radius from all centres and from one another, till none is left."""
+        least, out = 1 - radius * radius / 2, [np.zeros(0, np.int64)]  # least: cosine of rows that far apart
+        for lo in range(0, len(centres), 1024):
+            if len(rest):
+                rest = rest[(self.x[rest] @ self.x[centres[lo : lo + 1024]].T).max(axis=1) < least]
         while len(rest):
             some, rest = rest[:256], rest[256:]
             close, kept = self.x[some] @ self.x[some].T >= least, []
@@ -90,15 +91,15 @@ class CoverTree:
                 rest = np.concatenate([r[(self.x[r] @ self.x[new].T).max(axis=1) < least] for r in np.split(rest, range(8192, len(rest), 8192))])
         return np.concatenate(out)
 
-    def _nearest(self, centres: np.ndarray) -> np.ndarray:
+    def _nearest(self, rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
         """The place of each row's nearest centre; a centre's own."""
         at = np.full(len(self.x), -1)
         at[centres] = np.arange(len(centres))
-        rest = np.flatnonzero(at < 0)
+        rest = rows[at[rows] < 0]
         for lo in range(0, len(rest), 1024):
             some = rest[lo : lo + 1024]
             at[some] = (self.x[some] @ self.x[centres].T).argmax(axis=1)
-        return at
+        return at[rows]
 
 
 def _split(group: np.ndarray, n: int) -> list[np.ndarray]:
@@ -113,12 +114,12 @@ def dual(a: CoverTree, b: CoverTree, reach: float, visit) -> None:
     how: block (all with all), pairs (one by one), self (all with all of one node). Children of both nodes are compared at once. a may
     be b: then each pair of rows comes once, but for self; and in pairs a row may come with itself.
     """
-    one, stack = np.zeros(1, np.int64), []
+    stack = []
 
-    def go_on(u: np.ndarray, v: np.ndarray, gap: np.ndarray, same: np.ndarray) -> None:
-        """Keep the node pairs that are near enough, and none twice; of pairs of single rows, nothing is left to do."""
-        keep = (gap <= reach + a.far[u] + b.far[v]) & (~same | (u <= v))
-        u, v = u[keep], v[keep]
+    def go_on(u: np.ndarray, v: np.ndarray, same) -> None:
+        """Keep near node pairs for the next step, none twice; of pairs of single rows, nothing is left to do."""
+        once = ~same | (u <= v)
+        u, v = u[once], v[once]
         single = a.alone[u] & b.alone[v]
         if single.any():
             visit(a.centre[u[single]], b.centre[v[single]], "pairs")
@@ -126,30 +127,51 @@ def dual(a: CoverTree, b: CoverTree, reach: float, visit) -> None:
             stack.append((u[~single], v[~single]))
 
     if len(a.x) and len(b.x):
-        stack.append((one, one))
+        stack.append((np.zeros(1, np.int64), np.zeros(1, np.int64)))
     while stack:
         p, q = stack.pop()
         done = a.last[p] & b.last[q]
         for u, v in zip(p[done].tolist(), q[done].tolist()):
             visit(a.members[u], b.members[v], "self" if a is b and u == v else "block")
         p, q = p[~done], q[~done]
+        by = np.argsort(p, kind="stable")
+        p, q = p[by], q[by]
         product = a.kid_n[p] * b.kid_n[q]
-        for u, v in zip(p[product > WIDE].tolist(), q[product > WIDE].tolist()):  # as matrix products
-            mine, other = (t.kids[t.kid_at[k] : t.kid_at[k] + t.kid_n[k]] for t, k in ((a, u), (b, v)))
-            for lo in range(0, len(mine), 512):
-                some = mine[lo : lo + 512]
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[some]] @ b.x[b.centre[other]].T)))
-                i, j = np.nonzero(gap <= reach + a.far[some][:, None] + b.far[other][None])
-                go_on(some[i], other[j], gap[i, j], np.full(len(i), a is b and u == v))
-        p, q, product = (z[product <= WIDE] for z in (p, q, product))
+        head = np.flatnonzero(np.diff(p, prepend=-1))
+        wide = np.add.reduceat(product, head) > WIDE if len(p) else np.zeros(0, bool)
+        for lo, hi in zip(head[wide].tolist(), np.append(head, len(p))[1:][wide].tolist()):
+            # A node's children and those of all its partners, as matrix products; children with rows of their own only come first.
+            mine = a.kids[a.kid_at[p[lo]] : a.kid_at[p[lo]] + a.kid_n[p[lo]]]
+            size = b.kid_n[q[lo:hi]]
+            other = b.kids[np.repeat(b.kid_at[q[lo:hi]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            same = np.repeat(q[lo:hi] == p[lo], size) if a is b else np.zeros(len(other), bool)
+            order = np.argsort(b.far[other], kind="stable")
+            other, same = other[order], same[order]
+            flat = int((b.far[other] == 0).sum())
+            for at in range(0, len(mine), 256):
+                some = mine[at : at + 256]
+                dot = a.x[a.centre[some]] @ b.x[b.centre[other]].T
+                span = (reach + a.far[some]).astype(np.float32)[:, None]
+                far = b.far[other[flat:]].astype(np.float32)[None]
+                for off, hit in ((0, dot[:, :flat] >= _cosine(span)), (flat, dot[:, flat:] >= _cosine(span + far))):
+                    rows = np.flatnonzero(hit.any(axis=1))
+                    i, j = np.nonzero(hit[rows])
+                    if len(i):
+                        go_on(some[rows[i]], other[off + j], same[off + j])
+        p, q, product = (z[~np.repeat(wide, np.diff(np.append(head, len(p))))] for z in (p, q, product))
         steps = np.searchsorted(np.cumsum(product), np.arange(1, product.sum() // (64 * WIDE) + 1) * 64 * WIDE)
         for p_, q_, n in zip(*(np.split(z, steps) for z in (p, q, product))):  # the others many at a time
             of = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             width = b.kid_n[q_][of]
             u, v = a.kids[a.kid_at[p_][of] + at // width], b.kids[b.kid_at[q_][of] + at % width]
-            gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centre[u]], b.x[b.centre[v]])))
-            go_on(u, v, gap, (p_ == q_)[of] if a is b else np.zeros(len(of), bool))
+            near = np.einsum("ij,ij->i", a.x[a.centre[u]], b.x[b.centre[v]]) >= _cosine(reach + a.far[u] + b.far[v])
+            go_on(u[near], v[near], (p_ == q_)[of][near] if a is b else np.zeros(1, bool))
+
+
+def _cosine(distance: np.ndarray) -> np.ndarray:
+    """Cosine of unit vectors at a distance; below any cosine from 2 on."""
+    return np.where(distance < 2, 1 - distance * distance / 2, -2).astype(np.float32)
 
 
 def block_pairs(left: np.ndarray, right: np.ndarray | None, weight_left, weight_right, threshold: float):

@@ -427,18 +427,25 @@ def test_cover_tree(seed):
     x = (x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(np.float32)
     gap = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
     t = vectors.CoverTree(x, 0.1)
-    level, radius = [t.root], vectors.TOP
-    while True:
-        c = t.centre[level]
+    assert (t.depth > 3).any()
+    for level in range(t.depth.max() + 1):
+        # Nodes with one row stand for their levels below.
+        here = [i for i in range(len(t.centre)) if t.depth[i] == level or (t.depth[i] < level and t.alone[i])]
+        c, radius = t.centre[here], vectors.TOP / 2**level
+        assert len(set(c.tolist())) == len(c)
         assert gap[:, c].min(axis=1).max() <= radius + 1e-3
         assert (gap[np.ix_(c, c)] + 9 * np.eye(len(c))).min() > radius - 1e-3
-        if t.children[level[0]] is None:
-            break
-        for p in level:
-            kids = t.children[p]
-            assert t.centre[p] in t.centre[kids] and gap[t.centre[p], t.centre[kids]].max() <= radius + 1e-3
-        level, radius = [int(k) for p in level for k in t.children[p]], radius / 2
-    assert sorted(m for p in level for m in t.members[p]) == list(range(len(x)))
+        for p in here:
+            if t.depth[p] == level and p in t.children:
+                kids = t.children[p]
+                assert t.centre[p] in t.centre[kids] and gap[t.centre[p], t.centre[kids]].max() <= radius + 1e-3
+    leaves = [i for i in range(len(t.centre)) if t.last[i]]
+    assert sorted(m for p in leaves for m in t.members[p]) == list(range(len(x)))
+
+    def below(p):
+        return t.members[p].tolist() if t.last[p] else [r for k in t.children[p] for r in below(k)]
+
+    assert sorted(below(0)) == list(range(len(x))) and all(abs(gap[t.centre[p], below(p)].max() - t.far[p]) < 2e-3 for p in range(len(t.centre)))
     found, looked = set(), 0
 
     def visit(p, q, how):
