@@ -18,7 +18,7 @@ from .common import broadcast_if_small, materialize
 
 CAPACITY = 1024
 #: Rows of one length that one ordering cell holds on average.
-CELL = 4096
+CELL = 512
 
 
 # ---- the solver: counts[length] pieces of each length, on the driver; its size is bounded by the capacity alone
@@ -355,7 +355,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int
     """(id, piece, start, length, ids_crc32, sequence_id, offset, bound, proven), a row for each piece.
 
     Texts are tokenized once, in place; only piece rows move. The driver sees the histogram of lengths (at most cap
-    rows) and returns intervals of ranks. Ranks within a length are counted in cells of about 4096 rows plus
+    rows) and returns intervals of ranks. Ranks within a length are counted in cells of about 512 rows plus
     the counts of the cells before, so a length that a third of all pieces share is many cells. Null and empty texts
     are one piece, the end id. Repeated rows are packed each on its own. An empty table gives no rows. Only the id and the
     text are read. bound is the least number of sequences that the waste bound allows; proven, whether the search
