@@ -242,6 +242,8 @@ def write_fingerprint(row: DataFrame, path: str) -> None:
 
 def merge_fingerprints(spark, folder: str, out: str) -> DataFrame:
     """All feature files below a folder as one table in COLUMNS' order, columns by name, written as CSV."""
-    t = spark.read.schema(SCHEMA).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder, header=True)
+    from ..sources.files import read_results
+
+    t = read_results(spark, folder, SCHEMA)
     t.orderBy("matrix").coalesce(1).write.mode("overwrite").csv(out, header=True, emptyValue="", nullValue="")
     return t

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import struct
+import urllib.parse
 import zipfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.matrix import SparseMatrix, dense_index
 from ..plans.ship import ship
@@ -122,8 +125,20 @@ def read_json_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_results(spark: SparkSession, paths, schema: str) -> DataFrame:
-    """CSV files with a header, by name, with an explicit schema; missing columns are NULL."""
-    return spark.read.schema(schema).option("enforceSchema", False).csv(paths, header=True)
+    """CSV files with a header, and those in folders below, as one table of a schema: columns by name, in any order; missing ones are NULL, others go.
+
+    Files are read by the headers they share; only these and the files' names reach the driver. What a column's type can't hold is NULL.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect()
+    want = spark.createDataFrame([], schema)
+    for r in heads:
+        names = next(csv.reader([r["head"]]))
+        own = StructType([StructField(n, StringType()) for n in names])
+        t = spark.read.schema(own).csv([urllib.parse.unquote(p) for p in r["paths"]], header=True)
+        cols = [F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in want.schema.fields]
+        want = want.unionByName(t.select(*cols))
+    return want
 
 
 def merge_results(spark: SparkSession, folder: str, schema: str, out: str) -> DataFrame:

@@ -9,7 +9,6 @@ from gridweave.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"pagerank"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_rows(spark, duck, name):
     df = catalogue.queries()[name](spark, DATA)
     r = duck.sql(catalogue.oracle_sql()[name])
