@@ -82,13 +82,14 @@ def votes() -> dict[str, Column]:
     }
 
 
-def em_posteriors(patterns: DataFrame, rules: int, rounds: int = 30, prior: float = 0.85) -> DataFrame:
+def em_posteriors(patterns: DataFrame, rules: int, rounds: int = 30, prior: float = 0.85, low: float = 0.05, high: float = 0.999) -> DataFrame:
     """patterns (key int, v array<int>, n long), at most 3**rules rows -> (key, posterior of good).
 
     Each rule has two accuracies, for good texts (its vote is 1) and for bad ones (-1), as one kind of junk
     trips few rules; abstentions carry no weight. All patterns fit one row by their bound, so the rounds are one
-    aggregate() expression over that row, without a driver loop. Accuracies for good texts stay in
-    0.98 .. 0.999 (a rule seldom fires on good text), for bad ones in 0.2 .. 0.95, the class prior in 0.05 .. 0.99: labels cannot swap.
+    aggregate() expression over that row, without a driver loop. Accuracies of both classes stay in one range, the class prior in
+    0.05 .. 0.99. What the classes mean is set by where the rounds begin: most texts good, rules rarely wrong on these and
+    right on less than half of the bad ones.
     """
     one = patterns.agg(F.collect_list(F.struct("key", "v", F.col("n").cast("double").alias("n"))).alias("ps"))
     times = lambda v, acc, right: F.aggregate(
@@ -115,8 +116,8 @@ def em_posteriors(patterns: DataFrame, rules: int, rounds: int = 30, prior: floa
             both = F.aggregate(qs, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("all")), lambda t, p: F.struct((t["g"] + p["g"]).alias("g"), (t["all"] + p["g"] + p["b"]).alias("all")))
             return F.struct(
                 let(both, lambda t: clamp(t["g"] / t["all"], 0.05, 0.99)).alias("pi"),
-                F.array(*[rate(j, "g", 1, 0.98, 0.999) for j in range(rules)]).alias("good"),
-                F.array(*[rate(j, "b", -1, 0.2, 0.95) for j in range(rules)]).alias("bad"),
+                F.array(*[rate(j, "g", 1, low, high) for j in range(rules)]).alias("good"),
+                F.array(*[rate(j, "b", -1, low, high) for j in range(rules)]).alias("bad"),
             )
 
         return let(scored, fitted)

@@ -306,6 +306,48 @@ def test_quality_measures(spark, docs, rows):
         assert r["base_failed"] == failed and not (failed and r["kept"]) and 0 <= r["posterior"] <= 1
 
 
+def plain_em(patterns, rounds=30, prior=0.85, low=0.05, high=0.999):
+    """Expectation-maximisation of a two-class naive Bayes model of votes, one text pattern after the other."""
+    k = len(patterns[0][0])
+    right = {1: [0.98] * k, -1: [0.4] * k}
+
+    def belief(v):
+        like = {}
+        for side, share in ((1, prior), (-1, 1 - prior)):
+            like[side] = share * math.prod(right[side][j] if x == side else 1 - right[side][j] for j, x in enumerate(v) if x)
+        return like[1] / (like[1] + like[-1])
+
+    for _ in range(rounds):
+        q = [belief(v) for v, _ in patterns]
+        new = {}
+        for side in (1, -1):
+            mass = [n * (x if side == 1 else 1 - x) for (_, n), x in zip(patterns, q)]
+            new[side] = [
+                min(high, max(low, (0.8 + sum(m for m, (v, _) in zip(mass, patterns) if v[j] == side)) / (1 + sum(m for m, (v, _) in zip(mass, patterns) if v[j])))) for j in range(k)
+            ]
+        prior = min(0.99, max(0.05, sum(n * x for (_, n), x in zip(patterns, q)) / sum(n for _, n in patterns)))
+        right = new
+    return [belief(v) for v, _ in patterns]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quality_posteriors(spark, seed):
+    r = random.Random(seed)
+    seen = Counter(tuple(r.choices((1, 0, -1), (6, 2, 2 if bad else 0.3))[0] for _ in range(5)) for bad in (r.random() < 0.25 for _ in range(400)))
+    patterns = sorted(seen.items())
+    df = spark.createDataFrame([(i, list(v), n) for i, (v, n) in enumerate(patterns)], "key int, v array<int>, n long")
+    got = {x["key"]: x["posterior"] for x in quality.em_posteriors(df, 5).collect()}
+    assert [got[i] for i in range(len(patterns))] == pytest.approx(plain_em(patterns), abs=1e-9)
+
+
+def test_quality_learns_a_rule_that_fires_on_good_text(spark):
+    """A rule that is wrong on a fifth of the good texts, on its own, rejects none of them."""
+    patterns = [((1, 1, 1, 1), 800), ((-1, 1, 1, 1), 200), ((1, -1, -1, -1), 40), ((-1, -1, -1, -1), 40)]
+    df = spark.createDataFrame([(i, list(v), n) for i, (v, n) in enumerate(patterns)], "key int, v array<int>, n long")
+    got = {x["key"]: x["posterior"] for x in quality.em_posteriors(df, 4).collect()}
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5 and got[3] < 0.5
+
+
 def test_quality_verdict(spark):
     r = random.Random(5)
     good = lambda: ". ".join(" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(9)) for _ in range(12)) + "."
