@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back: lineage ends there.
 
-    A lost executor costs nothing, as the files outlive it; the files go when the JVM ends.
+    A lost executor costs nothing, as the files outlive it; the files go when the JVM ends, with the scratch() around unless they
+    are kept, or by release().
     """
     spark = df.sparkSession
     ship(spark)
@@ -34,7 +38,37 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if keep:
+        _WRITTEN[id(out)] = path
+        weakref.finalize(out, _WRITTEN.pop, id(out), None)
+    elif _OPEN:
+        _OPEN[-1].append(path)
+    return out
+
+
+#: Paths written within each open scratch(), and of tables kept, by DataFrame.
+_OPEN: list[list[str]] = []
+_WRITTEN: dict[int, str] = {}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes within are deleted at the end, unless they are kept: what is read afterwards must be."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that materialize() returned; of any other, nothing."""
+    if path := _WRITTEN.pop(id(df), None):
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
