@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gridweave.llm import lines, mixing, packing, quality, shingles
 from gridweave.llm.common import materialize, table
+from gridweave.plans.storage import release, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
+    """Documents that the weakly supervised rules keep; null and empty texts go, repeated rows are judged alike."""
     return quality.keep_good(docs).select(*COLUMNS)
 
 
@@ -20,27 +21,37 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines on over a hundredth of their source's documents, five at least; n_chars follows the text.
 
     A source is no site: its most common line is on a tenth of its documents, others on a fiftieth; under a hundredth copies prevail.
-    A document of nothing else stays whole: copies are the next stage's work.
+    A document of nothing else stays whole: copies are the next stage's work. A null text stays null; documents without a source are no
+    site and stay as they are; repeated rows count each.
     """
     out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text", ratio=0.01, min_pages=5, spare_whole=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id; documents without shingles stay."""
+    """Of each component of near duplicates the document with the least id; documents without shingles or without an id stay.
+
+    Rows that share an id are one document: those with one text, too, leave one row (that of the least other columns), different texts under
+    one id all stay or go together. Only rows of such ids are shuffled for that.
+    """
+    docs = docs.select(*COLUMNS)
     found = shingles.jaccard_components(docs)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(dropped, "doc_id", "left_anti")
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rest = F.struct(*[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")])
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without a source are one source, null texts and empty ones have no words and follow their source's rate."""
     mixed = mixing.mix(docs.select(*COLUMNS)).where("times > 0")
     return mixed.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens; a null text is one end token, repeated rows are packed each on its own."""
     return packing.pack(docs, packing.tokenizer_path(), packing.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
@@ -57,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents. Once a stage is written, what it read and wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            done = materialize(stage(spark, docs, sf_dir), keep=True)
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
