@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, broadcast_if_small, materialize, whole_text
 
-#: Documents a sampling cell holds on average.
-CELL = 512
+#: Documents that a sampling cell takes on average; it holds as many more as the rate asks for, up to a factor.
+CELL, FACTOR = 128, 128
 
 
 def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
@@ -42,9 +42,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
 
     Sources ranked by code point (null last) weigh weights[0], weights[1], ..., repeating. A row is
     taken floor(target / source_size) times; the fraction left is sampled by seeded hash order: each
-    source is split into cells of about 512 rows by hash, and a cell takes rows in hash order
+    source is split by hash into cells whose share is about 128 rows (so of 128 / fraction rows, 16384 at most), and a cell takes rows in hash order
     while they fit its share; further passes fill what is left with later rows that fit. So a hot source is many
-    cells, no order spans a source, and each cell comes within its smallest rows of its share. max_epochs must be whole.
+    cells, no order spans a source, each cell comes within its smallest rows of its share, and rows of up to some dozen mean
+    sizes have their chance at low rates, too. max_epochs must be whole.
     Null or empty texts have size 0; ties fall to the id; repeated rows are rows of their own.
     An empty table gives no rows. Columns named __* are the operator's own; all others are carried as they are.
     """
@@ -78,7 +79,7 @@ def _mixed(sized: DataFrame, counted: DataFrame, weights, max_epochs: float, see
     df = (
         df.withColumn("__rate", rate)
         .withColumn("__whole", F.floor("__rate").cast("long"))
-        .withColumn("__cell", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("n") / CELL)))
+        .withColumn("__cell", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.ceil(F.col("n") * F.greatest(F.col("__rate") - F.col("__whole"), F.lit(1 / FACTOR)) / CELL))))
         .withColumn("__at", F.xxhash64("doc_id", F.lit(seed)))
     )
     cell = Window.partitionBy("source", "__cell")

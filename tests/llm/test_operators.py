@@ -157,6 +157,18 @@ def test_mixing(spark, docs, rows):
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in names)
 
 
+def test_mix_gives_long_rows_a_chance(spark):
+    """At a rate of a twelfth, rows forty times the mean are taken about as often as others, and the target is met."""
+    r = random.Random(4)
+    rows = [(i, "w " * (4000 if i % 200 == 0 else r.randint(50, 150)), "hot") for i in range(12_000)] + [(20_000 + i, "w " * 100, f"z{i % 11}") for i in range(1100)]
+    got = mixing.op3(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    hot = [x for x in got if x["doc_id"] < 20_000]
+    rate = hot[0]["target"] / hot[0]["source_size"]
+    share = lambda big: (lambda v: sum(x["taken"] > 0 for x in v) / len(v))([x for x in hot if (x["size"] == 4000) == big])
+    assert 0 < rate < 1 and abs(sum(x["taken"] for x in hot) - hot[0]["target"]) < 0.01 * hot[0]["target"]
+    assert abs(share(False) - rate) < 0.1 * rate + 0.01 and share(True) > 0.5 * rate
+
+
 def test_mix_repeats_rows(spark, docs):
     got = mixing.mix(docs).collect()
     assert all(r["size"] == "clash" for r in got) and len(got) == docs.count()
