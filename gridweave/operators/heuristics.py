@@ -16,16 +16,20 @@ from ..functions import bits
 from ..plans.ship import ship
 from ..plans.storage import materialize
 from . import graph, sketch as sk
-from .matrix import SparseMatrix, order_by
+from .matrix import SparseMatrix, dense_index, order_by
 
 
-def _per_component(m: SparseMatrix, kernel) -> DataFrame:
-    """Order of each component's vertices by a kernel(adjacency) -> list; components by least vertex; square matrices."""
+def _per_component(m: SparseMatrix, kernel, far=None, local_edges: int = 8_000_000) -> DataFrame:
+    """Order of each component's vertices by a kernel(adjacency) -> list, a component a task; components by least vertex; square matrices.
+
+    far(edges with component, degrees) -> (component, row, pos) orders components of more than local_edges directed edges by joins, where there is one.
+    """
     if m.rows != m.cols:
         raise ValueError(f"needs a square matrix, not {m.rows} x {m.cols}")
     ship(m.coo.sparkSession)
     e = materialize(graph.edges_of(m))
     comp = graph.components(e)
+    e = materialize(e.join(comp, F.col("src") == F.col("node")).select("component", "src", "dst"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         adj: dict[int, set[int]] = {}
@@ -34,13 +38,24 @@ def _per_component(m: SparseMatrix, kernel) -> DataFrame:
         order = kernel(adj)
         return pd.DataFrame({"comp": [int(t["component"].iloc[0])] * len(order), "row": order, "pos": range(len(order))})
 
-    done = e.join(comp, F.col("src") == F.col("node")).select("component", "src", "dst").groupBy("component").applyInPandas(run, "comp long, row long, pos long")
+    near, done = e, None
+    if far is not None:
+        large = materialize(e.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("component"))
+        if not large.isEmpty():
+            near = e.join(F.broadcast(large), "component", "left_anti")  # fewer than edges / local_edges
+            done = far(materialize(e.join(F.broadcast(large), "component")))
+    small = near.groupBy("component").applyInPandas(run, "comp long, row long, pos long")
+    done = small if done is None else small.unionByName(done)
     spine = m.spine.join(materialize(done), "row", "left").select("row", F.coalesce("comp", "row").alias("comp"), F.coalesce("pos", F.lit(0)).alias("pos"))
     return order_by(spine, [F.asc("comp"), F.asc("pos"), F.asc("row")], rows=m.rows)
 
 
-def rcm(m: SparseMatrix) -> DataFrame:
-    """Reverse level order from a low-degree vertex far out, neighbours by ascending degree."""
+def rcm(m: SparseMatrix, local_edges: int = 8_000_000) -> DataFrame:
+    """Reverse level order from a low-degree vertex far out, neighbours by ascending degree.
+
+    A component of more than local_edges directed edges goes level by level: a join finds the next level, each vertex's place follows from that of its
+    first parent, its degree and its id.
+    """
 
     def kernel(adj):
         deg = {v: len(n) for v, n in adj.items()}
@@ -56,7 +71,31 @@ def rcm(m: SparseMatrix) -> DataFrame:
         far = walk(min(adj, key=lambda v: (deg[v], v)))[-1]
         return walk(far)[::-1]
 
-    return _per_component(m, kernel)
+    def far(e: DataFrame) -> DataFrame:
+        deg = materialize(e.groupBy("component", F.col("src").alias("node")).agg(F.count("*").alias("deg")))
+        start = deg.groupBy("component").agg(F.min_by("node", F.struct("deg", "node")).alias("node"))
+        last = _level_walk(e, deg, start).groupBy("component").agg(F.max_by("node", "pos").alias("node"))
+        walked = _level_walk(e, deg, materialize(last))
+        return walked.select(F.col("component").alias("comp"), F.col("node").alias("row"), (-F.col("pos")).alias("pos"))
+
+    return _per_component(m, kernel, far, local_edges)
+
+
+def _level_walk(e: DataFrame, deg: DataFrame, start: DataFrame) -> DataFrame:
+    """(component, node, pos) of a breadth-first walk from each component's start; vertices of a level by first parent, degree and id."""
+    front = materialize(start.select("component", "node", F.lit(0).cast("long").alias("pos")))
+    seen, turn = front, 0
+    while True:
+        nxt = front.join(e.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").groupBy("component", F.col("next").alias("node")).agg(F.min("pos").alias("parent"))
+        nxt = materialize(nxt.join(seen.select("node"), "node", "left_anti").join(deg.select("node", "deg"), "node"))
+        if nxt.isEmpty():
+            return seen
+        placed = materialize(dense_index(nxt, [F.asc(c) for c in ("component", "parent", "deg", "node")], "at", rows=nxt.count()))
+        base = placed.groupBy("component").agg(F.min("at").alias("base"))
+        ahead = front.groupBy("component").agg((F.max("pos") + 1).alias("ahead"))
+        front = materialize(placed.join(base, "component").join(ahead, "component").select("component", "node", (F.col("at") - F.col("base") + F.col("ahead")).alias("pos")))
+        turn += 1
+        seen = materialize(seen.unionByName(front)) if turn % 8 == 0 else seen.unionByName(front)
 
 
 def minimum_degree(m: SparseMatrix, dense: float = 10.0) -> DataFrame:
@@ -92,14 +131,20 @@ def window_greedy(m: SparseMatrix, window: int = 8) -> DataFrame:
     def kernel(adj):
         left, order = set(adj), []
         gain: dict[int, int] = dict.fromkeys(adj, 0)
+        heap = [(0, v) for v in sorted(adj)]  # the top is the largest gain; entries that gains have moved past are skipped
 
         def move(v, by):
+            touched = set()
             for u in adj[v]:
                 if u in left:
                     gain[u] += by
+                    touched.add(u)
                 for x in adj[u]:
                     if x in left and x != v:
                         gain[x] += by
+                        touched.add(x)
+            for u in touched:
+                heapq.heappush(heap, (-gain[u], u))
 
         nxt = max(adj, key=lambda v: (len(adj[v]), -v))
         while left:
@@ -108,7 +153,9 @@ def window_greedy(m: SparseMatrix, window: int = 8) -> DataFrame:
             move(nxt, 1)
             if len(order) > window:
                 move(order[-window - 1], -1)
-            nxt = max(left, key=lambda v: (gain[v], -v), default=None)
+            while heap and (heap[0][1] not in left or -heap[0][0] != gain[heap[0][1]]):
+                heapq.heappop(heap)
+            nxt = heap[0][1] if heap else None
         return order
 
     return _per_component(m, kernel)

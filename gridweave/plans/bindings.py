@@ -61,7 +61,7 @@ def operations(spark, d) -> DataFrame:
     j = li.join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     perm = F.when(F.col("s_nationkey") > 0, F.element_at(F.array(*[F.lit(a) for a in ALGOS]), (F.pmod("s_nationkey", F.lit(8)) + 1).cast("int")))
     g = j.groupBy(F.col("p_brand").alias("matrix"), F.col("l_returnflag").alias("kernel"), perm.alias("perm"))
-    return g.agg(F.round(F.avg("l_quantity"), 6).alias("time_operation_ms"), F.round(F.avg("l_extendedprice"), 4).alias("time_order_ms")).withColumn("perm_type", F.when(F.col("perm").isNotNull(), F.lit("SYMMETRIC")))
+    return g.agg(F.round(F.avg("l_quantity"), 6).alias("time_operation_ms"), (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("time_order_ms")).withColumn("perm_type", F.when(F.col("perm").isNotNull(), F.lit("SYMMETRIC")))
 
 
 def jobs(spark, d) -> DataFrame:
@@ -75,6 +75,6 @@ ANALYSIS = f"""SELECT p_brand AS matrix, {_ALGO_LIST}[s_nationkey % 8 + 1] AS pe
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
   UNION ALL SELECT p_brand, NULL, NULL, round(avg(l_discount), 6), round(avg(l_tax), 6) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"""
 OPERATIONS = f"""SELECT *, CASE WHEN perm IS NOT NULL THEN 'SYMMETRIC' END AS perm_type FROM (SELECT p_brand AS matrix, l_returnflag AS kernel, CASE WHEN s_nationkey > 0 THEN {_ALGO_LIST}[s_nationkey % 8 + 1] END AS perm,
-  round(avg(l_quantity), 6) AS time_operation_ms, round(avg(l_extendedprice), 4) AS time_order_ms FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"""
+  round(avg(l_quantity), 6) AS time_operation_ms, sum(CAST(l_extendedprice AS DECIMAL(18, 2)))::DOUBLE / count(*) AS time_order_ms FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"""
 JOBS = """SELECT o_orderstatus AS status, o_orderpriority AS tag, c_mktsegment AS perm, n_name AS matrix, CASE WHEN o_orderstatus = 'F' THEN 'exit ' || o_orderpriority END AS error
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""

@@ -19,17 +19,25 @@ from ..plans.ship import ship
 
 
 def read_perm(spark: SparkSession, path: str) -> list[DataFrame]:
-    """One permutation, or a row and a column one: 1-based numbers on one line, on two, or one a line when there are more lines."""
-    t = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\\s+|\\s+$", ""), "\\s*\\n\\s*").alias("l"))
-    n = t.select(F.size("l")).first()[0]
-    whole = F.array(F.array_join("l", " ")) if n > 2 else F.col("l")
-    e = t.select(F.posexplode(whole).alias("which", "line")).select("which", F.posexplode(F.split(F.trim("line"), "\\s+")).alias("new_pos", "v"))
-    e = e.select("which", F.col("new_pos").cast("long"), (F.expr("try_cast(v as bigint)") - 1).alias("old_idx"))
-    return [e.where(F.col("which") == k).select("new_pos", "old_idx") for k in range(1 if n != 2 else 2)]
+    """One permutation, or a row and a column one: 1-based numbers on one line, on two, or one a line when there are more lines.
 
-
-def write_perm(perms: list[DataFrame], path: str) -> None:
-    """One line a permutation, 1-based, in order of the new places."""
+    A file of one number a line is read in splits; the other forms are lines that a task reads whole.
+    """
+    t = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    value = lambda c: (F.expr(f"try_cast({c} as bigint)") - 1).alias("old_idx")
+    first = t.limit(3).collect()
+    if len(first) > 2:
+        numbers = t.select("at", F.posexplode(F.split("line", "\\s+")).alias("k", "v"))
+        return [dense_index(numbers, [F.asc("at"), F.asc("k")], "new_pos").select("new_pos", value("v"))]
+    lines = [t.where(F.col("at") == r["at"]) for r in first]
+    return [x.select(F.posexplode(F.split("line", "\\s+")).alias("k", "v")).select(F.col("k").cast("long").alias("new_pos"), value("v")) for x in lines]
+
+
+def write_perm(perms: list[DataFrame], path: str, one_line: int = 1 << 20) -> None:
+    """One line a permutation, 1-based, in order of the new places; a single one of more than one_line rows as a number a line, in ordered parts."""
+    if len(perms) == 1 and perms[0].count() > one_line:
+        perms[0].repartitionByRange("new_pos").sortWithinPartitions("new_pos").select((F.col("old_idx") + 1).cast("string").alias("value")).write.mode("overwrite").text(path)
+        return
     lines = None
     for k, p in enumerate(perms):
         line = p.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("new_pos", "old_idx"))), lambda x: (x["old_idx"] + 1).cast("string")), " ").alias("value")).withColumn("k", F.lit(k))

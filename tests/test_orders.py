@@ -69,6 +69,7 @@ def test_rcm(spark, seed):
         first = min(comp, key=lambda v: (len(near[v]), v))
         want += walk(comp, walk(comp, first)[-1])[::-1]
     assert perm(heuristics.rcm(m)) == want
+    assert perm(heuristics.rcm(m, local_edges=3)) == want
 
 
 @pytest.mark.parametrize("seed", [3, 4])

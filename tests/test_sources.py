@@ -52,6 +52,9 @@ def test_permutation_files(spark, tmp_path, text, want):
     files.write_perm(got, str(tmp_path / "again"))
     again = "".join(f.read_text() for f in sorted((tmp_path / "again").glob("part-*")))
     assert again.split() == text.split()
+    if len(got) == 1:
+        files.write_perm(got, str(tmp_path / "long"), one_line=2)
+        assert [r["old_idx"] for r in files.read_perm(spark, str(tmp_path / "long"))[0].orderBy("new_pos").collect()] == want[0]
 
 
 def test_npz_zip_and_logs(spark, tmp_path):
