@@ -79,19 +79,22 @@ def train_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
     return part.groupBy("lang", "at").agg(F.sum("n").alias("n"))
 
 
-def language_id(docs: DataFrame, training: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", scale: float = 4.0, gap: float = 0.2) -> DataFrame:
+def language_id(docs: DataFrame, training: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", scale: float = 4.0, gap: float = 0.2, most_labels: int = 256) -> DataFrame:
     """(id, lang_pred, score, ambiguous) for each row of docs, learned from training's texts and non-null labels.
 
     Texts that are null or hold no letter get `und`, score 0. With no labelled text, all get `und`; with one label, all
-    others get it. The driver holds a table of labels x 2**14 counts, whatever the rows. Repeated rows are predicted alike;
-    an empty table gives no rows. Prediction reads the text alone, whole, in slices. ambiguous: the runner-up is within gap.
+    others get it. The driver holds a table of labels x 2**14 counts, whatever the rows; more than most_labels labels are refused with
+    ValueError, as they are no languages. Repeated rows are learned and predicted alike; an empty table gives no rows. Columns but id, text and label are not read. Prediction reads the text alone, whole, in slices. ambiguous: the runner-up is within gap.
     """
     ship(docs.sparkSession)
-    got = train_counts(training.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, label).toPandas()
+    got = train_counts(training.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, label)
+    got = got.limit(most_labels * DIM + 1).toPandas()
     counts = {}
     for lang, part in got.groupby("lang"):
         counts[lang] = np.zeros(DIM)
         counts[lang][part["at"].to_numpy()] = part["n"].to_numpy()
+    if len(counts) > most_labels or len(got) > most_labels * DIM:
+        raise ValueError(f"more than {most_labels} labels in {label}")
     names, code, weights = fit(counts)
     kind = docs.schema[id_col].dataType.simpleString()
 

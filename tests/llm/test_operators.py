@@ -292,6 +292,111 @@ def test_language(spark):
     assert language.codewords(9).shape[0] == 9 and len({tuple(x) for x in language.codewords(9)}) == 9
 
 
+def brute_language(train, texts, scale=4.0):
+    """Binary classifiers for all splits of the labels, loss-based decoding, from dicts of byte trigrams."""
+    mask = (1 << 32) - 1
+
+    def grams(t):
+        raw = b" " + re.sub("[A-Z]", lambda m: m.group().lower(), t).encode() + b" "
+        mixed = lambda a, b, c: ((a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA6B & mask) ^ (c * 0xC2B2AE35 & mask)) >> 18
+        return Counter(mixed(*raw[i : i + 3]) for i in range(len(raw) - 2))
+
+    counts = {}
+    for t, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    names = sorted(counts)
+    share = {n: lambda g, c=counts[n], total=sum(counts[n].values()): (c[g] + 0.5) / (total + 0.5 * 2**14) for n in names}
+    splits = [{names[0], *(n for i, n in enumerate(names[1:]) if c >> i & 1)} for c in range(2 ** (len(names) - 1) - 1)]
+    out = []
+    for t in texts:
+        if not t or not any(x.isalpha() for x in t):
+            out.append(("und", 0.0))
+            continue
+        c = grams(t)
+        loss = dict.fromkeys(names, 0.0)
+        for ours in splits:
+            theirs = [n for n in names if n not in ours]
+            mean = lambda side, g: sum(share[n](g) for n in side) / len(side)
+            f = scale * sum(k * (math.log(mean(ours, g)) - math.log(mean(theirs, g))) for g, k in c.items()) / sum(c.values())
+            for n in names:
+                loss[n] += math.exp(min(30, max(-30, -f if n in ours else f)))
+        p = {n: 1 / loss[n] for n in names}
+        best = max(names, key=lambda n: (p[n], -names.index(n)))
+        out.append((best, p[best] / sum(p.values())))
+    return out
+
+
+def test_language_against_dicts(spark):
+    r = random.Random(12)
+    words_of = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 7))) for _ in range(60)] for k, v in {"aa": "abcdefg", "bb": "defghij", "cc": "ghijklmñ", "dd": "mnopqrst"}.items()}
+    rows = [(i, " ".join(r.choice(words_of[k]).title() for _ in range(r.randint(1, 30))), k) for i, k in enumerate(["aa", "bb", "cc", "dd"] * 25)]
+    rows += [(200, "x " * 60_000, None), (201, None, "aa"), (202, "", "bb"), (203, "12 %", "cc"), (204, rows[5][1], None), (204, rows[5][1], None), (205, "ÄÖ 语", "dd")]
+    train = [(t, k) for i, t, k in rows if k and t is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    want = brute_language(train, [t for _, t, _ in rows])
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in (*CLASH, "at", "n", "score", "t", "l")})
+    got = {x["doc_id"]: x for x in language.op5(df).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want):
+        assert got[i]["lang_pred"] == lang and math.isclose(got[i]["score"], score, rel_tol=1e-3, abs_tol=1e-4), i
+    with pytest.raises(ValueError):
+        language.language_id(df, df, most_labels=3)
+
+
+def brute_novel(t, ratio=0.9):
+    """Runs of 16 and more key characters behind sensitive words, one character after the other."""
+    import zstandard
+
+    run = lambda c: c.isascii() and (c.isalnum() or c in "+/_=-")
+    runs, at = [], 0
+    while at < len(t):
+        end = at
+        while end < len(t) and run(t[end]):
+            end += 1
+        if end - at:
+            runs.append((at, end))
+        at = end + 1
+    ends, at = [], 0
+    while at < len(t):  # the first word of the list that fits, then on behind it
+        hit = next((w for w in secrets.CONTEXT_WORDS if lower(t[at : at + len(w)]) == w), None)
+        at += len(hit) if hit else 1
+        ends += [at] if hit else []
+    out = []
+    for s, e in runs:
+        starts = [max(s, x) for x in ends if x < e and s <= x + 48]
+        for x in sorted(starts):
+            if e - x < 16 or out and x < out[-1][2] or (out and out[-1][2] == e):
+                continue
+            v, done = t[x:e], False
+            if not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)):
+                break
+            around = (t[max(0, x - 256) : x] + "\n" + t[e : e + 256]).encode()
+            pieces = -(-len(v) // 63)
+            step, size = -(-len(v) // pieces), 0
+            for i in range(0, len(v), step):
+                d = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS + b"\n" + around + v[max(0, i - 2048) : i].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                z = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                size += len(z.compress(v[i : i + step].encode())) - len(z.compress(b""))
+            if size >= ratio * len(v):
+                out.append((x, 3, e))
+            break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_secrets_novel_spans_against_brute(seed):
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = lambda k: "".join(r.choice(letters) for _ in range(k))
+    parts = []
+    for _ in range(60):
+        parts.append(r.choice(["const", "Bearer", "signature:", "client_id", "=", "the value", "production/service-name", make(r.randint(16, 90)), make(20), "AUTHORIZATION", "\n", "x" * 40 + "1", "password", "ü" * 3, make(8)]))
+        parts.append(r.choice([" ", ": ", "\n  ", '"', " " * 30]))
+    t = "".join(parts)
+    novel = [x for x in secrets.scan(t, secrets.Novelty())[1] if x[1] == 3]
+    assert novel == brute_novel(t) and novel
+
+
 def brute_quality(t):
     t = t or ""
     w = words(t)
