@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import lines, mixing, packing, quality, shingles
-from gridweave.llm.common import materialize, table
+from gridweave.llm.common import broadcast_if_small, materialize, table
 from gridweave.plans.storage import release, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,9 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS)
     found = shingles.jaccard_components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
+    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    left = docs.join(broadcast_if_small(dropped, dropped.count(), 16), "doc_id", "left_anti")
     twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not (n := twice.count()):
+        return left.select(*COLUMNS)
+    twice = broadcast_if_small(twice, n, 16)
     rest = F.struct(*[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")])
     one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
     return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
