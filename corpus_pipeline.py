@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines on over a hundredth of their source's documents, five at least; n_chars follows the text.
 
     A source is no site: its most common line is on a tenth of its documents, others on a fiftieth; under a hundredth copies prevail.
-    A document of nothing else stays whole: copies are the next stage's work. A null text stays null; documents without a source are no
-    site and stay as they are; repeated rows count each.
+    A document of nothing else stays whole: copies are the next stage's work. A null text stays null; documents without a source are one
+    site; repeated rows count each.
     """
     out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text", ratio=0.01, min_pages=5, spare_whole=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

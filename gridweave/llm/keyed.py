@@ -372,7 +372,7 @@ class Exchange:
             return asks.groupBy("node").applyInArrow(lambda t: self._match(t), REPLY)
         asks = materialize(asks)
         up = asks.groupBy("node").applyInArrow(lambda t: self._relay(t), ASK).groupBy("node").applyInArrow(lambda t: self._match(t), REPLY)
-        return asks.groupBy("node").cogroup(up.groupBy("bucket")).applyInArrow(lambda t, a: self._spread(t, a), REPLY)
+        return materialize(asks.groupBy("node").cogroup(up.groupBy("bucket")).applyInArrow(lambda t, a: self._spread(t, a), REPLY))
 
     def _learn(self, answers: pa.Table, kind: int, own, cut: np.ndarray):
         rows = sorted(((n, v) for k, n, v in zip(answers["kind"].to_pylist(), answers["node"].to_pylist(), answers["vals"].to_pylist()) if k == kind), key=lambda r: r[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, let, materialize
 
 _SPACES = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 
@@ -34,7 +34,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     counts = counts.where(F.col("__n") >= min_pages)
     small = broadcast_if_small(totals, totals.count(), 128)
     often = counts.join(small.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).where(F.col("__n") > ratio * F.col("__pages"))
-    return often.groupBy("__host").agg(F.sort_array(F.collect_set("__key")).alias("__keys"))
+    return often.groupBy("__host").agg(F.collect_set("__key").alias("__keys"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.1, min_pages: int = 5, spare_whole: bool = False) -> DataFrame:
@@ -49,9 +49,13 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: flo
     n = bad.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__keys")), F.lit(0)).alias("keys")).first()
     bad = broadcast_if_small(bad.withColumnRenamed("__host", "__h"), n["rows"] + n["keys"], 64)
     df = pages.join(bad, F.col(host).eqNullSafe(F.col("__h")), "left")
-    lines = F.transform(_lines(F.col(text)), lambda x: F.struct(x.alias("line"), x.rlike("[^\\x20\\x09-\\x0D]").alias("real")))
-    marked = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["real"].alias("real"), (x["real"] & F.array_contains("__keys", _key(x["line"]))).alias("bad")))
-    df = df.withColumn("__marked", F.when(F.col("__keys").isNotNull(), marked).otherwise(F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["real"].alias("real"), F.lit(False).alias("bad")))))
+    split = lambda f: F.transform(_lines(F.col(text)), lambda x: f(x, x.rlike("[^\\x20\\x09-\\x0D]")))
+    plain = split(lambda x, real: F.struct(x.alias("line"), real.alias("real"), F.lit(False).alias("bad")))
+    keyed = split(lambda x, real: F.struct(x.alias("line"), real.alias("real"), F.when(real, _key(x)).alias("key")))
+    # The page's lines among the host's keys by one hash set; of what is found, few, each line is looked up.
+    flag = lambda ls, hit: F.transform(ls, lambda x: F.struct(x["line"].alias("line"), x["real"].alias("real"), (x["real"] & F.array_contains(hit, x["key"])).alias("bad")))
+    marked = let(keyed, lambda ls: let(F.array_intersect(F.transform(F.filter(ls, lambda x: x["real"]), lambda x: x["key"]), F.col("__keys")), lambda hit: flag(ls, hit)))
+    df = df.withColumn("__marked", F.when(F.col("__keys").isNotNull(), marked).otherwise(plain))
     m = F.col("__marked")
     real = F.size(F.filter(m, lambda x: x["real"])).cast("long")
     dropped = F.size(F.filter(m, lambda x: x["bad"])).cast("long")

@@ -114,13 +114,25 @@ def test_secrets_beyond_the_first_run():
         assert [t[s:e].strip("=") for s, k, e in secrets.scan(t, novelty)[1] if k == 3] == found, t
 
 
+def test_pages_with_nulls_and_long_ones(spark):
+    long = "<p>" + "word " * 100_000 + "</p>" + "<li>x</li>" * 20_000
+    rows = [(1, None, "<p>a</p>"), (2, "http://h.x/1", None), (3, "http://h.x/2", ""), (4, "http://H.x/3", long), (None, "http://h.x/4", "<p>b</p>"), (4, "http://h.x/3", long)]
+    got = lines.op2(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), r["host"], r["n_lines"], r["n_dropped"]) for r in got) == [("1", "", 1, 0), ("2", "h.x", 0, 0), ("3", "h.x", 0, 0), ("4", "h.x", 20_001, 0), ("4", "h.x", 20_001, 0), ("None", "h.x", 1, 0)]
+
+
 def test_lines_by_ratio(spark):
+    from pyspark.sql import functions as F
+
     pages = [(i, "a" if i < 20 else "b" if i < 26 else None, f"menu\nown {i}\n\n menu \n{'often' if i % 2 else 'x' + str(i)}") for i in range(28)] + [(99, "a", None)]
     df = spark.createDataFrame(pages, "page_id long, host string, text string")
     got = {r["page_id"]: r for r in lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=5).collect()}
     assert got[1]["text"] == "own 1\n" and got[1]["n_dropped"] == 3 and got[1]["n_lines"] == 4
     assert got[0]["text"] == "own 0\n\nx0" and got[99]["text"] is None
     assert got[21]["text"] == "own 21\n\noften" and got[27]["n_dropped"] == 0
+    extra = df.withColumns({c: F.lit("clash") for c in ("key", "line", "real", "bad", "rows", "keys", "n_lines", "n_dropped", "hit")})
+    again = lines.drop_boilerplate(extra, "host", ratio=0.3, min_pages=5)
+    assert again.first()["key"] == "clash" and {r["page_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in again.collect()} == {i: (r["text"], r["n_lines"], r["n_dropped"]) for i, r in got.items()}
     only = spark.createDataFrame([(i, "h", "all") for i in range(9)], "page_id long, host string, text string")
     assert {r["text"] for r in lines.drop_boilerplate(only, "host", spare_whole=True).collect()} == {"all"}
     assert {r["text"] for r in lines.drop_boilerplate(only, "host").collect()} == {""}

@@ -95,7 +95,7 @@ def test_line_dedup_of_texts(spark):
     total = Counter(s for _, _, _, s, _ in rows)
     seen = Counter((s, x) for _, t, _, s, _ in rows for x in {trim(x) for x in (t or "").split("\n")} if x)
     for i, t, _, s, _ in rows:
-        common = lambda x: x and s is not None and seen[s, x] >= 5 and seen[s, x] > 0.01 * total[s]  # noqa: E731, B023
+        common = lambda x: x and seen[s, x] >= 5 and seen[s, x] > 0.01 * total[s]  # noqa: E731, B023
         lines = (t or "").split("\n")
         left = [x for x in lines if not common(trim(x))]
         want = t if t is None or not words("\n".join(left)) else "\n".join(left)
