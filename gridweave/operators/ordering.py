@@ -13,7 +13,7 @@ from ..plans.ship import ship
 from ..plans.storage import materialize
 from . import metrics, sketch as sk
 from .graph import components
-from .matrix import SparseMatrix, compose, dense_index, identity, order_by
+from .matrix import Axis, SparseMatrix, compose, dense_index, identity, order_by
 
 
 def random_rows(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
@@ -156,6 +156,15 @@ def apply_first_window(m: SparseMatrix, w: int) -> tuple[SparseMatrix, DataFrame
     return m.permute_rows(perm), perm
 
 
+def pre_permuted(m: SparseMatrix, order, seed: int = 42) -> DataFrame:
+    """An order of a scrambled matrix, as an order of the matrix itself: both sides are scrambled alike where it is square, else its rows.
+
+    order takes the scrambled matrix and returns a permutation of its rows.
+    """
+    first = random_rows(m.coo.sparkSession, m.rows, seed)
+    return compose(order(m.apply(Axis.SYMMETRIC if m.rows == m.cols else Axis.ROW, first)), first)
+
+
 def two_sided(m: SparseMatrix, w: int = 4, max_iters: int = 4, block: int = 32) -> tuple[DataFrame, DataFrame, list[int]]:
     """Lexicographic order of rows and columns in turn while the count of occupied blocks falls.
 
@@ -289,8 +298,44 @@ def stripe_cost(sketch: DataFrame, perm: DataFrame, bs: int) -> int:
     return p.select(F.expr(f"new_pos div {bs}").alias("s"), "win").distinct().count()
 
 
-def similarity_rounds(m: SparseMatrix, w: int = 4, bs: int | None = None, tau: float = 0.5, k: int = 64, iters: int = 2, both_sides: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Per round the cheaper of cluster chain and anchor order for rows, then columns, by stripe cost; never worse than identity."""
+def stripe_refine(sketch: DataFrame, perm: DataFrame, bs: int, passes: int = 1, span: int = 3) -> DataFrame:
+    """An order with rows moved between span neighbouring stripes of bs rows where that lowers stripe_cost; it never rises. This definition is ours.
+
+    A pass fills the stripes of a group anew: each begins with the first row left and takes the row that adds fewest windows (ties: most shared,
+    then the earlier). Groups begin one stripe later from pass to pass. A group is a task's row set, span * bs rows.
+    """
+    ship(sketch.sparkSession)
+    sig = sk.signatures(sketch).withColumnRenamed("row", "old_idx")
+
+    def fill(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("new_pos")
+        rows, sets = t["old_idx"].tolist(), [frozenset(w) if w is not None else frozenset() for w in t["wins"]]
+        stripes = np.diff(np.append(np.unique(t["new_pos"].to_numpy() // bs, return_index=True)[1], len(rows))).tolist()
+        cost, at = 0, 0
+        for size in stripes:
+            cost += len(frozenset().union(*sets[at : at + size]))
+            at += size
+        left, order, now = list(range(len(rows))), [], 0
+        for size in stripes:
+            have: set[int] = set()
+            for k in range(size):
+                pick = left[0] if not k else min(left, key=lambda i: (len(sets[i] - have), -len(sets[i] & have), i))  # noqa: B023
+                left.remove(pick)
+                order.append(pick)
+                have |= sets[pick]
+            now += len(have)
+        if now >= cost:
+            order = list(range(len(rows)))
+        return pd.DataFrame({"new_pos": t["new_pos"].tolist(), "old_idx": [rows[i] for i in order]})
+
+    for k in range(passes):
+        body = perm.join(sig, "old_idx", "left").withColumn("group", F.expr(f"(new_pos + {(span - k % span) % span * bs}) div {span * bs}"))
+        perm = materialize(body.groupBy("group").applyInPandas(fill, "new_pos long, old_idx long"))
+    return perm
+
+
+def similarity_rounds(m: SparseMatrix, w: int = 4, bs: int | None = None, tau: float = 0.5, k: int = 64, iters: int = 2, both_sides: bool = True, refine_passes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Per round the cheaper of cluster chain and anchor order for rows, then columns, by stripe cost, refined by some passes; never worse than identity."""
     spark = m.coo.sparkSession
     bs = bs or w
     scales = lambda n: [s for s in (4, 16, 64, bs) if 0 < s <= n]
@@ -302,7 +347,7 @@ def similarity_rounds(m: SparseMatrix, w: int = 4, bs: int | None = None, tau: f
             at = cur if side == "row" else cur.transpose()
             s = materialize(sk.mask(at, w))
             cost = lambda p, s=s, at=at: sum(stripe_cost(s, p, b) for b in scales(at.rows))
-            options = [materialize(cluster_chain(s, at.rows, bs, tau, k)), materialize(anchor_order(s, at.rows))]
+            options = [stripe_refine(s, materialize(o), bs, refine_passes) for o in (cluster_chain(s, at.rows, bs, tau, k), anchor_order(s, at.rows))]
             price = [cost(identity(spark, at.rows)), *map(cost, options)]
             if min(price) == price[0]:
                 continue

@@ -185,6 +185,12 @@ def order_degree(spark, d):
     return ordering.by_degree(b.order_part(spark, d))
 
 
+@query(f"""WITH m AS ({OP}), z AS ({_RND.format(k='o_orderkey', t='orders')}), k AS (SELECT r, count(*) AS k FROM m GROUP BY r)
+SELECT row_number() OVER (ORDER BY coalesce(k, 0), z.new_pos) - 1 AS new_pos, old_idx FROM z LEFT JOIN k ON r = old_idx""")
+def order_degree_scrambled(spark, d):
+    return ordering.pre_permuted(b.order_part(spark, d), ordering.by_degree)
+
+
 @query(_RND.format(k="c_custkey", t="customer"))
 def order_random(spark, d):
     return ordering.random_rows(spark, b.t(spark, d, "customer").count())
@@ -243,7 +249,7 @@ def order_anchor(spark, d):
 
 @query()
 def order_similarity_rounds(spark, d):
-    return ordering.similarity_rounds(b.customer_part(spark, d), 32, 32)[0]
+    return ordering.similarity_rounds(b.customer_part(spark, d), 32, 32, refine_passes=1)[0]
 
 
 def _heuristic(name, f, sql=None):

@@ -207,6 +207,32 @@ def test_similarity_rounds_never_cost_more(spark):
     assert cost(rows, cols) <= cost(identity(spark, 40), identity(spark, 30))
 
 
+def test_stripe_refinement(spark):
+    s, of = sketch(spark, 50, 12, 150, 20)
+    start = ordering.random_rows(spark, 50)
+    cost, orders = [ordering.stripe_cost(s, start, 4)], [start]
+    for passes in (1, 2, 3):
+        orders.append(ordering.stripe_refine(s, start, 4, passes))
+        assert sorted(perm(orders[-1])) == list(range(50))
+        cost.append(ordering.stripe_cost(s, orders[-1], 4))
+    assert cost == sorted(cost, reverse=True) and cost[1] < cost[0]
+    # By hand: a group's stripes filled anew, kept where they have fewer windows.
+    order, want = perm(start), []
+    for lo in range(0, 50, 12):
+        old = order[lo : lo + 12]
+        left, new = list(old), []
+        while left:
+            have = set()
+            for k in range(min(4, len(left))):
+                pick = left[0] if not k else min(left, key=lambda v: (len(of[v] - have), -len(of[v] & have), old.index(v)))  # noqa: B023
+                left.remove(pick)
+                new.append(pick)
+                have |= of[pick]
+        windows = lambda rows: sum(len(set().union(*(of[v] for v in rows[k : k + 4]))) for k in range(0, len(rows), 4))
+        want += new if windows(new) < windows(old) else old
+    assert perm(orders[1]) == want
+
+
 @pytest.mark.parametrize("seed", [15, 16])
 def test_mst_order(spark, seed):
     s, of = sketch(spark, 20, 12, 70, seed)
