@@ -354,3 +354,52 @@ def test_kmeans_ward_and_scores(spark):
     with pytest.raises(ValueError):
         ml.points_of(df, ["x", "y"], "matrix", 10)
     assert len(ml.TRIMMED) == 17 == len(set(ml.TRIMMED))
+
+
+def test_elimination_in_bits_and_sets(spark):
+    """Components of more vertices than the bits are for begin in sets; fill stays small in memory."""
+    import tracemalloc
+
+    m, near = square(spark, 60, 0.08, 30)
+    assert perm(heuristics.minimum_degree(m)) == perm(heuristics.minimum_degree(m, bits_below=20)) == perm(heuristics.minimum_degree(m, bits_below=0))
+    r = np.random.default_rng(31)
+    e = np.unique(r.integers(0, 3000, (60_000, 2)), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
+    e = np.unique(np.concatenate([e, e[:, ::-1]]), axis=0)
+    tracemalloc.start()
+    order = heuristics.eliminate(np.arange(3000), e[:, 0], e[:, 1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(3000)) and most < 40e6  # sets took over 150 MB for the fill
+
+
+def test_window_greedy_by_heap(spark):
+    m, near = square(spark, 40, 0.1, 32)
+    assert perm(heuristics.window_greedy(m, 3)) == perm(heuristics.window_greedy(m, 3, scan_below=0))
+
+
+def test_common_neighbour_walk_literal():
+    r = random.Random(33)
+    for n, p in ((30, 0.1), (60, 0.3), (200, 0.5)):
+        adj = {v: set() for v in range(n)}
+        for i in range(n):
+            for j in range(i + 1, n):
+                if r.random() < p:
+                    adj[i].add(j)
+                    adj[j].add(i)
+        adj = {v: x for v, x in adj.items() if x}
+        left, want, back = set(adj), [], []
+        for start in sorted(adj, key=lambda v: (-len(adj[v]), v)):
+            v = start if start in left else None
+            while v is not None:
+                want.append(v)
+                back.append(v)
+                left.discard(v)
+                here, near = v, adj[v] & left
+                while not near and back:
+                    here = back[-1]
+                    near = {u for u in left if adj[u] & adj[here]}
+                    if not near:
+                        back.pop()
+                v = min(near, key=lambda u: (-len(adj[u] & adj[here]), u), default=None)
+        assert heuristics.common_neighbour_walk(adj) == want
