@@ -38,3 +38,19 @@ def test_bfs_from_more_sources_than_a_word_has_bits(spark, monkeypatch):
     got = [tuple(r) for r in graph.bfs(e, spark.range(70).withColumnRenamed("id", "node")).select("source", "node", "level").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert widest and max(widest) <= 2 * 90  # a row a vertex and word, not one a vertex and source
+
+
+def test_symmetric_pattern_is_read_as_it_is(spark):
+    """The graph of a matrix that is known to be symmetric needs no shuffle, nor a second written copy."""
+    from gridweave.operators.matrix import SparseMatrix
+    from gridweave.plans.storage import materialize, settled
+
+    e, near = undirected(spark, 20, 0.2, 42)
+    coo = materialize(e.selectExpr("src as row", "dst as col", "1.0D as val"))
+    m = SparseMatrix(coo, 20, 20, mirrored=True)
+    found = graph.edges_of(m)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString() and settled(found) is found
+    want = {(u, v) for u, x in near.items() for v in x}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want == {tuple(r) for r in graph.edges_of(m.with_coo(coo)).collect()}
+    assert not m.with_coo(coo).mirrored
