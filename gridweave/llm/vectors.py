@@ -13,8 +13,8 @@ from .common import broadcast_if_small, materialize
 from .graph import Sets, components
 
 #: Radius of the cover tree's root, from which 0.7 comes two levels below (unit vectors are at most 2 apart, and unrelated ones about 1.4);
-#: numbers that a block of rows holds.
-TOP, BLOCK = 2.8, 1 << 19
+#: numbers that a block of rows holds; numbers that dealing hands on at once.
+TOP, BLOCK, BATCH = 2.8, 1 << 19, 1 << 19
 #: A node with more pairs of children with its partners than this is a matrix product of its own.
 WIDE = 4096
 
@@ -290,7 +290,14 @@ def _links(placed: DataFrame, hub: np.ndarray, size: dict, blocks: dict[int, int
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
                 may = np.sqrt(np.maximum(0, 2 - 2 * (x @ hub.T))) <= radius + reach
                 may[np.arange(len(cell)), cell] = True
+            # A row is dealt to as many tasks as there are blocks, so rows are handed on some at a time.
+            width = max(1, len(b.column("v").values) // b.num_rows)
             take, task, side = [], [], []
+
+            def some(b=b):
+                at = pa.array(take, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), *(b.column(n).take(at) for n in ("rep", "copies", "v"))], ["task", "side", "rep", "copies", "v"])
+
             for i, (c, h) in enumerate(zip(cell.tolist(), block.tolist())):
                 mine = h % blocks[c]
                 for other in np.flatnonzero(may[i]).tolist() if len(hub) else [c]:
@@ -298,8 +305,11 @@ def _links(placed: DataFrame, hub: np.ndarray, size: dict, blocks: dict[int, int
                         one, two = (c, mine), (other, k)
                         first, last = min(one, two), max(one, two)
                         take.append(i), task.append("%d:%d:%d:%d" % (*first, *last)), side.append(int(one != first))
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), *(b.column(n).take(at) for n in ("rep", "copies", "v"))], ["task", "side", "rep", "copies", "v"])
+                        if len(take) * width >= BATCH:
+                            yield some()
+                            take, task, side = [], [], []
+            if take:
+                yield some()
 
     def work(t: pa.Table) -> pa.Table:
         side, rep, copies = t["side"].to_numpy(), t["rep"].to_numpy(), t["copies"].to_numpy()
