@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+import pytest
+
 from gridweave.operators import graph
 
 
@@ -40,6 +43,42 @@ def test_bfs_from_more_sources_than_a_word_has_bits(spark, monkeypatch):
     assert widest and max(widest) <= 2 * 90  # a row a vertex and word, not one a vertex and source
 
 
+@pytest.mark.parametrize("task_edges", [40, 4_000_000])
+def test_triangles_over_many_tasks(spark, task_edges):
+    e, near = undirected(spark, 40, 0.25, 41)
+    hub = [(u, v) for k in range(40, 90) for u, v in ((0, k), (k, 0))]
+    e = e.union(spark.createDataFrame(hub, "src long, dst long"))
+    for u, v in hub:
+        near.setdefault(u, set()).add(v)
+    wedges = sum(len(x) * (len(x) - 1) // 2 for x in near.values())
+    closed = sum(1 for u in near for v in near[u] if v > u for w in near[u] & near[v] if w > v)
+    r = graph.triangles(e, task_edges).first()
+    assert (r["wedges"], r["triangles"]) == (wedges, closed) and r["triangle_closure_rate"] == pytest.approx(3 * closed / wedges)
+
+
+def test_vectors_are_dealt_in_small_batches(spark, monkeypatch):
+    """A row dealt to very many blocks doesn't make one batch of all its copies."""
+    from gridweave.llm import vectors
+
+    sizes, make = [], pa.RecordBatch.from_arrays
+    held = {}
+
+    class Placed:
+        def mapInArrow(self, f, schema):
+            held["deal"] = f
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        vectors._links(Placed(), vectors.np.zeros((0, 0)), {}, {4: 3000}, 0.5, 0.9)
+    b = make([pa.array(range(20)), pa.array([1] * 20), pa.array([[1.0, 2.0, 3.0, 4.0]] * 20), pa.array([4] * 20, pa.int32()), pa.array([0.0] * 20)], ["rep", "copies", "v", "cell", "far"])
+    monkeypatch.setattr(vectors, "BATCH", 1 << 14, raising=False)
+    tasks = set()
+    for x in held["deal"]([b]):
+        sizes.append(x.num_rows)
+        tasks |= set(zip(x["rep"].to_pylist(), x["task"].to_pylist()))
+    assert sum(sizes) == len(tasks) == 20 * 3000 and max(sizes) <= 1 << 12
+
+
 def test_symmetric_pattern_is_read_as_it_is(spark):
     """The graph of a matrix that is known to be symmetric needs no shuffle, nor a second written copy."""
     from gridweave.operators.matrix import SparseMatrix
