@@ -403,3 +403,31 @@ def test_common_neighbour_walk_literal():
                         back.pop()
                 v = min(near, key=lambda u: (-len(adj[u] & adj[here]), u), default=None)
         assert heuristics.common_neighbour_walk(adj) == want
+
+
+def test_wavefront_holds_arrays():
+    """A component's incidences take some arrays, not sets and lists of Python numbers."""
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(0)
+    t = pd.DataFrame({"comp": 0, "micro_id": np.repeat(np.arange(30_000), 4), "win": r.integers(0, 3_000, 120_000)}).drop_duplicates()
+    tracemalloc.start()
+    got = ordering._wavefront(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got["micro_id"]) == list(range(30_000)) and peak < 100 * len(t)
+
+
+def test_hybrid_leaves_few_tables(spark):
+    """Tables written on the way go when their result is written."""
+    import os
+
+    from gridweave.plans.storage import shared_dir
+
+    s, _ = sketch(spark, 60, 20, 150, 30)
+    held = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("gridweave-")}
+    before = held()
+    p, stats = ordering.hybrid_stages(s, 60, 4, 8)
+    assert len(held() - before) <= 4 and stats.first()["macro_components"] > 0 and sorted(perm(p)) == list(range(60))
