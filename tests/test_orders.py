@@ -431,3 +431,26 @@ def test_hybrid_leaves_few_tables(spark):
     before = held()
     p, stats = ordering.hybrid_stages(s, 60, 4, 8)
     assert len(held() - before) <= 4 and stats.first()["macro_components"] > 0 and sorted(perm(p)) == list(range(60))
+
+
+@pytest.mark.parametrize("seed, k, cap, tau", [(31, 3, 4, 0.3), (32, 5, 2, 0.2), (33, 64, 64, 0.5), (34, 4, 8, 0.4)])
+def test_close_pairs(spark, seed, k, cap, tau):
+    """The candidate pairs within tau, whatever the caps on index and candidates."""
+    s, _ = sketch(spark, 40, 9, 130, seed)
+    want = {(r["row"], r["cand"]) for r in ordering.candidate_pairs(s, 40, k, cap).where(f"jaccard >= {tau}").collect()}
+    got = [(r["row"], r["cand"]) for r in ordering.close_pairs(s, 40, tau, k, cap).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_cluster_chain_compares_pairs_in_place(spark, monkeypatch):
+    """No table of all candidate pairs is made."""
+    s, _ = sketch(spark, 40, 9, 130, 35)
+    monkeypatch.setattr(ordering, "candidate_pairs", None)
+    assert sorted(perm(ordering.cluster_chain(s, 40, 4, 0.5))) == list(range(40))
+
+
+def test_stripe_costs_in_one_pass(spark):
+    s, _ = sketch(spark, 150, 12, 400, 36)
+    for p in (None, ordering.random_rows(spark, 150)):
+        want = sum(ordering.stripe_cost(s, identity(spark, 150) if p is None else p, b) for b in (1, 4, 16, 32, 64, 24))
+        assert ordering.stripe_costs(s, p, [1, 4, 16, 32, 64, 24]) == want
