@@ -454,3 +454,24 @@ def test_stripe_costs_in_one_pass(spark):
     for p in (None, ordering.random_rows(spark, 150)):
         want = sum(ordering.stripe_cost(s, identity(spark, 150) if p is None else p, b) for b in (1, 4, 16, 32, 64, 24))
         assert ordering.stripe_costs(s, p, [1, 4, 16, 32, 64, 24]) == want
+
+
+@pytest.mark.parametrize("entries", [10, 60, 1000])
+def test_rows_compared_by_ranges(spark, entries, monkeypatch):
+    """All pairs within tau and each row's nearest, over ranges of any length, without a table of all pairs."""
+    from gridweave.operators import overlap
+
+    s, of = sketch(spark, 40, 15, 120, 40)
+    monkeypatch.setattr(overlap.by_ranges, "__defaults__", (entries,))
+    monkeypatch.setattr(metrics, "pair_jaccard", None)
+    sim = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a in of for b in of if a != b and of[a] & of[b]}
+    got = {(r["a"], r["b"]): r["d"] for r in overlap.within(s, 0.6).collect()}
+    assert got == {e: 1.0 - x for e, x in sim.items() if 1.0 - x <= 0.6}
+    want = {(a, b) for a in of for b in sorted((b for x, b in sim if x == a), key=lambda b: (-sim[a, b], b))[:3]}
+    assert {(r["u"], r["v"]) for r in heuristics.knn(s, 40, 3).collect()} == want
+
+
+def test_spanning_tree_by_joins_and_by_task(spark):
+    s, _ = sketch(spark, 30, 9, 90, 41)
+    m = SparseMatrix(s.selectExpr("row", "win as col", "cast(1 as double) as val"), 30, 9)
+    assert perm(heuristics.mst_order(m, 1, 3)) == perm(heuristics.mst_order(m, 1, 3, local_edges=0))
