@@ -475,3 +475,14 @@ def test_spanning_tree_by_joins_and_by_task(spark):
     s, _ = sketch(spark, 30, 9, 90, 41)
     m = SparseMatrix(s.selectExpr("row", "win as col", "cast(1 as double) as val"), 30, 9)
     assert perm(heuristics.mst_order(m, 1, 3)) == perm(heuristics.mst_order(m, 1, 3, local_edges=0))
+
+
+def test_centroid_rounds_in_one_task(spark, monkeypatch):
+    """As by joins, with rows alike and rows without windows; rounds write no tables."""
+    r = random.Random(42)
+    sets = [sorted(r.sample(range(12), r.randrange(1, 4))) for _ in range(15)] * 3 + [[]] * 5
+    s = spark.createDataFrame([(i, w) for i, x in enumerate(sets) for w in x], "row long, win long")
+    want = [perm(ordering.cluster_centroids(s, 50, 4, 0.5, max_rounds=n, local=0)) for n in (None, 2)]
+    written, first = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, *a, **b: written.append(df) or first(df, *a, **b))
+    assert [perm(ordering.cluster_centroids(s, 50, 4, 0.5, max_rounds=n)) for n in (None, 2)] == want and len(written) <= 6
