@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
-from gridweave.operators import graph
+from gridweave.operators import features, graph, packed
+from gridweave.operators.matrix import SparseMatrix
 
 
 def undirected(spark, n, p, seed):
@@ -80,3 +81,38 @@ def test_symmetric_pattern_is_read_as_it_is(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want == {tuple(r) for r in graph.edges_of(m.with_coo(coo)).collect()}
     assert not m.with_coo(coo).mirrored
+
+
+@pytest.mark.parametrize("kind", ["mirrored", "loops", "square", "rectangular"])
+def test_packed_fingerprint_parts_equal_joins(spark, monkeypatch, kind):
+    """The parts of a fingerprint from packed rows are those from joins, with many ranges of rows and blocks of edges."""
+    r = random.Random(3)
+    rows, cols = (300, 300) if kind != "rectangular" else (300, 170)
+    e = {(int(rows * r.random() ** 2), r.randrange(cols)) for _ in range(1500)}
+    e = {(a, b) for a, b in e if not 120 <= a < 140 and not 120 <= b < 140}
+    if kind in ("mirrored", "loops"):
+        e = {x for a, b in e for x in ((a, b), (b, a)) if a != b or kind == "loops"}
+    m = SparseMatrix(spark.createDataFrame([(a, b, 1.0) for a, b in sorted(e)], "row long, col long, val double"), rows, cols, kind in ("mirrored", "loops"))
+    monkeypatch.setattr(packed, "ENTRIES", 200)
+    monkeypatch.setattr(packed.triangles, "__defaults__", (300,))
+    known, found = features._by_arrays(m, len(e), 0)
+    got, want = {}, {}
+    for p in found:
+        got |= p.first().asDict()
+    for p in features._by_joins(m, 0):
+        want |= p.first().asDict()
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want, rel=1e-9)
+    for side in ("row", "col"):
+        assert sorted(features.degrees(known, side).collect()) == sorted(features.degrees(m, side).collect())
+
+
+def test_fingerprint_shuffles_no_wedges(spark, monkeypatch):
+    """A fingerprint neither opens wedges by joins nor shuffles ranks, and leaves none of its tables."""
+    for name in ("triangles", "pagerank", "components"):
+        monkeypatch.setattr(graph, name, lambda *a, **k: pytest.fail("a join over all edges"))
+    e = [(a, b, 1.0) for a, b in [(0, 1), (1, 2), (2, 0), (2, 3)]]
+    m = SparseMatrix(spark.createDataFrame(e + [(b, a, v) for a, b, v in e], "row long, col long, val double"), 5, 5, True)
+    row = features.fingerprint(m, "t").first()
+    assert (row["n_components"], row["pseudo_diameter"]) == (2, 2.0)
+    assert row["triangle_closure_rate"] == pytest.approx(3 / 5)
