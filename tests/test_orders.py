@@ -486,3 +486,56 @@ def test_centroid_rounds_in_one_task(spark, monkeypatch):
     written, first = [], ordering.materialize
     monkeypatch.setattr(ordering, "materialize", lambda df, *a, **b: written.append(df) or first(df, *a, **b))
     assert [perm(ordering.cluster_centroids(s, 50, 4, 0.5, max_rounds=n)) for n in (None, 2)] == want and len(written) <= 6
+
+
+def linked(n, k, seed):
+    """(at, to): n vertices in random cliques of four, k a vertex."""
+    p = np.random.default_rng(seed).integers(0, n, (n * k // 4, 4))
+    e = np.concatenate([p[:, [i, j]] for i in range(4) for j in range(4) if i != j])
+    e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+    return np.concatenate([[0], np.cumsum(np.bincount(e[:, 0], minlength=n))]), e[:, 1].astype(np.int32)
+
+
+def test_elimination_by_elements_holds_no_fill():
+    """The order is that on bits; a component's fill, most of n * n here, is never held."""
+    import tracemalloc
+
+    n = 4000
+    at, to = linked(n, 12, 40)
+    late = np.zeros(n, bool)
+    late[np.diff(at) > 45] = True
+    assert late.any()
+    tracemalloc.start()
+    got = heuristics.eliminate_by_elements(at, to, late)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    src = np.repeat(np.arange(n), np.diff(at))
+    keep = ~late[src] & ~late[to]
+    assert got == heuristics.eliminate(np.flatnonzero(~late), src[keep], to[keep])
+    assert most < 30 * len(to)  # the sets of fill took over 1000 bytes an edge
+
+
+@pytest.mark.parametrize("bundle", [1, 40, 10**6])
+def test_components_come_to_tasks_as_streams(spark, monkeypatch, bundle):
+    """Interleaved components in pieces and bundles: kernels get each one's sorted neighbours; vertices without edges stay where they are."""
+    from gridweave.operators import packed
+
+    monkeypatch.setattr(packed, "BUNDLE", bundle)
+    monkeypatch.setattr(packed, "PIECE", 16)
+    monkeypatch.setattr(packed, "ENTRIES", 50)
+    m, near = square(spark, 90, 0.015, 41)
+    comps = parts(near)
+    assert len(comps) > 3
+    g = packed.pattern(m)
+    label = packed.components(g)
+    assert {v: int(label[v]) for v in range(90)} == {v: min(c) for c in comps for v in c}
+    seen = packed.ordered(g, label, lambda at, to: [*range(len(at) - 1)][::-1]).collect()
+    assert sorted((r["comp"], r["pos"], r["row"]) for r in seen) == [(min(c), i, v) for c in sorted(comps, key=min) if len(c) > 1 for i, v in enumerate(sorted(c, reverse=True))]
+
+    def check(at, to):
+        rows = [to[i:j].tolist() for i, j in zip(at[:-1], at[1:])]
+        assert all(x == sorted(set(x)) and all(v in rows[u] for u in x) for v, x in enumerate(rows)) and to.dtype == np.int32
+        return sorted(range(len(rows)), key=lambda v: (len(rows[v]), v))
+
+    got = sorted((r["comp"], r["pos"], r["row"]) for r in packed.ordered(g, label, check).collect())
+    assert got == [(min(c), i, v) for c in sorted(comps, key=min) if len(c) > 1 for i, v in enumerate(sorted(c, key=lambda v: (len(near[v]), v)))]
