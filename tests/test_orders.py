@@ -539,3 +539,27 @@ def test_components_come_to_tasks_as_streams(spark, monkeypatch, bundle):
 
     got = sorted((r["comp"], r["pos"], r["row"]) for r in packed.ordered(g, label, check).collect())
     assert got == [(min(c), i, v) for c in sorted(comps, key=min) if len(c) > 1 for i, v in enumerate(sorted(c, key=lambda v: (len(near[v]), v)))]
+
+
+def test_slashburn_rounds_leave_the_edges_alone():
+    """Rounds of a connected graph go over its vertices: no round copies or reads all edges."""
+    import tracemalloc
+
+    n = 3000
+    at, to = linked(n, 40, 42)
+    read = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, i):
+            x = super().__getitem__(i)
+            read.append(np.size(x))
+            return np.asarray(x)
+
+    tracemalloc.start()
+    a, b = heuristics.burn(at, to.view(Counted), 3, 0, n // 3 + 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rounds = len(set(a.tolist()))
+    assert rounds > 500 and sum(read) < 40 * len(to)  # all edges of every round: over 300 times as many
+    assert most < 4 * len(to)  # two columns of 64 bits were held and filtered
+    assert sorted(heuristics.by_rounds(a, b).tolist()) == list(range(n))
