@@ -116,3 +116,22 @@ def test_fingerprint_shuffles_no_wedges(spark, monkeypatch):
     row = features.fingerprint(m, "t").first()
     assert (row["n_components"], row["pseudo_diameter"]) == (2, 2.0)
     assert row["triangle_closure_rate"] == pytest.approx(3 / 5)
+
+
+def test_triangles_query_shuffles_no_wedges(spark, monkeypatch):
+    """The query counts closed wedges within tasks, over several jobs; pairs may come often and either way."""
+    from gridweave.plans import catalogue
+
+    monkeypatch.setattr(graph, "triangles", lambda *a: pytest.fail("wedges are joined"))
+    assert catalogue.queries()["triangles"](spark, "/root/testdata/sf0.001").first()["triangles"] >= 0
+    monkeypatch.setattr(packed, "DEALT", 1500)
+    monkeypatch.setattr(packed.triangles, "__defaults__", (700,))
+    r = random.Random(43)
+    e = {(min(x), max(x)) for x in ((int(80 * r.random() ** 2), r.randrange(80)) for _ in range(700)) if x[0] != x[1]}
+    near = {v: {b for a, b in e if a == v} | {a for a, b in e if b == v} for v in range(80)}
+    want = sum(len(near[a] & near[b]) for a, b in e) // 3
+    given = [*e, *[(b, a) for a, b in sorted(e)[:50]], *sorted(e)[:30]]
+    row = packed.closure(spark.createDataFrame(given, "row long, col long"), 80).first()
+    assert (row["triangles"], row["wedges"]) == (want, sum(len(x) * (len(x) - 1) // 2 for x in near.values()))
+    none = packed.closure(spark.createDataFrame([(1, 1)], "row long, col long"), 5).first()
+    assert tuple(none) == (None, 0, 0.0)
