@@ -563,3 +563,21 @@ def test_slashburn_rounds_leave_the_edges_alone():
     assert rounds > 500 and sum(read) < 40 * len(to)  # all edges of every round: over 300 times as many
     assert most < 4 * len(to)  # two columns of 64 bits were held and filtered
     assert sorted(heuristics.by_rounds(a, b).tolist()) == list(range(n))
+
+
+def test_window_greedy_keeps_no_entry_a_gain(monkeypatch):
+    """Large components keep a number a vertex and the largest of each block, no matter how often gains move."""
+    import tracemalloc
+
+    held = []
+    monkeypatch.setattr(heuristics, "_streamed", lambda m, kernel: held.append(kernel), raising=False)
+    monkeypatch.setattr(heuristics, "_per_component", lambda m, kernel: held.append(kernel))
+    heuristics.window_greedy(None, 3)
+    heuristics.window_greedy(None, 3, scan_below=0)
+    at, to = linked(3000, 40, 44)
+    tracemalloc.start()
+    order = held[1](at, to)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert order == held[0](at, to) and sorted(order) == list(range(3000))
+    assert most < 8e6  # a heap of all gains, as it was, took tuples for every move
